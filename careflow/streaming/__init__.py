@@ -1,0 +1 @@
+"""No streaming operators: every stage of the workload reads complete tables."""
