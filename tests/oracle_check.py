@@ -78,7 +78,6 @@ def main() -> None:
 
     spark = build_session("local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
-    con = connect(sf_dir)
     queries, sql = entry.queries(), entry.oracle_sql()
     names = sys.argv[2:] or list(queries)
     failed = 0
@@ -86,7 +85,7 @@ def main() -> None:
         start = time.time()
         try:
             if n in sql:
-                problem = compare(spark, con, n, queries[n], sql[n], sf_dir)
+                problem = compare(spark, connect(sf_dir), n, queries[n], sql[n], sf_dir)
             else:
                 problem = None if queries[n](spark, sf_dir).count() > 0 else "no rows"
         except Exception as e:  # noqa: BLE001 - report and go on
