@@ -391,7 +391,7 @@ WITH {STAYS}, e AS (SELECT l_suppkey * 10 + l_linenumber AS subject, l_orderkey
 s2 AS (SELECT subject, admission // 3 * 3 AS admission, admission AS stay, intime, outtime FROM st),
 c AS (SELECT subject, t, min(s2.stay) AS stay FROM (SELECT DISTINCT subject, t FROM e) JOIN s2 USING (subject) WHERE intime <= t + 172800 AND outtime >= t - 172800 GROUP BY 1, 2),
 o AS (SELECT admission, min(stay) AS stay FROM s2 GROUP BY 1 HAVING count(*) = 1)
-SELECT e.subject, e.admission, t, coalesce(e.stay, c.stay, o.stay) AS stay FROM e LEFT JOIN c ON c.subject = e.subject AND c.t = e.t LEFT JOIN o ON o.admission = e.admission""")
+SELECT e.subject, e.admission, e.t, coalesce(e.stay, c.stay, o.stay) AS stay FROM e LEFT JOIN c ON c.subject = e.subject AND c.t = e.t LEFT JOIN o ON o.admission = e.admission""")
 def contain_fallback(spark, sf):
     n = F.col("l_linenumber")
     e = load(spark, sf, "lineitem").select((F.col("l_suppkey") * 10 + n).alias("subject"), F.col("l_orderkey").alias("admission"),
