@@ -38,6 +38,10 @@ def nearest_event(
     )
 
 
+def _at_level(blocks: Column, level: int) -> Column:
+    return F.transform(blocks, lambda b: F.struct(F.lit(level).alias("level"), b.alias("block")))
+
+
 def _pieces(start: Column, end: Column, levels: int) -> Column:
     """Aligned blocks of sizes 1, 8, 64, ... that together are exactly [start, end]."""
     parts = []
@@ -57,7 +61,7 @@ def _pieces(start: Column, end: Column, levels: int) -> Column:
             F.when(left >= low, F.sequence(low, left)).otherwise(empty),
             F.when(high >= right, F.sequence(right, high)).otherwise(empty),
         )
-        parts.append(F.transform(blocks, lambda b, lv=level: F.struct(F.lit(lv).alias("level"), b.alias("block"))))
+        parts.append(_at_level(blocks, level))
     return F.flatten(F.array(*parts))
 
 

@@ -19,6 +19,7 @@ from careflow.operators.scan import following, scan
 from careflow.session import cut_lineage
 
 SA = ["state", "action"]
+END = -1
 
 
 def fit_state_clusters(
@@ -120,42 +121,46 @@ def best_actions(q: DataFrame) -> DataFrame:
 
 
 def evaluate_policy(
-    model: DataFrame, rewards: DataFrame, policy: DataFrame, gamma: float, values: DataFrame | None = None,
-    sweeps: int | None = None, tolerance: float = 1e-9, per_round: int = 16, max_rounds: int = 400,
+    model: DataFrame, rewards: DataFrame, policy: DataFrame, gamma: float, sweeps: int | None = None,
+    tolerance: float = 1e-9, max_doublings: int = 24,
 ) -> DataFrame:
-    """V of a deterministic policy by repeated sweeps `V = R + gamma P V` over sparse tables.
+    """V of a deterministic policy, the fixed point of `V = R + gamma P V` over sparse tables.
 
-    With `sweeps` exactly that many are run in one plan. Else rounds of `per_round`
-    sweeps are run and checkpointed until no value moves by more than `tolerance`;
-    absorbing states have no outgoing rows, so the sweeps contract faster than gamma.
+    With `sweeps` that many sweeps are run in one plan. Else the step matrix `gamma P`,
+    with R as one more column, is squared by a sparse self-join: k squarings stand for
+    2^k sweeps. It stops when what is left of the matrix cannot move a value by more
+    than `tolerance`; absorbing states have no outgoing rows, so it shrinks quickly.
     """
     rows = policy.select(*SA)
-    p = model.join(rows, SA).select("state", "next_state", "p")
     r = rows.join(rewards, SA, "left").select("state", F.coalesce("r", F.lit(0.0)).alias("r"))
-    if sweeps is None:
-        p, r = cut_lineage(p), cut_lineage(r)
-    v = values if values is not None else r.select("state", F.lit(0.0).alias("v"))
-
-    def sweep(v: DataFrame) -> DataFrame:
-        ahead = p.join(F.broadcast(v.select(F.col("state").alias("next_state"), "v")), "next_state")
-        f = ahead.groupBy("state").agg(F.sum(F.col("p") * F.col("v")).alias("f"))
-        return r.join(f, "state", "left").select("state", (F.col("r") + gamma * F.coalesce("f", F.lit(0.0))).alias("v"))
-
+    p = model.join(rows, SA).select("state", "next_state", "p")
     if sweeps is not None:
+        v = r.select("state", F.lit(0.0).alias("v"))
         for _ in range(sweeps):
-            v = sweep(v)
+            ahead = p.join(F.broadcast(v.select(F.col("state").alias("next_state"), "v")), "next_state")
+            f = ahead.groupBy("state").agg(F.sum(F.col("p") * F.col("v")).alias("f"))
+            v = r.join(f, "state", "left").select("state", (F.col("r") + gamma * F.coalesce("f", F.lit(0.0))).alias("v"))
         return v
-    for _ in range(max_rounds):
-        new = v
-        for _ in range(per_round):
-            new = sweep(new)
-        new = cut_lineage(new)
-        old = v.select("state", F.col("v").alias("o"))
-        moved = new.join(old, "state", "left").agg(F.max(F.abs(F.col("v") - F.coalesce("o", F.lit(0.0))))).first()[0]
-        v = new
-        if moved is None or moved <= tolerance:
+    end = F.lit(END).cast("int")
+    matrix = (
+        p.select("state", F.col("next_state").cast("int").alias("to"), (F.lit(gamma) * F.col("p")).alias("x"))
+        .unionByName(r.select("state", end.alias("to"), F.col("r").alias("x")))
+        .unionByName(model.sparkSession.range(1).select(end.alias("state"), end.alias("to"), F.lit(1.0).alias("x")))
+    )
+    matrix = cut_lineage(matrix)
+    for _ in range(max_doublings):
+        left = matrix.withColumnRenamed("to", "mid")
+        right = matrix.select(F.col("state").alias("mid"), "to", F.col("x").alias("y"))
+        matrix = cut_lineage(
+            left.join(right, "mid").groupBy("state", "to").agg(F.sum(F.col("x") * F.col("y")).alias("x"))
+        )
+        inner = F.col("to") != END
+        left_over = matrix.groupBy("state").agg(
+            F.sum(F.when(inner, F.col("x")).otherwise(0.0)).alias("m"), F.max(F.when(~inner, F.abs("x"))).alias("v"),
+        ).filter(F.col("state") != END).agg(F.max("m"), F.max("v")).first()
+        if (left_over[0] or 0.0) * max(left_over[1] or 0.0, 1.0) <= tolerance:
             break
-    return v
+    return r.select("state").join(matrix.filter(F.col("to") == END).select("state", F.col("x").alias("v")), "state")
 
 
 def policy_iteration(
@@ -165,16 +170,16 @@ def policy_iteration(
     """Policy iteration. Returns the policy, Q on the whole grid and the rounds taken.
 
     Stops when the policy no longer changes, changes little after `patient_rounds`, or
-    after `max_rounds`. Each round starts from the values of the last.
+    after `max_rounds`.
     """
     spark = model.sparkSession
     model, rewards = cut_lineage(model), cut_lineage(rewards)
     states = spark.range(n_states).select(F.col("id").cast("int").alias("state"))
-    policy, v = states.withColumn("action", F.lit(start_action)), None
+    policy = states.withColumn("action", F.lit(start_action))
     rounds = 0
     while True:
         rounds += 1
-        v = evaluate_policy(model, rewards, policy, gamma, v, tolerance=tolerance)
+        v = evaluate_policy(model, rewards, policy, gamma, tolerance=tolerance)
         q = cut_lineage(full_q(backup(model, rewards, v, gamma), n_states, n_actions))
         better = best_actions(q).select(*SA)
         changed = better.join(policy.withColumnRenamed("action", "old"), "state").filter("action <> old").count()

@@ -111,32 +111,33 @@ def align(df: DataFrame, batch: str, record: str, time: str, columns: Sequence[s
     )
 
 
-def knot_slopes(t: np.ndarray, x: np.ndarray, rounds: int = 64) -> np.ndarray:
-    """Derivatives at the knots of a natural cubic spline.
+def knot_slopes(t: np.ndarray, x: np.ndarray, joined: np.ndarray, rounds: int = 64) -> np.ndarray:
+    """Derivatives at the knots of natural cubic splines, for many series laid end to end.
 
-    The system is tridiagonal with off-diagonal weight half the diagonal, so fixed-point
+    `joined` tells for each gap between neighbours whether both are of one series. The
+    system is tridiagonal with off-diagonal weight half the diagonal, so fixed-point
     sweeps halve the error each time; 64 of them reach the last bit.
     """
-    r = 1.0 / np.diff(t)
+    with np.errstate(divide="ignore"):
+        r = np.where(joined, 1.0 / np.diff(t), 0.0)
     push = 3.0 * np.diff(x) * r * r
-    diag = np.zeros_like(x)
-    diag[:-1] += 2 * r
-    diag[1:] += 2 * r
-    rhs = np.zeros_like(x)
-    rhs[:-1] += push
-    rhs[1:] += push
+    diag, rhs = np.zeros_like(x), np.zeros_like(x)
+    for side in (slice(None, -1), slice(1, None)):
+        diag[side] += 2 * r
+        rhs[side] += push
+    diag[diag == 0] = 1.0
     k = rhs / diag
     for _ in range(rounds):
-        side = np.zeros_like(x)
-        side[:-1] += r * k[1:]
-        side[1:] += r * k[:-1]
-        k = (rhs - side) / diag
+        near = np.zeros_like(x)
+        near[:-1] += r * k[1:]
+        near[1:] += r * k[:-1]
+        k = (rhs - near) / diag
     return k
 
 
 def spline_coefficients(
     df: DataFrame, keys: Sequence[str], time: str, value: str, piece: int = 4096, halo: int = 80,
-    hot_rows: int | None = None,
+    rows_per_task: int = 50_000, hot_rows: int | None = None,
 ) -> DataFrame:
     """Natural cubic spline of every series: a, b, 2c, 3d for the interval after each time but the last.
 
@@ -144,6 +145,7 @@ def spline_coefficients(
     any value gets zeros. Series are cut into pieces of `piece` knots that overlap by
     `halo`: what lies `halo` knots away changes a slope by less than 2^-halo, so the
     pieces give the same coefficients as the whole series and no task holds one.
+    Many pieces share a group and are solved together.
     """
     keys = list(keys)
     v = F.col(value).cast("double")
@@ -156,27 +158,32 @@ def spline_coefficients(
     k = F.col("__k") - 1
     own = F.floor(k / piece)
     near = F.filter(F.sequence(own - 1, own + 1), lambda p: (p >= 0) & (k >= p * piece - halo) & (k <= (p + 1) * piece + halo))
+    groups = max(1, df.count() // rows_per_task)
     spread = knots.select(*keys, "t", "x", k.alias("k"), F.explode(near).alias("p"))
+    spread = spread.withColumn("g", F.pmod(F.xxhash64(*keys, "p"), F.lit(groups)))
     out_schema = T.StructType(
         [df.schema[c] for c in keys] + [T.StructField(c, T.DoubleType()) for c in ("t", "a", "b", "two_c", "three_d")]
     )
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        t, x, k = pdf["t"].to_numpy(), pdf["x"].to_numpy(), pdf["k"].to_numpy()
-        if len(t) < 2:
-            return pd.DataFrame({f.name: [] for f in out_schema})
-        m = knot_slopes(t, x)
-        r = 1.0 / np.diff(t)
+        pdf = pdf.sort_values([*keys, "p", "k"])
+        t, x, k, p = (pdf[c].to_numpy() for c in ("t", "x", "k", "p"))
+        joined = p[1:] == p[:-1]
+        for c in keys:
+            series = pdf[c].to_numpy()
+            joined &= series[1:] == series[:-1]
+        m = knot_slopes(t, x, joined)
+        with np.errstate(divide="ignore"):
+            r = np.where(joined, 1.0 / np.diff(t), 0.0)
         six = 6 * np.diff(x)
         res = pdf.iloc[:-1][[*keys, "t"]].copy()
         res["a"], res["b"] = x[:-1], m[:-1]
         res["two_c"] = (six * r - 4 * m[:-1] - 2 * m[1:]) * r
         res["three_d"] = (-six * r + 3 * (m[:-1] + m[1:])) * r * r
-        p = int(pdf["p"].iloc[0])
-        return res[(k[:-1] >= p * piece) & (k[:-1] < (p + 1) * piece)]
+        inside = (k[:-1] >= p[:-1] * piece) & (k[:-1] < (p[:-1] + 1) * piece)
+        return res[joined & inside]
 
-    solved = spread.groupBy(*keys, "p").applyInPandas(solve, out_schema)
+    solved = spread.groupBy("g").applyInPandas(solve, out_schema)
     at = F.struct(F.col("t").alias("k"), "a", "b", "two_c", "three_d")
     placed = rows.select(*keys, "t", "__j").join(solved, [*keys, "t"], "left")
     held = scan(placed, keys, ["t"], {"__c": last_known(F.when(F.col("a").isNotNull(), at))}, hot_rows)

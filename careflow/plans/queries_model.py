@@ -129,8 +129,8 @@ def previous_action(spark, sf):
 
 
 @query("weighted_sample", "DS10", f"""WITH {MEASUREMENTS}, p AS (SELECT id, v, pow(v, 0.6) AS p, sum(pow(v, 0.6)) OVER (ORDER BY id) AS hi, sum(pow(v, 0.6)) OVER () AS total FROM ev),
-d AS (SELECT j.i AS draw, (j.i + {unit_hash('CAST(j.i AS VARCHAR)', chr(39) + 'draw' + chr(39))}) * (SELECT max(total) FROM p) / 500 AS at FROM range(0, 500) j(i))
-SELECT draw, id, round(pow(p, -0.4), 6) AS importance FROM d JOIN p ON hi - p < at AND at <= hi""")
+d AS (SELECT j.i AS draw, (j.i + {unit_hash('CAST(j.i AS VARCHAR)', chr(39) + 'draw' + chr(39))}) * (SELECT max(total) FROM p) / 500 AS pt FROM range(0, 500) j(i))
+SELECT draw, id, round(pow(p, -0.4), 6) AS importance FROM d JOIN p ON hi - p < pt AND pt <= hi""")
 def weighted_sample(spark, sf):
     ev = measurements(spark, sf).select("id", "v")
     return dataset.weighted_draws(ev, "v", ["id"], 500).select("draw", "id", F.round("importance", 6).alias("importance"))
@@ -323,7 +323,8 @@ def _ratios(spark, sf):
 def sig(c: str, digits: int = 6):
     """Round to significant digits, for values of any size."""
     x = F.col(c)
-    return F.when(x == 0, 0.0).otherwise(F.format_string(f"%.{digits - 1}e", x).cast("double")).alias(c)
+    text = F.when(x.isNotNull(), F.format_string(f"%.{digits - 1}e", x))
+    return F.when(x == 0, 0.0).otherwise(text.cast("double")).alias(c)
 
 
 def sig_sql(x: str, digits: int = 6) -> str:
