@@ -219,7 +219,7 @@ sc AS (SELECT state, action, CASE WHEN p = 0 THEN 0.01::DOUBLE / z ELSE p * (1 -
 sb AS (SELECT q.state, q.action, CASE WHEN q.action = best THEN 0.99::DOUBLE ELSE 0.01::DOUBLE / 4 END AS p FROM q JOIN best USING (state))"""
 
 
-@query("soft_policy", "MD9 GRD JN9", f"WITH {_SOFT_SQL} SELECT sb.state, sb.action, round(sb.p, 6) AS target, round(sc.p, 6) AS behaviour, round(CASE WHEN fz.p = 0 THEN 0.01::DOUBLE / z ELSE fz.p - 0.01::DOUBLE / (5 - z) END, 6) AS subtractive FROM sb JOIN sc USING (state, action) JOIN fz USING (state, action)")
+@query("soft_policy", "MD9 JN9", f"WITH {_SOFT_SQL} SELECT sb.state, sb.action, round(sb.p, 6) AS target, round(sc.p, 6) AS behaviour, round(CASE WHEN fz.p = 0 THEN 0.01::DOUBLE / z ELSE fz.p - 0.01::DOUBLE / (5 - z) END, 6) AS subtractive FROM sb JOIN sc USING (state, action) JOIN fz USING (state, action)")
 def soft_policy(spark, sf):
     clin = mdp.clinician_policy(counts(spark, sf))
     target = mdp.soft_best(_q(spark, sf), N_ACTIONS).withColumnRenamed("p", "target")

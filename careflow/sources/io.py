@@ -145,10 +145,11 @@ def write_split(df: DataFrame, path: str, parts: Mapping[str, Sequence[str]], sp
         df.select(*columns, split).write.mode("overwrite").partitionBy(split).parquet(f"{path}/{name}")
 
 
-def cached_table(spark: SparkSession, name: str, build) -> DataFrame:
-    """A derived table, built and saved on first use."""
+def cached_table(spark: SparkSession, name: str, build, path: str | None = None) -> DataFrame:
+    """A derived table, built and saved on first use, in the warehouse or under `path`."""
     if not spark.catalog.tableExists(name):
-        build().write.saveAsTable(name)
+        w = build().write
+        (w.option("path", path) if path else w).saveAsTable(name)
     return spark.table(name)
 
 
@@ -171,12 +172,15 @@ def load_model(spark: SparkSession, path: str, tables: Sequence[str]) -> tuple[d
     return loaded, params
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One text file per record with lines `HH:MM,param,value`: `(record, hours, param, value)`."""
+def read_records(spark: SparkSession, path: str, record: str = r"([^/.]+)[^/]*$") -> DataFrame:
+    """One text file per record with lines `HH:MM,param,value`: `(record, hours, param, value)`.
+
+    `record` finds the record id in the file path; by default it is the file name up to its first dot.
+    """
     rows = spark.read.schema("time string, param string, value double").option("header", True).csv(path)
     part = F.split("time", ":")
     return rows.select(
-        F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1).alias("record"),
+        F.regexp_extract(F.col("_metadata.file_path"), record, 1).alias("record"),
         (part[0].cast("double") + part[1].cast("double") / 60).alias("hours"), "param", "value",
     ).filter(F.col("param") != "RecordID")
 
