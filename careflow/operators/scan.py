@@ -106,20 +106,20 @@ def find_hot(df: DataFrame, keys: Sequence[str], lead: str, limit: int) -> list[
 
 def tag_pieces(df: DataFrame, keys: Sequence[str], lead: str, hot: list[tuple]) -> DataFrame:
     """Add PIECE: the slice of a large key a row falls in, null for every other key."""
-    lo, hi, n = F.col("__lo"), F.col("__hi"), F.col("__n")
+    lo, hi, n = F.col("__hot_lo"), F.col("__hot_hi"), F.col("__hot_n")
     piece = F.least(F.floor((F.col(lead).cast("double") - lo) * n / (hi - lo)), n - 1).cast("long")
     if not keys:
         ((low, high, pieces),) = hot
         return (
-            df.withColumns({"__lo": F.lit(low), "__hi": F.lit(high), "__n": F.lit(pieces).cast("long")})
-            .withColumn(PIECE, piece).drop("__lo", "__hi", "__n")
+            df.withColumns({"__hot_lo": F.lit(low), "__hot_hi": F.lit(high), "__hot_n": F.lit(pieces).cast("long")})
+            .withColumn(PIECE, piece).drop("__hot_lo", "__hot_hi", "__hot_n")
         )
     schema = T.StructType(
         [T.StructField(k, df.schema[k].dataType) for k in keys]
-        + [T.StructField("__lo", T.DoubleType()), T.StructField("__hi", T.DoubleType()), T.StructField("__n", T.LongType())]
+        + [T.StructField("__hot_lo", T.DoubleType()), T.StructField("__hot_hi", T.DoubleType()), T.StructField("__hot_n", T.LongType())]
     )
     table = df.sparkSession.createDataFrame(hot, schema)
-    return df.join(F.broadcast(table), list(keys), "left").withColumn(PIECE, piece).drop("__lo", "__hi", "__n")
+    return df.join(F.broadcast(table), list(keys), "left").withColumn(PIECE, piece).drop("__hot_lo", "__hot_hi", "__hot_n")
 
 
 def _order(order: Sequence[str], backward: bool) -> list[Column]:
