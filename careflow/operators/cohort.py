@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from careflow.session import cut_lineage
+
 
 def extreme_stays(
     df: DataFrame, limits: Mapping[str, float] = {"output_step": 12000, "Total_bili": 10000, "input_step": 10000},
@@ -45,12 +47,13 @@ def died_during_record(
 def exclude_in_turn(df: DataFrame, rules: list[tuple], stay: str = "icustayid") -> tuple[DataFrame, DataFrame]:
     """Apply exclusion rules one after the other, each on what the last left.
 
-    `rules` are (name, function from rows to stays). Returns the rows kept and an
+    `rules` are (name, function from rows to stays); each is evaluated once and its
+    stays are written out, so the plan does not nest. Returns the rows kept and an
     audit table with the stays before each rule, those it removed and those left.
     """
     audit = None
     for i, (name, rule) in enumerate(rules):
-        out = rule(df)
+        out = cut_lineage(rule(df))
         kept = df.join(out, stay, "left_anti")
         row = (
             df.select(stay).distinct().join(out.withColumn("__x", F.lit(1)), stay, "left")

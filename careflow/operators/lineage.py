@@ -39,7 +39,7 @@ def _walk(log: DataFrame, seeds: DataFrame, backward: bool, max_rounds: int) ->
 
     A frontier holds one bound per (query, cell): records of the cell beyond the bound
     in time cannot be on the path. Each round is one equi-join, what was found before
-    is anti-joined away, and the result is checkpointed.
+    is anti-joined away, and the result is written out.
     """
     refs = with_references(log)
     query = ["query_row", "query_col"]

@@ -58,7 +58,7 @@ def impute_bins(df: DataFrame, hours: float = 4.0, block: int = 10_000, correct:
         numeric = [c for c in C.DEMOGRAPHICS + C.STATE_COLUMNS + C.IN_OUT if c in df.columns]
         df = impute.interpolate_sparse_gaps(df, order, numeric)
     if nearest:
-        df = cut_lineage(impute.fill_from_nearest(df, order, C.VITALS + C.LABS, block).drop("row"))
+        df = cut_lineage(impute.fill_from_nearest(df, order, C.VITALS + C.LABS, block).drop("row"), "filled")
     return scores.with_scores(df, hours) if score else df
 
 
@@ -73,20 +73,21 @@ def build_dataset(
         t["ce"], t["labs"], t["mechvent"], onsets, t["demog"], t.get("mechvent_pe"), hours_before, hours_after,
         members=members,
     )
-    rows, bounds = cut_lineage(impute_states(cut_lineage(raw))), cut_lineage(bounds)
+    rows = cut_lineage(impute_states(cut_lineage(raw, "states")), "held")
+    bounds = cut_lineage(bounds, "bounds")
     binned, _ = bins.states_and_actions(
         rows, bounds, t["demog"], t["fluid_mv"], t["preadm_fluid"], t["vaso_mv"], t["uo"], t["preadm_uo"],
         t.get("fluid_cv"), t.get("vaso_cv"), hours, hours_before, hours_after,
     )
-    return impute_bins(cut_lineage(binned), hours, block), bounds
+    return cut_lineage(impute_bins(cut_lineage(binned, "bins"), hours, block), "scored"), bounds
 
 
 def model_dataset(scored: DataFrame, members: DataFrame, share: float = 0.6, outcome: str = "died_in_hosp") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Cohort rows with their split: raw, normalised by the training part, and the scaler."""
     rows = joins.keep_members(scored, members, "icustayid")
-    rows = dataset.split_by_key(rows, "icustayid", share).withColumn("outcome", F.col(outcome))
+    rows = cut_lineage(dataset.split_by_key(rows, "icustayid", share).withColumn("outcome", F.col(outcome)), "raw")
     scaler = cut_lineage(dataset.fit_scaler(rows.filter(F.col("split") == "train")))
-    return rows, dataset.apply_scaler(rows, scaler), scaler
+    return rows, cut_lineage(dataset.apply_scaler(rows, scaler), "normed"), scaler
 
 
 def train_and_evaluate(
@@ -101,7 +102,7 @@ def train_and_evaluate(
     rows = normed.join(raw.select(*key, action.cast("int").alias("action")), key)
     rows = dataset.split_by_key(rows, "icustayid", 1 - validation, f"model-{seed}", "part")
     model = mdp.fit_state_clusters(rows.filter("part = 'train'"), C.FEATURES, n_clusters, share, starts, seed=seed, row_key=key)
-    rows = cut_lineage(mdp.assign_states(rows, model, C.FEATURES).select(*key, "part", "state", "action", "outcome"))
+    rows = cut_lineage(mdp.assign_states(rows, model, C.FEATURES).select(*key, "part", "state", "action", "outcome"), "visited")
     train, val = rows.filter("part = 'train'"), rows.filter("part = 'test'")
     n_states, n_actions = n_clusters + 2, n_bins * n_bins
     counts = cut_lineage(mdp.transition_counts(mdp.complete_records(train, n_clusters, reward), threshold))
@@ -111,11 +112,11 @@ def train_and_evaluate(
     clinician = mdp.clinician_policy(counts)
     behaviour, target = mdp.soft_clinician(clinician, n_clusters, n_actions, epsilon), mdp.soft_best(q, n_actions, epsilon)
     scored = mdp.score_rows(val, q, {"behaviour": behaviour, "target": target})
-    ratios = cut_lineage(ope.stay_ratios(scored, "behaviour", "target", "outcome", gamma, reward))
-    wis = ope.weighted_value(ope.bootstrap_samples(ratios, replicates), ["replicate"])
-    records = cut_lineage(mdp.complete_records(val, n_clusters, reward))
+    ratios = cut_lineage(ope.stay_ratios(scored, "behaviour", "target", "outcome", gamma, reward), "ratios")
+    wis = cut_lineage(ope.weighted_value(ope.bootstrap_samples(ratios, replicates), ["replicate"]), "wis")
+    records = cut_lineage(mdp.complete_records(val, n_clusters, reward), "records")
     draws = ope.sampled_traces(val, "icustayid", td_draws, td_replicates)
-    td = ope.policy_value(records, clinician, ope.td_q(records, draws, gamma), n_clusters)
+    td = cut_lineage(ope.policy_value(records, clinician, ope.td_q(records, draws, gamma), n_clusters), "td")
     return {
         "counts": counts, "p": p, "r": r, "q": q, "clinician": clinician, "scored": scored, "wis": wis, "td": td,
         "wis_stats": ope.replicate_stats(wis, "wis"), "td_stats": ope.replicate_stats(td, "value"),

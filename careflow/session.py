@@ -50,11 +50,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss and stops plans growing in loops."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def load(spark: SparkSession, directory: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{directory}/{table}.parquet")
+def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write a result as a table on shared storage and read it back.
+
+    It survives executor loss and stops plans growing in loops. A table rather than a
+    row checkpoint: it is columnar, later readers take only the columns they use, and
+    its true size is known to the optimiser (a checkpoint keeps the estimate of its
+    old plan, which multiplies with every self-join of a loop).
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
