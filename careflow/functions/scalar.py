@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column
@@ -92,9 +93,15 @@ def quantise(t: Column, step: float) -> Column:
 
 def hash_unit(*parts: Column | str) -> Column:
     """Reproducible number in [0, 1) from an MD5 of the parts, equal on every engine."""
-    cols = [p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts]
-    digest = F.md5(F.concat_ws("|", *cols))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+    return F.conv(F.substring(hash_order(*parts), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+
+
+def hash_below(share: float, *parts: Column | str) -> Column:
+    """`hash_unit(...) < share` as one comparison of hexadecimal text."""
+    bound = math.ceil(share * 4294967296)
+    if bound >= 4294967296:
+        return F.lit(True)
+    return F.substring(hash_order(*parts), 1, 8) < F.lit(f"{max(bound, 0):08x}")
 
 
 def hash_order(*parts: Column | str) -> Column:

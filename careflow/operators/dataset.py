@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from careflow import constants as C
-from careflow.functions.scalar import digitize, hash_unit, one_hot
+from careflow.functions.scalar import digitize, hash_below, hash_unit, one_hot
 from careflow.operators.scan import (
     exact_quantiles, following, row_number, row_number_from_end, running_sum, scan,
 )
@@ -18,7 +18,7 @@ MAX_PACKED_STEPS = 10_000
 
 def split_by_key(df: DataFrame, key: str, share: float, seed: str = "split", name: str = "split") -> DataFrame:
     """Mark whole entities as train or test by a hash of their key; needs no shuffle and never leaks an entity."""
-    return df.withColumn(name, F.when(hash_unit(F.col(key), seed) < share, "train").otherwise("test"))
+    return df.withColumn(name, F.when(hash_below(share, F.col(key), seed), "train").otherwise("test"))
 
 
 def log_clip(c: Column, shift: float = 0.1) -> Column:

@@ -67,34 +67,49 @@ def _pieces(start: Column, end: Column, levels: int) -> Column:
 
 def first_covering(
     points: DataFrame, intervals: DataFrame, key: str, time: str, start: str, end: str, rank: str, payload: str,
-    name: str,
+    name: str, few: int = 64,
 ) -> DataFrame:
     """Attach to each point the payload of the lowest-ranked interval of its key that covers it, else null.
 
-    Intervals are cut into aligned blocks and only the best rank per block is kept,
-    so a point meets one row per block size and never every interval of its key.
+    Keys with at most `few` intervals are joined directly. The intervals of larger keys
+    are cut into aligned blocks and only the best rank per block is kept, so a point
+    meets one row per block size and never every interval of its key.
     """
-    longest = intervals.agg(F.max(F.col(end) - F.col(start))).first()[0] or 0
+    best = F.struct(F.col(rank).alias("r"), F.col(payload).alias("p")).alias("__best")
+    spans = intervals.filter((F.col(end) >= F.col(start)) & F.col(key).isNotNull()).select(
+        key, F.col(start).alias("__from"), F.col(end).alias("__to"), best,
+    )
+    asked = points.filter(F.col(key).isNotNull()).select(key, time).distinct()
+    sizes = spans.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.max(F.col("__to") - F.col("__from")).alias("__longest"))
+    large = sizes.filter(F.col("__n") > few)
+    longest = large.agg(F.max("__longest")).first()[0]
+    small = spans if longest is None else spans.join(large.select(key), key, "left_anti")
+    inside = (F.col("__from") <= F.col(time)) & (F.col(time) <= F.col("__to"))
+    found = asked.join(small, key).filter(inside).select(key, time, "__best")
+    if longest is not None:
+        found = found.unionByName(_covering_by_blocks(
+            asked.join(large.select(key), key, "left_semi"), spans.join(large.select(key), key, "left_semi"), key, time, longest,
+        ))
+    found = found.groupBy(key, time).agg(F.min("__best")["p"].alias(name))
+    return points.join(found, [key, time], "left")
+
+
+def _covering_by_blocks(asked: DataFrame, spans: DataFrame, key: str, time: str, longest: int) -> DataFrame:
     levels = 1
     while FANOUT ** levels <= longest + 1:
         levels += 1
-    best = (
-        intervals.filter(F.col(end) >= F.col(start))
-        .select(key, F.struct(F.col(rank).alias("r"), F.col(payload).alias("p")).alias("__best"),
-                F.explode(_pieces(F.col(start), F.col(end), levels)).alias("b"))
+    blocks = (
+        spans.select(key, "__best", F.explode(_pieces(F.col("__from"), F.col("__to"), levels)).alias("b"))
         .groupBy(key, F.col("b.level").alias("level"), F.col("b.block").alias("block"))
         .agg(F.min("__best").alias("__best"))
     )
     probes = F.explode(F.array(*[
         F.struct(F.lit(lv).alias("level"), F.floor(F.col(time) / FANOUT ** lv).alias("block")) for lv in range(levels)
     ]))
-    asked = points.filter(F.col(key).isNotNull()).select(key, time).distinct()
-    found = (
+    return (
         asked.select(key, time, probes.alias("b")).select(key, time, "b.level", "b.block")
-        .join(best, [key, "level", "block"])
-        .groupBy(key, time).agg(F.min("__best")["p"].alias(name))
+        .join(blocks, [key, "level", "block"]).select(key, time, "__best")
     )
-    return points.join(found, [key, time], "left")
 
 
 def impute_stay_ids(

@@ -39,7 +39,7 @@ def _walk(log: DataFrame, seeds: DataFrame, backward: bool, max_rounds: int) ->
 
     A frontier holds one bound per (query, cell): records of the cell beyond the bound
     in time cannot be on the path. Each round is one equi-join, what was found before
-    is anti-joined away, and the result is written out.
+    is anti-joined away, and only what is new is written out.
     """
     refs = with_references(log)
     query = ["query_row", "query_col"]
@@ -61,7 +61,7 @@ def _walk(log: DataFrame, seeds: DataFrame, backward: bool, max_rounds: int) ->
         new = cut_lineage(step.join(seen, [*query, "seq"], "left_anti"))
         if new.isEmpty():
             return seen
-        seen = cut_lineage(seen.unionByName(new.select(*query, "seq")))
+        seen = seen.unionByName(new.select(*query, "seq"))
     raise RuntimeError(f"lineage deeper than {max_rounds} rounds")
 
 

@@ -14,7 +14,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from careflow.functions.scalar import hash_unit, softmax_of
+from careflow.functions.scalar import hash_below, softmax_of
 from careflow.operators.scan import following, scan
 from careflow.session import cut_lineage
 
@@ -27,7 +27,7 @@ def fit_state_clusters(
     seed: int = 0, row_key: Sequence[str] | None = None,
 ) -> KMeansModel:
     """Best of several k-means runs on a share of the rows."""
-    part = df.filter(hash_unit(*[F.col(c) for c in row_key], str(seed)) < share) if row_key else df.sample(share, seed)
+    part = df.filter(hash_below(share, *[F.col(c) for c in row_key], str(seed))) if row_key else df.sample(share, seed)
     data = VectorAssembler(inputCols=list(features), outputCol="features").transform(part).select("features").persist()
     best = None
     for s in range(starts):

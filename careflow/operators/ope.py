@@ -8,11 +8,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from careflow.functions.scalar import hash_order, hash_unit
+from careflow.functions.scalar import hash_below, hash_order, hash_unit
 from careflow.operators.scan import (
     exact_quantiles, find_hot, following, number_rows, remaining_sum, row_number, scan,
 )
-from careflow.session import hot_rows as default_hot_rows
+from careflow.session import spread
 
 SMALLEST = 1e-100
 
@@ -166,7 +166,7 @@ def weighted_value(ratios: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def _replicates_of(stay: Column, replicates: int, seed: str, share: float) -> Column:
     """Replicate numbers whose hash admits the stay, filtered before any row is made."""
     every = F.sequence(F.lit(0), F.lit(replicates - 1))
-    return every if share >= 1 else F.filter(every, lambda r: hash_unit(stay, r, seed) < share)
+    return every if share >= 1 else F.filter(every, lambda r: hash_below(share, stay, r, seed))
 
 
 def bootstrap_samples(
@@ -184,7 +184,7 @@ def bootstrap_samples(
     need = size / max(total, 1)
     margin = min(1.0, need + 12 * math.sqrt(need / max(total, 1)) + 100 / max(total, 1))
     s = F.col(stay)
-    made = ratios.withColumn("replicate", F.explode(_replicates_of(s, replicates, seed, margin)))
+    made = spread(ratios).withColumn("replicate", F.explode(_replicates_of(s, replicates, seed, margin)))
     w = Window.partitionBy("replicate").orderBy(hash_order(s, F.col("replicate"), seed), s)
     return made.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= size).drop("__k")
 
@@ -195,7 +195,7 @@ def bernoulli_samples(
     """Samples in which each stay takes part with probability min(most / stays, share)."""
     total = ratios.count()
     p = min(most / max(total, 1), share)
-    return ratios.withColumn("replicate", F.explode(_replicates_of(F.col(stay), replicates, seed, p)))
+    return spread(ratios).withColumn("replicate", F.explode(_replicates_of(F.col(stay), replicates, seed, p)))
 
 
 def replicate_stats(values: DataFrame, value: str, keys: Sequence[str] = (), probs: Mapping[str, float] | None = None) -> DataFrame:

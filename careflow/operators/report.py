@@ -7,8 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from careflow.functions.scalar import hash_unit
+from careflow.functions.scalar import hash_below
 from careflow.operators.scan import exact_quantiles
+from careflow.session import spread
 
 
 def missingness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -74,8 +75,8 @@ def resampled_bins(
     total = stays.count()
     p = min(most / max(total, 1), share)
     s = F.col(stay)
-    picked = F.filter(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: hash_unit(s, r, seed) < p)
-    rows = stays.withColumn("replicate", F.explode(picked)).withColumn("bin", F.explode(closed_bins(F.col(value), low, width, n)))
+    picked = F.filter(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: hash_below(p, s, r, seed))
+    rows = spread(stays.select(stay, value, outcome)).withColumn("replicate", F.explode(picked)).withColumn("bin", F.explode(closed_bins(F.col(value), low, width, n)))
     return rows.groupBy("replicate", "bin").agg(
         F.count(F.lit(1)).alias("n"), F.avg(outcome).alias("mean"), F.stddev_pop(outcome).alias("std"),
     )

@@ -218,8 +218,9 @@ def exact_quantiles(
     limit = hot_rows or default_hot_rows(df.sparkSession)
     hot = find_hot(rows, keys, value, limit)
     if not hot:
-        aggs = [F.percentile(F.col(value).cast("double"), F.lit(p)).alias(name) for name, p in probs.items()]
-        return rows.groupBy(*keys).agg(*aggs) if keys else rows.agg(*aggs)
+        every = F.percentile(F.col(value).cast("double"), F.array(*[F.lit(float(p)) for p in probs.values()])).alias("__q")
+        got = rows.groupBy(*keys).agg(every) if keys else rows.agg(every)
+        return got.select(*keys, *[F.get("__q", F.lit(i)).alias(name) for i, name in enumerate(probs)])
     counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
     ranked = scan(
         counts, keys, [value],

@@ -28,7 +28,7 @@ WHERE t >= b + j.i * {WIDTH} AND t <= b + (j.i + 1) * {WIDTH} GROUP BY 1, 2""")
 def binned_states(spark, sf):
     wide = cleaning.null_outliers(wide_states(spark, sf), {c: (5, 400) for c in COLS})
     held = impute.hold(wide, "stay", "t", _HELD_HOURS)
-    starts = bins.bin_starts(wide_states(spark, sf).select("stay", "t"), "stay", "t")
+    starts = bins.bin_starts(measurements(spark, sf), "stay", "t")
     e = bins.explode_points(held, starts, "stay", "t", WIDTH, N)
     out = e.groupBy("stay", "bin").agg(*[F.avg(c).alias(c) for c in COLS], F.count(F.lit(1)).alias("n"))
     return rounded(out, COLS)

@@ -12,7 +12,7 @@ from careflow.plans.registry import query
 from careflow.plans.standins import (
     COUNTS, INTERVALS, MEASUREMENTS, RECORDS, STAYS, TRAJECTORIES, intervals, measurements, trajectories, unit_hash,
 )
-from careflow.session import load
+from careflow.session import cut_lineage, load
 
 N_STATES, N_ACTIONS, GAMMA = 10, 5, 0.9
 
@@ -26,6 +26,11 @@ def counts(spark, sf):
     return mdp.transition_counts(records(spark, sf), 5)
 
 
+def model_counts(spark, sf):
+    """The counts as a table of their own, for queries that use them several times."""
+    return cut_lineage(counts(spark, sf))
+
+
 # ---- dataset preparation ------------------------------------------------------------------------
 
 
@@ -182,33 +187,34 @@ _Q_SQL = _VALUE_SQL + f""", q AS (SELECT g.state, g.action, coalesce(r, 0) + {GA
 best AS (SELECT state, arg_max(action, struct_pack(q := round(q, 9), a := -action)) AS best, max(q) AS v FROM q GROUP BY 1)"""
 
 
-def _values(spark, sf):
-    p = mdp.transition_model(counts(spark, sf))
+def _values(spark, c):
+    p = mdp.transition_model(c)
     r = mdp.expected_reward(p, N_STATES)
     policy = spark.range(N_STATES + 2).select(F.col("id").cast("int").alias("state"), F.lit(1).alias("action"))
     return p, r, mdp.evaluate_policy(p, r, policy, GAMMA, sweeps=4)
 
 
-def _q(spark, sf):
-    p, r, v = _values(spark, sf)
-    return mdp.full_q(mdp.backup(p, r, v, GAMMA), N_STATES + 2, N_ACTIONS).withColumn("q", F.round("q", 9))
+def q_table(spark, c):
+    """Q of four sweeps, rounded so that equal values tie on every engine; a table of states x actions."""
+    p, r, v = _values(spark, c)
+    return cut_lineage(mdp.full_q(mdp.backup(p, r, v, GAMMA), N_STATES + 2, N_ACTIONS).withColumn("q", F.round("q", 9)))
 
 
 @query("policy_sweeps", "MD6", f"WITH {_VALUE_SQL} SELECT state, round(v, 5) AS v FROM v4")
 def policy_sweeps(spark, sf):
-    return rounded(_values(spark, sf)[2], ["v"], 5)
+    return rounded(_values(spark, model_counts(spark, sf))[2], ["v"], 5)
 
 
 @query("bellman_backup", "MD7 SR3", f"WITH {_Q_SQL} SELECT q.state, q.action, round(q, 5) AS q, CAST(best AS INT) AS best_action FROM q JOIN best USING (state)")
 def bellman_backup(spark, sf):
-    q = _q(spark, sf)
+    q = q_table(spark, model_counts(spark, sf))
     best = mdp.best_actions(q).select("state", F.col("action").alias("best_action"))
     return q.join(best, "state").select("state", "action", F.round("q", 5).alias("q"), "best_action")
 
 
 @query("policy_iteration", "MD6 MD7 MD8")
 def policy_iteration(spark, sf):
-    p = mdp.transition_model(counts(spark, sf))
+    p = mdp.transition_model(model_counts(spark, sf))
     policy, q, _ = mdp.policy_iteration(p, mdp.expected_reward(p, N_STATES), N_STATES + 2, N_ACTIONS, GAMMA)
     return q.join(policy.withColumnRenamed("action", "policy_action"), "state")
 
@@ -221,8 +227,9 @@ sb AS (SELECT q.state, q.action, CASE WHEN q.action = best THEN 0.99::DOUBLE ELS
 
 @query("soft_policy", "MD9 JN9", f"WITH {_SOFT_SQL} SELECT sb.state, sb.action, round(sb.p, 6) AS target, round(sc.p, 6) AS behaviour, round(CASE WHEN fz.p = 0 THEN 0.01::DOUBLE / z ELSE fz.p - 0.01::DOUBLE / (5 - z) END, 6) AS subtractive FROM sb JOIN sc USING (state, action) JOIN fz USING (state, action)")
 def soft_policy(spark, sf):
-    clin = mdp.clinician_policy(counts(spark, sf))
-    target = mdp.soft_best(_q(spark, sf), N_ACTIONS).withColumnRenamed("p", "target")
+    c = model_counts(spark, sf)
+    clin = mdp.clinician_policy(c)
+    target = mdp.soft_best(q_table(spark, c), N_ACTIONS).withColumnRenamed("p", "target")
     b = mdp.soft_clinician(clin, N_STATES, N_ACTIONS).withColumnRenamed("p", "behaviour")
     s = mdp.soft_clinician(clin, N_STATES, N_ACTIONS, subtract=True).withColumnRenamed("p", "subtractive")
     return rounded(target.join(b, ["state", "action"]).join(s, ["state", "action"]), ["target", "behaviour", "subtractive"])
@@ -234,8 +241,9 @@ _SCORED_SQL = _SOFT_SQL + """, scored AS (SELECT r.icustayid, r.bloc, r.state, r
 
 
 def _scored(spark, sf, rows=None):
-    q = _q(spark, sf)
-    b = mdp.soft_clinician(mdp.clinician_policy(counts(spark, sf)), N_STATES, N_ACTIONS)
+    c = model_counts(spark, sf)
+    q = q_table(spark, c)
+    b = mdp.soft_clinician(mdp.clinician_policy(c), N_STATES, N_ACTIONS)
     return mdp.score_rows(records(spark, sf) if rows is None else rows, q, {"behaviour": b, "target": mdp.soft_best(q, N_ACTIONS)})
 
 
@@ -247,7 +255,7 @@ def row_scores(spark, sf):
 
 @query("softmax_policy", "MD10", f"WITH {_Q_SQL} SELECT state, action, round(exp(greatest(least(q, 100), -100)) / sum(exp(greatest(least(q, 100), -100))) OVER (PARTITION BY state), 6) AS p FROM q")
 def softmax_policy(spark, sf):
-    return rounded(mdp.softmax_policy(mdp.clip_q(_q(spark, sf))), ["p"])
+    return rounded(mdp.softmax_policy(mdp.clip_q(q_table(spark, model_counts(spark, sf)))), ["p"])
 
 
 @query("policy_agreement", "OP10", f"WITH {_SCORED_SQL} SELECT round(avg((action = best)::INT), 6) AS agreement FROM scored WHERE action >= 0")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from careflow.functions import scalar
 from careflow.operators import lineage, mdp, report, scan, series
 from careflow.plans.queries_clean import rounded
-from careflow.plans.queries_model import _Q_SQL, N_ACTIONS, _q, records
+from careflow.plans.queries_model import _Q_SQL, model_counts, q_table, records
 from careflow.plans.registry import query
 from careflow.plans.standins import (
     GAPPY, MEASUREMENTS, RECORDS, TRAJECTORIES, gappy, measurements, trajectories, unit_hash,
@@ -21,7 +21,7 @@ _EXCESS_SQL = _Q_SQL + """, ex AS (SELECT r.icustayid, r.bloc, r.outcome, tr.v -
 def _excess(spark, sf):
     doses = trajectories(spark, sf).select(F.col("stay").alias("icustayid"), "bloc", F.col("v").alias("input_step"), (F.col("v") / 500).alias("max_dose_vaso"))
     medians = lambda step: spark.range(3).select(F.col("id").alias("bin"), (F.col("id") * step).alias("median"))
-    return report.dose_excess(records(spark, sf), mdp.best_actions(_q(spark, sf)), doses, medians(60.0), medians(0.3), n_bins=2)
+    return report.dose_excess(records(spark, sf), mdp.best_actions(q_table(spark, model_counts(spark, sf))), doses, medians(60.0), medians(0.3), n_bins=2)
 
 
 @query("dose_excess", "RP1", f"WITH {_EXCESS_SQL} SELECT icustayid, bloc, outcome, round(fluid_excess, 5) AS fluid_excess, round(vaso_excess, 5) AS vaso_excess FROM ex")

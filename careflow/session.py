@@ -32,6 +32,11 @@ def hot_rows(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.careflow.hotRows", str(DEFAULT_HOT_ROWS)))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Even out few or lopsided partitions before a step that costs much more CPU than a shuffle of its rows."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
@@ -61,3 +66,7 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def load(spark: SparkSession, directory: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{directory}/{table}.parquet")
