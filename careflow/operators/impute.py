@@ -9,7 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careflow.operators.scan import known_after, known_before, last_known, number_rows, row_number, scan
+from careflow.operators.scan import (
+    find_hot, known_after, known_before, last_known, number_rows, row_number, same_rows, scan,
+)
+from careflow.session import hot_rows as default_hot_rows
 
 
 def hold(
@@ -49,15 +52,16 @@ def interpolate(
     total order with a numeric leading column.
     """
     keys = list(by)
+    hot = find_hot(df, keys, order[0], hot_rows or default_hot_rows(df.sparkSession))
     if keys:
-        pos = scan(df, keys, order, {"__pos": row_number()}, hot_rows)
+        pos = scan(df, keys, order, {"__pos": row_number()}, hot_rows, hot)
     else:
-        pos = number_rows(df, order, "__pos", hot_rows)
+        pos = number_rows(df, order, "__pos", hot_rows, hot)
     steps = {}
     for i, c in enumerate(columns):
         point = F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col("__pos").alias("p")))
         steps[f"__a{i}"], steps[f"__b{i}"] = known_before(point), known_after(point)
-    both = scan(pos, keys, ["__pos"], steps, hot_rows)
+    both = scan(pos, keys, ["__pos"], steps, hot_rows, same_rows(hot))
     cols = {}
     for i, c in enumerate(columns):
         a, b = F.col(f"__a{i}"), F.col(f"__b{i}")

@@ -45,13 +45,13 @@ def assign_states(df: DataFrame, model: KMeansModel, features: Sequence[str]) ->
 
 def complete_records(
     df: DataFrame, n_states: int, reward: float = 100.0, stay: str = "icustayid", bloc: str = "bloc",
-    state: str = "state", action: str = "action", outcome: str = "outcome",
+    state: str = "state", action: str = "action", outcome: str = "outcome", hot: list | None = None,
 ) -> DataFrame:
     """Each row with the *next* action; the last row of a stay becomes its absorbing state.
 
     Survivors end in state n+1 with +reward, the others in state n with -reward.
     """
-    seen = scan(df, [stay], [bloc], {"__next": following(F.col(action))})
+    seen = scan(df, [stay], [bloc], {"__next": following(F.col(action))}, hot=hot)
     last, died = F.col("__next").isNull(), F.col(outcome) == 1
     return seen.select(
         F.col(bloc).alias("bloc"), F.col(stay).alias("icustayid"),
@@ -62,12 +62,12 @@ def complete_records(
     )
 
 
-def transition_counts(records: DataFrame, at_most: int | None = 5, per_visit: bool = False) -> DataFrame:
+def transition_counts(records: DataFrame, at_most: int | None = 5, per_visit: bool = False, hot: list | None = None) -> DataFrame:
     """Stays per (state, action, next state); pairs seen `at_most` times or fewer are dropped.
 
     A repeated transition counts once per stay; `per_visit` counts every occurrence.
     """
-    steps = scan(records, ["icustayid"], ["bloc"], {"next_state": following(F.col("state"))})
+    steps = scan(records, ["icustayid"], ["bloc"], {"next_state": following(F.col("state"))}, hot=hot)
     steps = steps.filter(F.col("next_state").isNotNull()).select("icustayid", *SA, "next_state")
     if not per_visit:
         steps = steps.distinct()

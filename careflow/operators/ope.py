@@ -19,23 +19,29 @@ SMALLEST = 1e-100
 
 def future_returns(
     df: DataFrame, keys: Sequence[str], order: str, reward: str, gamma: float, name: str = "ret",
-    hot_rows: int | None = None,
+    last: str | None = None, hot_rows: int | None = None,
 ) -> DataFrame:
     """Discounted reward after each row: sum of gamma^(k-1) r over the rows k steps ahead, 0 for the last.
 
+    With `last` a column of that name marks the last row of each key.
+
     Long series are cut into blocks in which gamma^steps stays representable. What
     lies more than a block ahead weighs under 1e-100 and only the next block's total
     is carried over, so the result is exact to double precision.
     """
     keys = list(keys)
-    steps = {"__i": row_number(), "__r": following(F.col(reward).cast("double"))}
-    ahead = scan(df, keys, [order], steps, hot_rows).withColumn("__r", F.coalesce("__r", F.lit(0.0)))
+    block = None if gamma >= 1 else max(1, math.floor(math.log(SMALLEST) / math.log(gamma))) if gamma > 0 else 1
+    hot = [] if block and not find_hot(df, keys, order, block) else None
+    steps = {"__i": row_number(), "__r": following(F.struct(F.col(reward).cast("double").alias("r")))}
+    ahead = scan(df, keys, [order], steps, hot_rows, hot)
+    if last:
+        ahead = ahead.withColumn(last, F.col("__r").isNull())
+    ahead = ahead.withColumn("__r", F.coalesce(F.col("__r")["r"], F.lit(0.0)))
     if gamma >= 1:
         return scan(ahead, keys, [order], {name: remaining_sum(F.col("__r"))}, hot_rows).drop("__i", "__r")
-    block = max(1, math.floor(math.log(SMALLEST) / math.log(gamma))) if gamma > 0 else 1
-    if not find_hot(df, keys, order, block):
+    if hot == []:
         w = F.pow(F.lit(gamma), F.col("__i") - 1)
-        out = scan(ahead, keys, [order], {name: remaining_sum(F.col("__r") * w)}, hot_rows, hot=[])
+        out = scan(ahead, keys, [order], {name: remaining_sum(F.col("__r") * w)}, hot_rows, hot)
         return out.withColumn(name, F.col(name) / w).drop("__i", "__r")
     k = (F.col("__i") - 1) % block
     w = F.pow(F.lit(gamma), k)
@@ -76,9 +82,8 @@ def td_q(
     records: DataFrame, draws: DataFrame, gamma: float = 0.99, alpha: float = 0.1, hot_rows: int | None = None,
 ) -> DataFrame:
     """Q per replicate from drawn traces. The last row of a trace and rows without an action update nothing."""
-    rets = future_returns(records, ["icustayid"], "bloc", "reward", gamma, "g")
-    ends = scan(rets, ["icustayid"], ["bloc"], {"__after": following(F.lit(1))})
-    rows = ends.filter(F.col("__after").isNotNull() & (F.col("action") >= 0)).select("icustayid", "bloc", "state", "action", "g")
+    rets = future_returns(records, ["icustayid"], "bloc", "reward", gamma, "g", last="__last")
+    rows = rets.filter(~F.col("__last") & (F.col("action") >= 0)).select("icustayid", "bloc", "state", "action", "g")
     updates = rows.join(draws, "icustayid").withColumn("__late", -F.col("draw"))
     return averaged_q(updates, ["replicate", "state", "action"], ["__late", "bloc"], "g", alpha, hot_rows)
 

@@ -104,6 +104,19 @@ def find_hot(df: DataFrame, keys: Sequence[str], lead: str, limit: int) -> list[
     ]
 
 
+def same_rows(hot: list[tuple]) -> list[tuple] | None:
+    """What a measurement says about a scan of the same rows in another order: no large key stays none."""
+    return [] if not hot else None
+
+
+def colocate(df: DataFrame, keys: Sequence[str], hot: list[tuple]) -> DataFrame:
+    """Shuffle once by `keys` so that finer groupings and windows of the same keys need no further shuffle.
+
+    Left alone where a key is large, since it would land in one partition.
+    """
+    return df if hot else df.repartition(*keys)
+
+
 def tag_pieces(df: DataFrame, keys: Sequence[str], lead: str, hot: list[tuple]) -> DataFrame:
     """Add PIECE: the slice of a large key a row falls in, null for every other key."""
     lo, hi, n = F.col("__hot_lo"), F.col("__hot_hi"), F.col("__hot_n")
@@ -239,7 +252,9 @@ def exact_quantiles(
     return ranked.groupBy(*keys).agg(*aggs) if keys else ranked.agg(*aggs)
 
 
-def number_rows(df: DataFrame, order: Sequence[str], name: str = "row", hot_rows: int | None = None) -> DataFrame:
+def number_rows(
+    df: DataFrame, order: Sequence[str], name: str = "row", hot_rows: int | None = None, whole: list | None = None,
+) -> DataFrame:
     """1-based row number in one global order, without a single-partition sort on large tables.
 
     A large table ordered by several columns is numbered inside each value of the
@@ -247,7 +262,8 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str = "row", hot_rows
     most of the rows is split like any large key.
     """
     limit = hot_rows or default_hot_rows(df.sparkSession)
-    whole = find_hot(df, [], order[0], limit)
+    if whole is None:
+        whole = find_hot(df, [], order[0], limit)
     if not whole or len(order) == 1:
         return scan(df, [], order, {name: row_number()}, limit, whole)
     lead, rest = order[0], list(order[1:])

@@ -12,9 +12,11 @@ from pyspark.sql import types as T
 
 from careflow.functions.scalar import cases, quantise
 from careflow.operators.scan import (
-    known_before, last_known, next_known, row_number, row_number_from_end, scan,
+    find_hot, known_before, last_known, next_known, row_number, row_number_from_end, scan,
 )
 
+from careflow.session import hot_rows as default_hot_rows
+
 
 def quantised_series(
     readings: DataFrame, record: str, hours: str, param: str, value: str, params: Sequence[str], step: float = 0.1,
@@ -149,12 +151,13 @@ def spline_coefficients(
     """
     keys = list(keys)
     v = F.col(value).cast("double")
+    hot = find_hot(df, keys, time, hot_rows or default_hot_rows(df.sparkSession))
     rows = scan(df, keys, [time], {
         "__i": row_number(), "__j": row_number_from_end(), "__next": next_known(v), "__last": last_known(v),
-    }, hot_rows)
+    }, hot_rows, hot)
     end = F.when(F.col("__i") == 1, F.col("__next")).when(F.col("__j") == 1, F.col("__last"))
     rows = rows.select(*keys, F.col(time).cast("double").alias("t"), F.coalesce(v, end).alias("x"), "__j")
-    knots = scan(rows.filter(F.col("x").isNotNull()), keys, ["t"], {"__k": row_number()}, hot_rows)
+    knots = scan(rows.filter(F.col("x").isNotNull()), keys, ["t"], {"__k": row_number()}, hot_rows, hot)
     k = F.col("__k") - 1
     own = F.floor(k / piece)
     near = F.filter(F.sequence(own - 1, own + 1), lambda p: (p >= 0) & (k >= p * piece - halo) & (k <= (p + 1) * piece + halo))
@@ -186,7 +189,7 @@ def spline_coefficients(
     solved = spread.groupBy("g").applyInPandas(solve, out_schema)
     at = F.struct(F.col("t").alias("k"), "a", "b", "two_c", "three_d")
     placed = rows.select(*keys, "t", "__j").join(solved, [*keys, "t"], "left")
-    held = scan(placed, keys, ["t"], {"__c": last_known(F.when(F.col("a").isNotNull(), at))}, hot_rows)
+    held = scan(placed, keys, ["t"], {"__c": last_known(F.when(F.col("a").isNotNull(), at))}, hot_rows, hot)
     c, back = F.col("__c"), F.col("__c")["k"] - F.col("t")
     inner = (0.5 * c["two_c"] - c["three_d"] * back / 3) * back
     zero = F.lit(0.0)

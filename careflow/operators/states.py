@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from careflow import constants as C
 from careflow.operators.joins import around, impute_stay_ids, nearest_event
 from careflow.operators.scan import row_number, scan
+from careflow.session import hot_rows
 
 HOUR = 3600
 
@@ -132,7 +133,9 @@ def patient_states(
         *[F.coalesce(F.max(F.when(F.col("item") == -1, F.col(a))), F.max(F.when(F.col("item") == -2, F.col(a)))).alias(c)
           for c, a in (("mechvent", "m"), ("extubated", "x"))],
     )
-    numbered = scan(wide, ["icustayid"], ["timestep"], {"bloc": row_number()})
+    # One row per second of the window at most, so a stay is only measured if that could be large.
+    hot = [] if before + after + 1 <= hot_rows(wide.sparkSession) else None
+    numbered = scan(wide, ["icustayid"], ["timestep"], {"bloc": row_number()}, hot=hot)
     states = numbered.select((F.col("bloc") - 1).alias("bloc"), *keys, *C.STATE_COLUMNS)
     bounds = wide.groupBy("icustayid").agg(
         F.min("timestep").alias("first_timestep"), F.max("timestep").alias("last_timestep"),

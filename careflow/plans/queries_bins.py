@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from careflow.functions import scalar
-from careflow.operators import bins, cleaning, cohort, impute, joins
+from careflow.operators import bins, cleaning, cohort, impute, joins, scan
 from careflow.plans.queries_clean import COLS, rounded
 from careflow.plans.registry import query
-from careflow.plans.standins import DAY, INTERVALS, MEASUREMENTS, WIDE, intervals, measurements, wide_states
+from careflow.plans.standins import DAY, INTERVALS, MEASUREMENTS, WIDE, intervals, large_stays, measurements, wide_states
 from careflow.session import load
 
 WIDTH, N = 4 * 3600, 180
@@ -26,8 +26,10 @@ hd AS (SELECT stay, t, {_HOLD} FROM cl WINDOW w AS (PARTITION BY stay ORDER BY t
 SELECT hd.stay, CAST(j.i AS BIGINT) AS bin, {_MEANS}, count(*) AS n FROM hd JOIN beg USING (stay), range(0, {N}) j(i)
 WHERE t >= b + j.i * {WIDTH} AND t <= b + (j.i + 1) * {WIDTH} GROUP BY 1, 2""")
 def binned_states(spark, sf):
-    wide = cleaning.null_outliers(wide_states(spark, sf), {c: (5, 400) for c in COLS})
-    held = impute.hold(wide, "stay", "t", _HELD_HOURS)
+    hot = large_stays(spark, sf, "t")
+    events = scan.colocate(measurements(spark, sf), ["stay"], hot)
+    wide = cleaning.null_outliers(wide_states(spark, sf, events=events), {c: (5, 400) for c in COLS})
+    held = impute.hold(wide, "stay", "t", _HELD_HOURS, hot=hot)
     starts = bins.bin_starts(measurements(spark, sf), "stay", "t")
     e = bins.explode_points(held, starts, "stay", "t", WIDTH, N)
     out = e.groupBy("stay", "bin").agg(*[F.avg(c).alias(c) for c in COLS], F.count(F.lit(1)).alias("n"))

@@ -8,7 +8,7 @@ from careflow.functions import scalar
 from careflow.operators import cleaning, impute, joins, report, scan, scores, states
 from careflow.plans.registry import query
 from careflow.plans.standins import (
-    GAPPY, INTERVALS, MEASUREMENTS, STAYS, WIDE, gappy, intervals, measurements, stays, wide_states,
+    GAPPY, INTERVALS, MEASUREMENTS, STAYS, WIDE, gappy, intervals, large_stays, measurements, stays, wide_states,
 )
 from careflow.session import load
 
@@ -176,7 +176,10 @@ _HELD = WIDE + ", held AS (SELECT stay, t, " + ", ".join(_hold_sql(c, h) for c,
 
 
 def held(spark, sf):
-    return impute.hold(wide_states(spark, sf), "stay", "t", _HOLD_HOURS)
+    """Pivot and hold share one shuffle by stay."""
+    hot = large_stays(spark, sf, "t")
+    events = scan.colocate(measurements(spark, sf), ["stay"], hot)
+    return impute.hold(wide_states(spark, sf, events=events), "stay", "t", _HOLD_HOURS, hot=hot)
 
 
 @query("sample_and_hold", "IMP6 WN2", f"WITH {_HELD} SELECT * FROM held")

@@ -10,7 +10,7 @@ from careflow.operators import bins, dataset, mdp, ope, report, scan
 from careflow.plans.queries_clean import rounded
 from careflow.plans.registry import query
 from careflow.plans.standins import (
-    COUNTS, INTERVALS, MEASUREMENTS, RECORDS, STAYS, TRAJECTORIES, intervals, measurements, trajectories, unit_hash,
+    COUNTS, INTERVALS, MEASUREMENTS, RECORDS, STAYS, TRAJECTORIES, intervals, large_stays, measurements, trajectories, unit_hash,
 )
 from careflow.session import cut_lineage, load
 
@@ -18,12 +18,13 @@ N_STATES, N_ACTIONS, GAMMA = 10, 5, 0.9
 
 
 def records(spark, sf):
-    rows = trajectories(spark, sf).withColumnRenamed("stay", "icustayid")
-    return mdp.complete_records(rows, N_STATES)
+    hot = large_stays(spark, sf)
+    rows = trajectories(spark, sf, hot).withColumnRenamed("stay", "icustayid")
+    return mdp.complete_records(rows, N_STATES, hot=scan.same_rows(hot))
 
 
 def counts(spark, sf):
-    return mdp.transition_counts(records(spark, sf), 5)
+    return mdp.transition_counts(records(spark, sf), 5, hot=scan.same_rows(large_stays(spark, sf)))
 
 
 def model_counts(spark, sf):

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from careflow.functions.scalar import cases, epoch
-from careflow.operators.scan import following, row_number, scan
-from careflow.session import load
+from careflow.operators.scan import find_hot, row_number, scan
+from careflow.session import hot_rows, load
 
 ITEMS = ["click", "error", "purchase", "signup", "view"]
 DAY = 86400
@@ -42,11 +42,11 @@ def gappy(spark: SparkSession, sf: str) -> DataFrame:
 GAPPY = MEASUREMENTS + """, gap AS (SELECT id, stay, t, item, CASE WHEN id % 3 <> 0 THEN v END AS v FROM ev)"""
 
 
-def wide_states(spark: SparkSession, sf: str, names=tuple("c%d" % i for i in range(1, 6))) -> DataFrame:
+def wide_states(spark: SparkSession, sf: str, names=tuple("c%d" % i for i in range(1, 6)), events: DataFrame | None = None) -> DataFrame:
     """One row per stay and time, one column per item."""
     from careflow.operators.states import widen
 
-    return widen(measurements(spark, sf), ["stay", "t"], "item", "v", "id", dict(enumerate(names, 1)))
+    return widen(measurements(spark, sf) if events is None else events, ["stay", "t"], "item", "v", "id", dict(enumerate(names, 1)))
 
 
 WIDE = MEASUREMENTS + """, wide AS (
@@ -89,10 +89,15 @@ INTERVALS = """iv AS (
   FROM lineitem)"""
 
 
-def trajectories(spark: SparkSession, sf: str) -> DataFrame:
+def large_stays(spark: SparkSession, sf: str, lead: str = "id") -> list:
+    """Stays too large for one task, measured on the key columns alone."""
+    return find_hot(measurements(spark, sf).select("stay", lead), ["stay"], lead, hot_rows(spark))
+
+
+def trajectories(spark: SparkSession, sf: str, hot: list | None = None) -> DataFrame:
     """Visited states per stay: (stay, bloc from 1, state 0..9, action 0..4, outcome 0/1, v)."""
     ev = measurements(spark, sf)
-    numbered = scan(ev, ["stay"], ["id"], {"bloc": row_number()})
+    numbered = scan(ev, ["stay"], ["id"], {"bloc": row_number()}, hot=hot)
     return numbered.select(
         "stay", "bloc", F.floor(F.col("v") / 50).cast("int").alias("state"),
         (F.col("item") - 1).cast("int").alias("action"), (F.col("stay") % 2).cast("int").alias("outcome"), "v",
