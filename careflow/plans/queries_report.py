@@ -33,10 +33,11 @@ _STAY_EXCESS = _EXCESS_SQL + """, se AS (SELECT icustayid, avg(outcome) AS outco
   quantile_cont(fluid_excess, 0.5) AS fd, quantile_cont(vaso_excess, 0.5) AS vd FROM ex GROUP BY 1)"""
 
 
-@query("excess_per_stay", "RP1 AG12", f"WITH {_STAY_EXCESS} SELECT icustayid, outcome, n, round(fm, 5) AS fluid_excess_mean, round(vm, 5) AS vaso_excess_mean, round(fs, 4) AS fluid_excess_sum, round(fd, 5) AS fluid_excess_median, round(vd, 5) AS vaso_excess_median FROM se")
+@query("excess_per_stay", "RP1 AG12", f"WITH {_STAY_EXCESS} SELECT icustayid, outcome, n, round(fm, 9) AS fluid_excess_mean, round(vm, 11) AS vaso_excess_mean, round(fs, 6) AS fluid_excess_sum, round(fd, 9) AS fluid_excess_median, round(vd, 11) AS vaso_excess_median FROM se")
 def excess_per_stay(spark, sf):
     out = report.excess_per_stay(_excess(spark, sf))
-    return rounded(rounded(out, ["fluid_excess_mean", "vaso_excess_mean", "fluid_excess_median", "vaso_excess_median"], 5), ["fluid_excess_sum"], 4)
+    out = rounded(out, ["fluid_excess_mean", "fluid_excess_median"], 9)
+    return rounded(rounded(out, ["vaso_excess_mean", "vaso_excess_median"], 11), ["fluid_excess_sum"], 6)
 
 
 _LOW, _WIDTH, _BINS, _REPS = -0.3, 0.1, 12, 30

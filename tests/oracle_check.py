@@ -1,8 +1,12 @@
-"""Compare registered queries with their SQL on DuckDB: `python tests/oracle_check.py [sf] [names...]`."""
+"""Compare registered queries with their SQL on DuckDB: `python tests/oracle_check.py [sf] [names...]`.
+
+`HOT_ROWS=30` in the environment makes every key count as a large one, so the split paths are checked too.
+"""
 
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -76,7 +80,8 @@ def main() -> None:
     import __spark_entry__ as entry
     from careflow.session import build_session
 
-    spark = build_session("local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="8g")
+    extra = {"spark__careflow__hotRows": os.environ["HOT_ROWS"]} if "HOT_ROWS" in os.environ else {}
+    spark = build_session("local[8]", **extra, spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
     queries, sql = entry.queries(), entry.oracle_sql()
     names = sys.argv[2:] or list(queries)
