@@ -6,9 +6,10 @@ are, each large key is cut into pieces along the leading order column, the
 window runs inside a piece, and one small table of per-piece totals carries the
 running state from piece to piece.
 
-The list of large keys is bounded: only the `MAX_HOT` largest keys can be
-listed (any other key holds under 1/MAX_HOT of the rows), and the number of
-pieces over all of them is bounded by the same constant. That is what makes it
+A piece in which rows crowd is cut again. The list of large keys is bounded: only
+the `MAX_HOT` largest keys can be listed (any other key holds under 1/MAX_HOT of
+the rows), and the number of pieces over all of them is bounded by the same
+constant. That is what makes it
 safe to bring the list to the driver and to broadcast the carry table.
 """
 
@@ -26,6 +27,7 @@ from careflow.session import hot_rows as default_hot_rows
 
 MAX_HOT = 4096
 OVERSPLIT = 4
+LEVELS = 4
 PIECE = "__piece"
 
 
@@ -117,22 +119,39 @@ def colocate(df: DataFrame, keys: Sequence[str], hot: list[tuple]) -> DataFrame:
     return df if hot else df.repartition(*keys)
 
 
-def tag_pieces(df: DataFrame, keys: Sequence[str], lead: str, hot: list[tuple]) -> DataFrame:
-    """Add PIECE: the slice of a large key a row falls in, null for every other key."""
+def tag_pieces(df: DataFrame, keys: Sequence[str], lead: str, hot: list[tuple], name: str = PIECE) -> DataFrame:
+    """Add the slice of a large key a row falls in, null for every other key. Slices are equal in time."""
     lo, hi, n = F.col("__hot_lo"), F.col("__hot_hi"), F.col("__hot_n")
     piece = F.least(F.floor((F.col(lead).cast("double") - lo) * n / (hi - lo)), n - 1).cast("long")
     if not keys:
         ((low, high, pieces),) = hot
         return (
             df.withColumns({"__hot_lo": F.lit(low), "__hot_hi": F.lit(high), "__hot_n": F.lit(pieces).cast("long")})
-            .withColumn(PIECE, piece).drop("__hot_lo", "__hot_hi", "__hot_n")
+            .withColumn(name, piece).drop("__hot_lo", "__hot_hi", "__hot_n")
         )
     schema = T.StructType(
         [T.StructField(k, df.schema[k].dataType) for k in keys]
         + [T.StructField("__hot_lo", T.DoubleType()), T.StructField("__hot_hi", T.DoubleType()), T.StructField("__hot_n", T.LongType())]
     )
     table = df.sparkSession.createDataFrame(hot, schema)
-    return df.join(F.broadcast(table), list(keys), "left").withColumn(PIECE, piece).drop("__hot_lo", "__hot_hi", "__hot_n")
+    return df.join(F.broadcast(table), list(keys), "left").withColumn(name, piece).drop("__hot_lo", "__hot_hi", "__hot_n")
+
+
+def split_keys(df: DataFrame, keys: Sequence[str], lead: str, hot: list[tuple], limit: int) -> DataFrame:
+    """Tag the pieces of large keys; a piece that is still large, because rows crowd in time, is cut again.
+
+    Rows with one value of `lead` stay together.
+    """
+    tagged = tag_pieces(df, keys, lead, hot)
+    at = [*keys, PIECE]
+    for _ in range(LEVELS - 1):
+        dense = find_hot(tagged.filter(F.col(PIECE).isNotNull()), at, lead, 2 * limit)
+        if not dense:
+            break
+        most = max(d[-1] for d in dense)
+        tagged = tag_pieces(tagged, at, lead, dense, "__sub")
+        tagged = tagged.withColumn(PIECE, F.col(PIECE) * most + F.coalesce(F.col("__sub"), F.lit(0))).drop("__sub")
+    return tagged
 
 
 def _order(order: Sequence[str], backward: bool) -> list[Column]:
@@ -202,7 +221,7 @@ def scan(
         out = df.withColumns({tmp: _local(s, part, order) for tmp, (_, s) in names.items()})
         out = out.withColumns({name: _combine(s, F.col(tmp), None) for tmp, (name, s) in names.items()})
         return out.drop(*names, PIECE)
-    tagged = tag_pieces(df, keys, order[0], hot)
+    tagged = split_keys(df, keys, order[0], hot, limit)
     at = [*keys, PIECE]
     small = tagged.filter(F.col(PIECE).isNotNull()).groupBy(*at).agg(
         *[_summary(s, order).alias(tmp) for tmp, (_, s) in names.items()]

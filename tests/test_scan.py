@@ -103,3 +103,14 @@ def test_number_of_partitions_does_not_matter(spark, rows):
         want = want or got
         assert got == want
     spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_crowded_times_are_cut_again(spark):
+    rng = random.Random(6)
+    ts = sorted([rng.randint(0, 1000) for _ in range(1500)] + [rng.randint(0, 10**7) for _ in range(60)] + [77] * 90)
+    df = spark.createDataFrame([("h", t, i, float(i % 7) if i % 3 else None) for i, t in enumerate(ts)] + [("c", 1, -1, 2.0)], "k string, t long, id long, v double")
+    hot = S.find_hot(df, ["k"], "t", 100)
+    once = S.tag_pieces(df, ["k"], "t", hot).filter("k = 'h'").groupBy(S.PIECE).count().agg(F.max("count")).first()[0]
+    again = S.split_keys(df, ["k"], "t", hot, 100).filter("k = 'h'").groupBy(S.PIECE).count().agg(F.max("count")).first()[0]
+    assert once > 1400 and again <= 200
+    assert table(S.scan(df, ["k"], ["t", "id"], steps(), hot_rows=100)) == table(S.scan(df, ["k"], ["t", "id"], steps(), hot_rows=10**9))
