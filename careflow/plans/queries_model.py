@@ -266,7 +266,7 @@ def policy_agreement(spark, sf):
 
 @query("kmeans_states", "MD1 MD2")
 def kmeans_states(spark, sf):
-    cols = [f"x{i}" for i in range(8)]
+    cols = [f"x{i}" for i in range(64)]
     e = load(spark, sf, "embeddings").select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(cols)])
     model = mdp.fit_state_clusters(e, cols, k=10, share=0.5, starts=3, max_iter=20, row_key=["vec_id"])
     return mdp.assign_states(e, model, cols).select("vec_id", "state")

@@ -161,13 +161,13 @@ def subsequences(spark, sf):
     return series.subsequences(ev, "stay", ["id"], "t", 10, 5).select("stay", "id", "window", "pos", "rel_time")
 
 
-_PARAMS = ["p1", "p2", "p3"]
-_QUANT = f"""WITH {MEASUREMENTS}, r AS (SELECT stay, round_even((t - 1704067200) / 3600.0::DOUBLE / 12.0::DOUBLE, 0) * 12.0::DOUBLE AS tq, 'p' || item AS p, v FROM ev WHERE item <= 3 UNION ALL SELECT DISTINCT stay, 0.0, NULL, NULL FROM ev WHERE item <= 3),
+_PARAMS = ["p1", "p2", "p3", "p4", "p5"]
+_QUANT = f"""WITH {MEASUREMENTS}, r AS (SELECT stay, round_even((t - 1704067200) / 3600.0::DOUBLE / 12.0::DOUBLE, 0) * 12.0::DOUBLE AS tq, 'p' || item AS p, v FROM ev UNION ALL SELECT DISTINCT stay, 0.0, NULL, NULL FROM ev),
 qs AS (SELECT stay, tq, {', '.join(f"coalesce(avg(CASE WHEN p = '{p}' THEN v END), 0) AS {p}, CAST(count(CASE WHEN p = '{p}' THEN v END) > 0 AS INT) AS {p}_mask" for p in _PARAMS)} FROM r GROUP BY 1, 2)"""
 
 
 def _quantised(spark, sf):
-    r = measurements(spark, sf).filter("item <= 3").select("stay", ((F.col("t") - 1704067200) / 3600).alias("hours"), F.concat(F.lit("p"), F.col("item").cast("string")).alias("p"), "v")
+    r = measurements(spark, sf).select("stay", ((F.col("t") - 1704067200) / 3600).alias("hours"), F.concat(F.lit("p"), F.col("item").cast("string")).alias("p"), "v")
     return series.quantised_series(r, "stay", "hours", "p", "v", _PARAMS, 12.0)
 
 
