@@ -111,8 +111,8 @@ def before_record(spark, sf):
     return rounded(out, ["before"], 2)
 
 
-@query("running_balance", "WN4 BLD10", f"""WITH {WIDE}, {_BEGIN},
-g AS (SELECT stay, CAST(j.i AS BIGINT) AS bin, coalesce(sum(c1), 0) AS input_step, coalesce(sum(c2), 0) AS output_step FROM wide JOIN beg USING (stay), range(0, {N}) j(i)
+@query("running_balance", "WN4 BLD10", f"""WITH {WIDE}, {_BEGIN}, wb AS MATERIALIZED (SELECT stay, t, coalesce(c1, 0) AS c1, coalesce(c2, 0) AS c2, b FROM wide JOIN beg USING (stay)),
+g AS (SELECT stay, CAST(j.i AS BIGINT) AS bin, sum(c1) AS input_step, sum(c2) AS output_step FROM wb, range(0, {N}) j(i)
       WHERE t >= b + j.i * {WIDTH} AND t <= b + (j.i + 1) * {WIDTH} GROUP BY 1, 2)
 SELECT stay, bin, round(100 + sum(input_step) OVER w, 4) AS input_total, round(50 + sum(output_step) OVER w, 4) AS output_total,
   round(50 + sum(input_step) OVER w - sum(output_step) OVER w, 4) AS cumulated_balance
