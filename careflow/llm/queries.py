@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from careflow.llm import bpe, langid
+from careflow.llm.licenses import scan
 from careflow.llm.near_dedup import near_duplicates
+from careflow.llm.packing import pack
 from careflow.llm.substring import repeated_passages
+from careflow.llm.url_graph import judge_urls
 from careflow.session import load
 
+#: The vocabulary of the encoding queries.
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -24,6 +32,22 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_language")
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    held_out = F.coalesce(langid.fold(F.col("doc_id")) == 0, F.lit(False))
+    model = langid.fit(docs.where(~held_out))
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op2_bpe")
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(load(spark, sf_dir, "documents"), VOCABULARY)
+    return bpe.decode(encoded, VOCABULARY).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query("op6_near_dedup", r"""
 with recursive w as (
   select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
@@ -57,3 +81,45 @@ from w left join y on y.doc_id = w.doc_id
 """)
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(load(spark, sf_dir, "documents"), window=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op7_packing")
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(load(spark, sf_dir, "documents"))
+
+
+@query("op8_licenses", r"""
+with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+t as (select doc_id, ws, ' ' || array_to_string(ws, ' ') || ' ' as s from w),
+p as (select doc_id, i - 1 as pos,
+    case when ws[i] = 'mit' and ws[i + 1] = 'license' then 'mit' when ws[i] = 'apache' and ws[i + 1] = 'license' then 'apache'
+      when ws[i] = 'general' and ws[i + 1] = 'public' and ws[i + 2] = 'license' then 'gpl' end as label
+  from (select doc_id, ws, unnest(range(1, len(ws) + 1)) as i from w)),
+b as (select doc_id, count(*) as n_base, min(pos) as first_word, max(pos) as last_word from p where label is not null group by 1),
+m(label, pattern) as (values
+  ('mit', ' (released|licensed|distributed|available) under (the terms of )?the mit license '),
+  ('mit', ' permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files (the software )?to deal in the software without restriction '),
+  ('apache-2.0', ' licensed under the apache license (version )?2 0 '),
+  ('gpl-2.0', ' gnu general public license (as published by the free software foundation )?(either )?(version|v) 2 '),
+  ('gpl-3.0', ' gnu general public license (as published by the free software foundation )?(either )?(version|v) 3 '),
+  ('cc-by-4.0', ' (released|licensed) under (a )?(the )?cc by 4 0 '),
+  ('cc-by-sa-4.0', ' (released|licensed) under (a )?(the )?cc by sa 4 0 '),
+  ('cc-by-nc-4.0', ' (released|licensed) under (a )?(the )?cc by nc 4 0 '),
+  ('bsd', ' redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met '),
+  ('mpl-2.0', ' subject to the terms of the mozilla public license (version )?(v )?2 0 '),
+  ('rights-reserved', ' copyright( [^ ]+){1,12} all rights reserved ')),
+f as (select doc_id, label from t, m where regexp_matches(s, pattern)),
+l as (select doc_id, label, 1 as full_text from f union all select doc_id, label, 0 from p where label is not null)
+select w.doc_id, len(w.ws) as n_words, coalesce(b.n_base, 0) as n_base, b.first_word, b.last_word,
+  coalesce((select string_agg(label, ',' order by label) from (select distinct label from p where p.doc_id = w.doc_id and label is not null)), '') as base_labels,
+  coalesce((select string_agg(label, ',' order by label) from (select distinct label from l where l.doc_id = w.doc_id)), '') as labels,
+  coalesce((select case max(full_text) when 1 then 1.0 when 0 then 0.5 end from l where l.doc_id = w.doc_id), 0.0)::double as score
+from w left join b on b.doc_id = w.doc_id
+""")
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(load(spark, sf_dir, "documents")).drop("spans")
+
+
+@query("op10_url_filter")
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(load(spark, sf_dir, "pages"))
