@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from careflow.llm import bpe, langid
+from careflow.llm.fingerprints import fingerprint_edits
 from careflow.llm.licenses import scan
 from careflow.llm.near_dedup import near_duplicates
 from careflow.llm.packing import pack
@@ -48,6 +49,40 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def _parts_sql(digests: str) -> str:
+    """The sixteen part hashes of a list of MD5 digests, in DuckDB."""
+    parts = [(1 + i, 1, "8") for i in range(4)] + [(5 + i, 1, "2") for i in range(4)] + [(9 + 2 * i, 2, "08") for i in range(4)] + [(17 + 2 * i, 2, "02") for i in range(4)]
+    own = [f"list_filter({digests}, lambda d: substr(d, {place}, {width}) < '{bound}')" for place, width, bound in parts]
+    return "[" + ", ".join(f"case when len({o}) > 0 then substr(md5(array_to_string({o}, '')), 1, 16) else '-' end" for o in own) + "]"
+
+
+FINGERPRINT_SQL = r"""
+with d as (select doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as n_chars from documents),
+x as (select *, coalesce(lead(doc_id) over (order by doc_id desc), (select max(doc_id) from d)) as next_id from d),
+y as (select x.doc_id, x.text, x.n_chars, x.next_id, substr(x.text, 1, x.n_chars - x.n_chars // 3) || substr(n.text, 1, x.n_chars // 3) as edited from x join d n on n.doc_id = x.next_id),
+t as (select doc_id, 0 as e, unnest(list_distinct(string_split_regex(lower(text), '[^\p{L}\p{N}]+'))) as term from y
+  union all select doc_id, 1, unnest(list_distinct(string_split_regex(lower(edited), '[^\p{L}\p{N}]+'))) from y),
+l as (select term from t where e = 0 and term <> '' group by 1 having count(*) > 1 and count(*) >= 0.002 * (select count(*) from d) and count(*) <= 0.2 * (select count(*) from d)),
+h as (select doc_id, e, list(md5(term) order by term) as g from t semi join l on l.term = t.term group by 1, 2),
+p as (select doc_id, e, PARTS as p from h),
+f as (select y.doc_id, s.e, md5(case s.e when 0 then y.text else y.edited end) as m, coalesce(p.p, list_transform(range(16), lambda i: '-')) as p
+  from y cross join (select unnest([0, 1]) as e) s left join p on p.doc_id = y.doc_id and p.e = s.e),
+c as (select y.doc_id, y.n_chars, sha256(y.edited) as edited_sha256, a.p as a, b.p as b, c.p as c, a.m as am, b.m as bm, c.m as cm
+  from y join f a on a.doc_id = y.doc_id and a.e = 0 join f b on b.doc_id = y.doc_id and b.e = 1 join f c on c.doc_id = y.next_id and c.e = 0),
+u as (select *, len(list_filter(range(1, 17), lambda i: a[i] <> '-' or b[i] <> '-')) as ub, len(list_filter(range(1, 17), lambda i: a[i] <> '-' and a[i] = b[i])) as eb,
+  len(list_filter(range(1, 17), lambda i: a[i] <> '-' or c[i] <> '-')) as uc, len(list_filter(range(1, 17), lambda i: a[i] <> '-' and a[i] = c[i])) as ec from c)
+select doc_id, n_chars, edited_sha256,
+  case when len(list_filter(a, lambda v: v <> '-')) > 0 then array_to_string(a, '.') else 'text:' || am end as fingerprint,
+  case when len(list_filter(b, lambda v: v <> '-')) > 0 then array_to_string(b, '.') else 'text:' || bm end as edited_fingerprint,
+  case when ub > 0 then eb / ub else (am = bm)::int::double end as near_edited, case when uc > 0 then ec / uc else (am = cm)::int::double end as near_next from u
+""".replace("PARTS", _parts_sql("g"))
+
+
+@query("op5_fingerprints", FINGERPRINT_SQL)
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(load(spark, sf_dir, "documents"))
+
+
 @query("op6_near_dedup", r"""
 with recursive w as (
   select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
@@ -65,7 +100,7 @@ select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id, d.doc_id = c.co
 from documents d left join n on n.doc_id = d.doc_id join c on c.a = d.doc_id
 """)
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(load(spark, sf_dir, "documents"), size=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_duplicates(load(spark, sf_dir, "documents"), size=3, percent=85, rows=6, bands=25).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 @query("op9_repeated_passages", r"""
