@@ -24,7 +24,7 @@ SHORT = 96
 #: Words, and runs of non-blank characters, that an encoder remembers in each of two generations.
 KEPT = 250_000
 CONTROLS = re.compile("[\x1c-\x1f]")
-CHUNKS = re.compile("[^\\t-\\r \x85\xa0  -     　]+")
+CHUNKS = re.compile("[^\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 def read_vocabulary(path: str) -> dict:

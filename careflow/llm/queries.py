@@ -13,7 +13,9 @@ from careflow.llm.fingerprints import fingerprint_edits
 from careflow.llm.licenses import scan
 from careflow.llm.near_dedup import near_duplicates
 from careflow.llm.packing import pack
+from careflow.llm.search import build_index, search
 from careflow.llm.substring import repeated_passages
+from careflow.llm.token_counts import count_edits
 from careflow.llm.url_graph import judge_urls
 from careflow.session import load
 
@@ -49,6 +51,36 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op3_token_counts")
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits of every document: 20 code points go at a third, 30 of its own come in at two thirds, and the last word is joined to the first 10."""
+    docs = load(spark, sf_dir, "documents")
+    n = F.length("text")
+    steps = F.array(
+        F.struct(F.lit(1).alias("edit"), F.floor(n / 3).alias("start"), (F.floor(n / 3) + 20).alias("stop"), F.lit("").alias("new")),
+        F.struct(F.lit(2), F.floor(2 * n / 3), F.floor(2 * n / 3), F.substring("text", 1, 30)),
+        F.struct(F.lit(3), n.cast("long") * 2, n.cast("long") * 2, F.substring("text", 1, 10)))
+    edits = docs.select("doc_id", F.inline(steps))
+    return count_edits(docs, edits, VOCABULARY)
+
+
+@query("op4_search", r"""
+with w as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) as term from documents),
+f as (select doc_id, term, count(*) as tf from w group by 1, 2),
+l as (select doc_id, count(*) as n from w group by 1),
+g as (select count(*) as n_docs, avg(n) as mean from l),
+d as (select term, count(*) as df from f group by 1),
+s as (select q.doc_id as query_id, f.doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * f.tf * 2.2 / (f.tf + 1.2 * (0.25 + 0.75 * l.n / mean))), 6) as score
+  from f q join d on d.term = q.term join f on f.term = q.term join l on l.doc_id = f.doc_id cross join g where q.doc_id % 100 = 0 group by 1, 2)
+select query_id, row_number() over (partition by query_id order by score desc, doc_id)::int as rank, doc_id, score from s
+qualify rank <= 10
+""")
+def op4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    found = search(build_index(docs), docs.where(F.col("doc_id") % 100 == 0))
+    return found.withColumn("score", F.round("score", 6))
+
+
 def _parts_sql(digests: str) -> str:
     """The sixteen part hashes of a list of MD5 digests, in DuckDB."""
     parts = [(1 + i, 1, "8") for i in range(4)] + [(5 + i, 1, "2") for i in range(4)] + [(9 + 2 * i, 2, "08") for i in range(4)] + [(17 + 2 * i, 2, "02") for i in range(4)]
