@@ -5,9 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from careflow.llm import langid
 from careflow.llm.near_dedup import near_duplicates
+from careflow.llm.packing import pack
 from careflow.llm.substring import repeated_passages
 
+#: A text whose language has at least this score under the model is kept.
+SURE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents with a recognised language, and put it in the place of `lang`; texts without letters or with doubtful language go.
+
+    The model learns from the labelled rows of its own input; without any, no language can be told and nothing is kept.
+    """
+    told = langid.annotate(docs, langid.fit(docs), "text", "lang_", "score_").where((F.col("lang_") != langid.UNKNOWN) & (F.col("score_") >= SURE))
+    return told.withColumn("lang", F.col("lang_")).select(*docs.columns)
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near copies; a document with a null id stays."""
@@ -18,14 +32,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take repeated passages out of the texts; a text that loses nothing is left as it was, one that loses all goes."""
-    found = repeated_passages(docs).where("n_removed > 0").select(F.col("doc_id").alias("id_"), "n_words", "n_removed", "kept_text")
-    return docs.join(found, F.col("doc_id") == F.col("id_"), "left").where("id_ is null or n_removed < n_words").withColumns({
-        "text": F.coalesce("kept_text", "text"),
-        "n_chars": F.coalesce(F.length("kept_text").cast("long"), "n_chars"),
+    found = repeated_passages(docs, keep=[c for c in docs.columns if c not in ("doc_id", "text")])
+    changed = F.col("n_removed") > 0
+    return found.where("n_removed = 0 or n_removed < n_words").withColumns({
+        "text": F.col("kept_text"), "n_chars": F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")),
     }).select(*docs.columns)
 
 
-STAGES = [("near dedup", near_dedup), ("substring dedup", substring_dedup)]
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The bucket, batch and slot of every document that is left."""
+    return pack(docs)
+
+
+STAGES = [("language", language), ("near dedup", near_dedup), ("substring dedup", substring_dedup), ("packing", packing)]
 ORACLE_SQL = None
 
 
