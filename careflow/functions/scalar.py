@@ -15,10 +15,6 @@ def epoch(ts: Column) -> Column:
     return day + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
 
 
-def no_nan(c: Column) -> Column:
-    return F.when(~F.isnan(c), c)
-
-
 def outside(c: Column, low: float | None, high: float | None) -> Column:
     """True where a value lies out of its open-ended bounds; null is not out of bounds."""
     tests = []
@@ -82,10 +78,6 @@ def one_hot(index: Column, size: int) -> Column:
     )
 
 
-def zero_pad(arr: Column, size: int) -> Column:
-    return F.concat(arr, F.array_repeat(F.lit(0.0), F.greatest(F.lit(size) - F.size(arr), F.lit(0))))
-
-
 def quantise(t: Column, step: float) -> Column:
     """Round to a multiple of `step`, halves to even."""
     return F.bround(t / F.lit(step), 0) * F.lit(step)

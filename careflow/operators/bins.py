@@ -109,8 +109,7 @@ def median_max(rows: DataFrame, keys: Sequence[str], value: str, median: str, ma
     limit = hot_rows or default_hot_rows(rows.sparkSession)
     if not find_hot(rows, keys, value, limit):
         return rows.groupBy(*keys).agg(F.median(value).alias(median), F.max(value).alias(maximum))
-    middle = exact_quantiles(rows, keys, value, {median: 0.5}, limit)
-    return middle.join(rows.groupBy(*keys).agg(F.max(value).alias(maximum)), list(keys))
+    return exact_quantiles(rows, keys, value, {median: 0.5, maximum: 1.0}, limit)
 
 
 def interval_doses(

@@ -141,7 +141,7 @@ def fio2_rules(interface: str, fio2: str, flow: str, as_written: bool = False) -
     return [Rule("FiO2 estimation", "FiO2_100", F.coalesce(w, F.lit(False)), v, None, m) for m, w, v in parts]
 
 
-def estimate_fio2(df: DataFrame, key: str = "icustayid", time: str = "timestep", tie: Sequence[str] = (), as_written: bool = False, hot: list | None = None) -> DataFrame:
+def estimate_fio2(df: DataFrame, key: str = "icustayid", time: str = "timestep", tie: Sequence[str] = (), as_written: bool = False, hot: int | None = None) -> DataFrame:
     """Fill the oxygen fraction: unit pair, six interface rules on held values, unit pair again."""
     df = apply_rules(df, pair_fill_rules(metadata="R1"))
     sources = {"__i": "Interface", "__f": "FiO2_100", "__o": "O2flow"}

@@ -17,7 +17,7 @@ from careflow.session import hot_rows as default_hot_rows
 
 def hold(
     df: DataFrame, key: str | Sequence[str], time: str, hours: Mapping[str, float], tie: Sequence[str] = (),
-    into: Mapping[str, str] | None = None, source: str | None = None, hot: list | None = None,
+    into: Mapping[str, str] | None = None, source: str | None = None, hot: int | None = None,
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Fill nulls with the last measured value of the same key while it is fresh enough.

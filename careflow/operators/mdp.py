@@ -45,7 +45,7 @@ def assign_states(df: DataFrame, model: KMeansModel, features: Sequence[str]) ->
 
 def complete_records(
     df: DataFrame, n_states: int, reward: float = 100.0, stay: str = "icustayid", bloc: str = "bloc",
-    state: str = "state", action: str = "action", outcome: str = "outcome", hot: list | None = None,
+    state: str = "state", action: str = "action", outcome: str = "outcome", hot: int | None = None,
 ) -> DataFrame:
     """Each row with the *next* action; the last row of a stay becomes its absorbing state.
 
@@ -62,7 +62,7 @@ def complete_records(
     )
 
 
-def transition_counts(records: DataFrame, at_most: int | None = 5, per_visit: bool = False, hot: list | None = None) -> DataFrame:
+def transition_counts(records: DataFrame, at_most: int | None = 5, per_visit: bool = False, hot: int | None = None) -> DataFrame:
     """Stays per (state, action, next state); pairs seen `at_most` times or fewer are dropped.
 
     A repeated transition counts once per stay; `per_visit` counts every occurrence.

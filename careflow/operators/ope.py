@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from careflow.functions.scalar import hash_below, hash_order, hash_unit
 from careflow.operators.scan import (
-    exact_quantiles, find_hot, following, number_rows, remaining_sum, row_number, scan,
+    exact_quantiles, find_hot, following, join_null_safe, number_rows, remaining_sum, row_number, scan,
 )
 from careflow.session import spread
 
@@ -31,7 +31,7 @@ def future_returns(
     """
     keys = list(keys)
     block = None if gamma >= 1 else max(1, math.floor(math.log(SMALLEST) / math.log(gamma))) if gamma > 0 else 1
-    hot = [] if block and not find_hot(df, keys, order, block) else None
+    hot = 0 if block and not find_hot(df, keys, order, block) else None
     steps = {"__i": row_number(), "__r": following(F.struct(F.col(reward).cast("double").alias("r")))}
     ahead = scan(df, keys, [order], steps, hot_rows, hot)
     if last:
@@ -39,7 +39,7 @@ def future_returns(
     ahead = ahead.withColumn("__r", F.coalesce(F.col("__r")["r"], F.lit(0.0)))
     if gamma >= 1:
         return scan(ahead, keys, [order], {name: remaining_sum(F.col("__r"))}, hot_rows).drop("__i", "__r")
-    if hot == []:
+    if hot == 0:
         w = F.pow(F.lit(gamma), F.col("__i") - 1)
         out = scan(ahead, keys, [order], {name: remaining_sum(F.col("__r") * w)}, hot_rows, hot)
         return out.withColumn(name, F.col(name) / w).drop("__i", "__r")
@@ -48,7 +48,7 @@ def future_returns(
     cut = ahead.withColumn("__b", F.floor((F.col("__i") - 1) / block))
     inner = scan(cut, [*keys, "__b"], [order], {name: remaining_sum(F.col("__r") * w)}, hot_rows)
     ahead_sum = cut.groupBy(*keys, (F.col("__b") - 1).alias("__b")).agg(F.sum(F.col("__r") * w).alias("__c"))
-    out = inner.join(ahead_sum, [*keys, "__b"], "left")
+    out = join_null_safe(inner, ahead_sum, [*keys, "__b"], "left")
     carried = F.coalesce("__c", F.lit(0.0)) * F.pow(F.lit(gamma), block - k)
     return out.withColumn(name, F.col(name) / w + carried).drop("__i", "__r", "__b", "__c")
 
@@ -210,7 +210,7 @@ def replicate_stats(values: DataFrame, value: str, keys: Sequence[str] = (), pro
     q = exact_quantiles(values, keys, value, probs)
     mean = values.groupBy(*keys).agg(F.avg(value).alias("mean")) if keys else values.agg(F.avg(value).alias("mean"))
     if keys:
-        return mean.join(q, keys)
+        return join_null_safe(mean, q, keys)
     (m,) = mean.collect()
     return q.select(F.lit(m["mean"]).cast("double").alias("mean"), *probs)
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from careflow.functions.scalar import hash_below
-from careflow.operators.scan import exact_quantiles
+from careflow.operators.scan import exact_quantiles, find_hot, join_null_safe
+from careflow.session import hot_rows as default_hot_rows
 from careflow.session import spread
 
 
@@ -45,15 +46,16 @@ def dose_excess(
     )
 
 
-def excess_per_stay(excess: DataFrame, stay: str = "icustayid") -> DataFrame:
+def excess_per_stay(excess: DataFrame, stay: str = "icustayid", hot_rows: int | None = None) -> DataFrame:
     """Mean, median and sum of the excess and the outcome per stay."""
     cols = ("fluid_excess", "vaso_excess")
-    base = excess.groupBy(stay).agg(
-        F.avg("outcome").alias("outcome"), F.count(F.lit(1)).alias("n"),
-        *[F.avg(c).alias(f"{c}_mean") for c in cols], F.sum("fluid_excess").alias("fluid_excess_sum"),
-    )
+    means = [F.avg("outcome").alias("outcome"), F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"{c}_mean") for c in cols],
+             F.sum("fluid_excess").alias("fluid_excess_sum")]
+    if not find_hot(excess, [stay], "vaso_excess", hot_rows or default_hot_rows(excess.sparkSession)):
+        return excess.groupBy(stay).agg(*means, *[F.median(c).alias(f"{c}_median") for c in cols])
+    base = excess.groupBy(stay).agg(*means)
     for c in cols:
-        base = base.join(exact_quantiles(excess, [stay], c, {f"{c}_median": 0.5}), stay)
+        base = join_null_safe(base, exact_quantiles(excess, [stay], c, {f"{c}_median": 0.5}, hot_rows), [stay], "left")
     return base
 
 

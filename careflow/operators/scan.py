@@ -1,16 +1,12 @@
 """Ordered scans per key that stay balanced when one key holds most of the rows.
 
 A window over `partitionBy(key)` puts a whole key into one task. `scan` first
-measures the keys. Where none is large it is exactly that window. Where some
-are, each large key is cut into pieces along the leading order column, the
-window runs inside a piece, and one small table of per-piece totals carries the
-running state from piece to piece.
-
-A piece in which rows crowd is cut again. The list of large keys is bounded: only
-the `MAX_HOT` largest keys can be listed (any other key holds under 1/MAX_HOT of
-the rows), and the number of pieces over all of them is bounded by the same
-constant. That is what makes it
-safe to bring the list to the driver and to broadcast the carry table.
+measures the keys. Where none is large it is exactly that window. Where some are,
+the rows are dealt into ranges of keys and order columns together and written, so a
+large key is cut wherever its rows are, whatever its value, null or not, and
+however many keys are large. The window runs inside a range, and one small table of
+totals carries the running state of a key from range to range. A range border
+crosses one key at most, so that table has under two rows a range.
 """
 
 from __future__ import annotations
@@ -21,13 +17,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from careflow.session import cut_lineage
 from careflow.session import hot_rows as default_hot_rows
 
-MAX_HOT = 4096
-OVERSPLIT = 4
-LEVELS = 4
 PIECE = "__piece"
 
 
@@ -87,31 +80,26 @@ def following(expr: Column) -> Step:
     return Step("neighbour", expr, backward=True)
 
 
-def find_hot(df: DataFrame, keys: Sequence[str], lead: str, limit: int) -> list[tuple]:
-    """Keys above `limit` rows as `(key values..., lowest, highest, pieces)`, at most MAX_HOT."""
-    stats = [F.count(F.lit(1)).alias("n"), F.min(lead).alias("lo"), F.max(lead).alias("hi")]
-    if keys:
-        found = (
-            df.groupBy(*keys).agg(*stats).filter(F.col("n") > limit)
-            .orderBy(F.desc("n"), *keys).limit(MAX_HOT).collect()
-        )
-    else:
-        found = [r for r in df.agg(*stats).collect() if r["n"] > limit]
-    total = sum(r["n"] for r in found)
-    unit = max(limit, math.ceil(total / MAX_HOT))
-    return [
-        (*[r[k] for k in keys], float(r["lo"]), float(r["hi"]), int(OVERSPLIT * math.ceil(r["n"] / unit)))
-        for r in found
-        if r["hi"] > r["lo"]
-    ]
-
-
-def same_rows(hot: list[tuple]) -> list[tuple] | None:
+def find_hot(df: DataFrame, keys: Sequence[str], lead: str, limit: int) -> int:
+    """Rows of the whole table if a key has more than `limit` of them, else 0."""
+    largest, total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    return total if (largest or 0) > limit else 0
+
+
+def same_rows(hot: int) -> int | None:
     """What a measurement says about a scan of the same rows in another order: no large key stays none."""
-    return [] if not hot else None
+    return 0 if not hot else None
+
 
+def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", few: bool = False) -> DataFrame:
+    """Join on columns of the same names in which null equals null; `few` broadcasts a right side of bounded size."""
+    names = {c: f"__on_{i}" for i, c in enumerate(on)}
+    right = right.withColumnsRenamed(names)
+    same = [left[c].eqNullSafe(right[n]) for c, n in names.items()]
+    return left.join(F.broadcast(right) if few else right, same, how).drop(*names.values())
 
-def colocate(df: DataFrame, keys: Sequence[str], hot: list[tuple]) -> DataFrame:
+
+def colocate(df: DataFrame, keys: Sequence[str], hot: int) -> DataFrame:
     """Shuffle once by `keys` so that finer groupings and windows of the same keys need no further shuffle.
 
     Left alone where a key is large, since it would land in one partition.
@@ -119,39 +107,11 @@ def colocate(df: DataFrame, keys: Sequence[str], hot: list[tuple]) -> DataFrame:
     return df if hot else df.repartition(*keys)
 
 
-def tag_pieces(df: DataFrame, keys: Sequence[str], lead: str, hot: list[tuple], name: str = PIECE) -> DataFrame:
-    """Add the slice of a large key a row falls in, null for every other key. Slices are equal in time."""
-    lo, hi, n = F.col("__hot_lo"), F.col("__hot_hi"), F.col("__hot_n")
-    piece = F.least(F.floor((F.col(lead).cast("double") - lo) * n / (hi - lo)), n - 1).cast("long")
-    if not keys:
-        ((low, high, pieces),) = hot
-        return (
-            df.withColumns({"__hot_lo": F.lit(low), "__hot_hi": F.lit(high), "__hot_n": F.lit(pieces).cast("long")})
-            .withColumn(name, piece).drop("__hot_lo", "__hot_hi", "__hot_n")
-        )
-    schema = T.StructType(
-        [T.StructField(k, df.schema[k].dataType) for k in keys]
-        + [T.StructField("__hot_lo", T.DoubleType()), T.StructField("__hot_hi", T.DoubleType()), T.StructField("__hot_n", T.LongType())]
-    )
-    table = df.sparkSession.createDataFrame(hot, schema)
-    return df.join(F.broadcast(table), list(keys), "left").withColumn(name, piece).drop("__hot_lo", "__hot_hi", "__hot_n")
-
-
-def split_keys(df: DataFrame, keys: Sequence[str], lead: str, hot: list[tuple], limit: int) -> DataFrame:
-    """Tag the pieces of large keys; a piece that is still large, because rows crowd in time, is cut again.
-
-    Rows with one value of `lead` stay together.
-    """
-    tagged = tag_pieces(df, keys, lead, hot)
-    at = [*keys, PIECE]
-    for _ in range(LEVELS - 1):
-        dense = find_hot(tagged.filter(F.col(PIECE).isNotNull()), at, lead, 2 * limit)
-        if not dense:
-            break
-        most = max(d[-1] for d in dense)
-        tagged = tag_pieces(tagged, at, lead, dense, "__sub")
-        tagged = tagged.withColumn(PIECE, F.col(PIECE) * most + F.coalesce(F.col("__sub"), F.lit(0))).drop("__sub")
-    return tagged
+def deal_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], total: int, limit: int) -> DataFrame:
+    """The rows in ranges of about `limit`, by keys and then order, written with the range's number, so that it stays the same in every use."""
+    ranges = -(-total // limit) + 1
+    dealt = df.repartitionByRange(ranges, *[F.col(c).asc() for c in [*keys, *order]])
+    return cut_lineage(dealt.withColumn(PIECE, F.spark_partition_id().cast("long")), "ranges")
 
 
 def _order(order: Sequence[str], backward: bool) -> list[Column]:
@@ -202,12 +162,12 @@ def scan(
     order: Sequence[str],
     steps: Mapping[str, Step],
     hot_rows: int | None = None,
-    hot: list[tuple] | None = None,
+    hot: int | None = None,
 ) -> DataFrame:
     """Append one column per step, evaluated per key in ascending `order`.
 
-    `order` must be a total order inside a key, non-null, with a numeric leading
-    column. `keys=[]` scans the whole table in one global order. Pass `hot` (from
+    `order` must be a total order inside a key; nulls come first. `keys=[]` scans the
+    whole table in one global order. Pass `hot` (from
     `find_hot`) to reuse one measurement for several scans of the same rows.
     """
     limit = hot_rows or default_hot_rows(df.sparkSession)
@@ -221,14 +181,14 @@ def scan(
         out = df.withColumns({tmp: _local(s, part, order) for tmp, (_, s) in names.items()})
         out = out.withColumns({name: _combine(s, F.col(tmp), None) for tmp, (name, s) in names.items()})
         return out.drop(*names, PIECE)
-    tagged = split_keys(df, keys, order[0], hot, limit)
+    tagged = deal_ranges(df, keys, order, hot, limit)
     at = [*keys, PIECE]
-    small = tagged.filter(F.col(PIECE).isNotNull()).groupBy(*at).agg(
-        *[_summary(s, order).alias(tmp) for tmp, (_, s) in names.items()]
-    )
+    small = tagged.groupBy(*at).agg(*[_summary(s, order).alias(tmp) for tmp, (_, s) in names.items()])
+    own = Window.partitionBy(*keys)
+    small = small.withColumn("__pieces", F.count(F.lit(1)).over(own)).filter(F.col("__pieces") > 1)
     carries = small.select(*at, *[_carry(s, tmp, keys).alias(f"{tmp}c") for tmp, (_, s) in names.items()])
     out = tagged.withColumns({tmp: _local(s, at, order) for tmp, (_, s) in names.items()})
-    out = out.join(F.broadcast(carries), at, "left")
+    out = join_null_safe(out, carries, at, "left", few=True)
     out = out.withColumns({name: _combine(s, F.col(tmp), F.col(f"{tmp}c")) for tmp, (name, s) in names.items()})
     return out.drop(*names, *[f"{t}c" for t in names], PIECE)
 
@@ -272,22 +232,7 @@ def exact_quantiles(
 
 
 def number_rows(
-    df: DataFrame, order: Sequence[str], name: str = "row", hot_rows: int | None = None, whole: list | None = None,
+    df: DataFrame, order: Sequence[str], name: str = "row", hot_rows: int | None = None, whole: int | None = None,
 ) -> DataFrame:
-    """1-based row number in one global order, without a single-partition sort on large tables.
-
-    A large table ordered by several columns is numbered inside each value of the
-    first column and shifted by the rows of the values before it, so one value with
-    most of the rows is split like any large key.
-    """
-    limit = hot_rows or default_hot_rows(df.sparkSession)
-    if whole is None:
-        whole = find_hot(df, [], order[0], limit)
-    if not whole or len(order) == 1:
-        return scan(df, [], order, {name: row_number()}, limit, whole)
-    lead, rest = order[0], list(order[1:])
-    sizes = df.groupBy(lead).agg(F.count(F.lit(1)).alias("__n"))
-    shifts = scan(sizes, [], [lead], {"__upto": running_sum(F.col("__n"))}, limit)
-    inner = scan(df, [lead], rest, {name: row_number()}, limit)
-    shifted = inner.join(shifts.select(lead, (F.col("__upto") - F.col("__n")).alias("__shift")), lead)
-    return shifted.withColumn(name, F.col(name) + F.col("__shift")).drop("__shift")
+    """1-based row number in one global order, without a single-partition sort on large tables."""
+    return scan(df, [], order, {name: row_number()}, hot_rows, whole)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from careflow.functions.scalar import cases, quantise
 from careflow.operators.scan import (
-    find_hot, known_before, last_known, next_known, row_number, row_number_from_end, scan,
+    find_hot, join_null_safe, known_before, last_known, next_known, row_number, row_number_from_end, scan,
 )
 
 from careflow.session import hot_rows as default_hot_rows
@@ -113,44 +113,57 @@ def align(df: DataFrame, batch: str, record: str, time: str, columns: Sequence[s
     )
 
 
-def knot_slopes(t: np.ndarray, x: np.ndarray, joined: np.ndarray, rounds: int = 64) -> np.ndarray:
-    """Derivatives at the knots of natural cubic splines, for many series laid end to end.
+def knot_bends(gap: np.ndarray, rise: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """Second derivatives at the knots of natural cubic splines, for many series laid end to end.
 
-    `joined` tells for each gap between neighbours whether both are of one series. The
-    system is tridiagonal with off-diagonal weight half the diagonal, so fixed-point
-    sweeps halve the error each time; 64 of them reach the last bit.
+    `gap` and `rise` are the distance and the difference to the next knot, `inner` tells whether a knot has neighbours of
+    its series on both sides; all others have no bend. At an inner knot the slopes of both sides must agree, which gives
+
+        gap[i-1] * bend[i-1] + 2 * (gap[i-1] + gap[i]) * bend[i] + gap[i] * bend[i+1] = 6 * (rise[i] / gap[i] - rise[i-1] / gap[i-1])
+
+    and is solved by elimination forward and substitution back.
     """
-    with np.errstate(divide="ignore"):
-        r = np.where(joined, 1.0 / np.diff(t), 0.0)
-    push = 3.0 * np.diff(x) * r * r
-    diag, rhs = np.zeros_like(x), np.zeros_like(x)
-    for side in (slice(None, -1), slice(1, None)):
-        diag[side] += 2 * r
-        rhs[side] += push
-    diag[diag == 0] = 1.0
-    k = rhs / diag
-    for _ in range(rounds):
-        near = np.zeros_like(x)
-        near[:-1] += r * k[1:]
-        near[1:] += r * k[:-1]
-        k = (rhs - near) / diag
-    return k
+    n = len(inner)
+    bend = np.zeros(n)
+    at = np.flatnonzero(inner)
+    if not len(at):
+        return bend
+    left, right = gap[at - 1], gap[at]
+    want = 6 * (rise[at] / right - rise[at - 1] / left)
+    weight, first = 2 * (left + right), np.r_[True, np.diff(at) > 1]
+    pivot, held = np.empty(len(at)), np.empty(len(at))
+    for i, (lo, w, r, new) in enumerate(zip(left.tolist(), weight.tolist(), want.tolist(), first.tolist())):
+        share = 0.0 if new else lo / pivot[i - 1]
+        pivot[i] = w - (0.0 if new else share * lo)
+        held[i] = r - (0.0 if new else share * held[i - 1])
+    solved = np.empty(len(at))
+    after = 0.0
+    for i in range(len(at) - 1, -1, -1):
+        solved[i] = after = (held[i] - right[i] * after) / pivot[i]
+        if first[i]:
+            after = 0.0
+    bend[at] = solved
+    return bend
+
+
+SPAN = ("start", "stop", "left", "right", "left_bend", "right_bend")
 
 
 def spline_coefficients(
     df: DataFrame, keys: Sequence[str], time: str, value: str, piece: int = 4096, halo: int = 80,
-    rows_per_task: int = 50_000, hot_rows: int | None = None,
+    groups: int | None = None, hot_rows: int | None = None,
 ) -> DataFrame:
-    """Natural cubic spline of every series: a, b, 2c, 3d for the interval after each time but the last.
+    """Natural cubic spline of every series: for each time but the last the span between two knots that holds it.
 
-    Missing values at the ends take the first or last known value; a series without
-    any value gets zeros. Series are cut into pieces of `piece` knots that overlap by
-    `halo`: what lies `halo` knots away changes a slope by less than 2^-halo, so the
-    pieces give the same coefficients as the whole series and no task holds one.
-    Many pieces share a group and are solved together.
+    A span has its ends (`start`, `stop`), the values there (`left`, `right`) and the second derivatives (`left_bend`,
+    `right_bend`). Missing values at the ends take the first or last known value; a series without any value gets zeros.
+    Series are cut into pieces of `piece` knots that overlap by `halo`: what lies `halo` knots away changes a bend by
+    less than 2^-halo, so the pieces give the same spans as the whole series and no task holds one. Many pieces
+    share one of `groups` groups (four for each shuffle partition) and are solved together.
     """
     keys = list(keys)
     v = F.col(value).cast("double")
+    groups = groups or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot = find_hot(df, keys, time, hot_rows or default_hot_rows(df.sparkSession))
     rows = scan(df, keys, [time], {
         "__i": row_number(), "__j": row_number_from_end(), "__next": next_known(v), "__last": last_known(v),
@@ -161,59 +174,52 @@ def spline_coefficients(
     k = F.col("__k") - 1
     own = F.floor(k / piece)
     near = F.filter(F.sequence(own - 1, own + 1), lambda p: (p >= 0) & (k >= p * piece - halo) & (k <= (p + 1) * piece + halo))
-    groups = max(1, df.count() // rows_per_task)
     spread = knots.select(*keys, "t", "x", k.alias("k"), F.explode(near).alias("p"))
     spread = spread.withColumn("g", F.pmod(F.xxhash64(*keys, "p"), F.lit(groups)))
-    out_schema = T.StructType(
-        [df.schema[c] for c in keys] + [T.StructField(c, T.DoubleType()) for c in ("t", "a", "b", "two_c", "three_d")]
-    )
+    out_schema = T.StructType([df.schema[c] for c in keys] + [T.StructField(c, T.DoubleType()) for c in SPAN])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([*keys, "p", "k"])
-        t, x, k, p = (pdf[c].to_numpy() for c in ("t", "x", "k", "p"))
-        joined = p[1:] == p[:-1]
+        t, x, number, part = (pdf[c].to_numpy() for c in ("t", "x", "k", "p"))
+        go_on = part[1:] == part[:-1]
         for c in keys:
-            series = pdf[c].to_numpy()
-            joined &= series[1:] == series[:-1]
-        m = knot_slopes(t, x, joined)
-        with np.errstate(divide="ignore"):
-            r = np.where(joined, 1.0 / np.diff(t), 0.0)
-        six = 6 * np.diff(x)
-        res = pdf.iloc[:-1][[*keys, "t"]].copy()
-        res["a"], res["b"] = x[:-1], m[:-1]
-        res["two_c"] = (six * r - 4 * m[:-1] - 2 * m[1:]) * r
-        res["three_d"] = (-six * r + 3 * (m[:-1] + m[1:])) * r * r
-        inside = (k[:-1] >= p[:-1] * piece) & (k[:-1] < (p[:-1] + 1) * piece)
-        return res[joined & inside]
-
-    solved = spread.groupBy("g").applyInPandas(solve, out_schema)
-    at = F.struct(F.col("t").alias("k"), "a", "b", "two_c", "three_d")
-    placed = rows.select(*keys, "t", "__j").join(solved, [*keys, "t"], "left")
-    held = scan(placed, keys, ["t"], {"__c": last_known(F.when(F.col("a").isNotNull(), at))}, hot_rows, hot)
-    c, back = F.col("__c"), F.col("__c")["k"] - F.col("t")
-    inner = (0.5 * c["two_c"] - c["three_d"] * back / 3) * back
+            series = pdf[c]
+            go_on &= ((series.to_numpy()[1:] == series.to_numpy()[:-1]) | (series.isna().to_numpy()[1:] & series.isna().to_numpy()[:-1]))
+        gap, rise = np.where(go_on, np.diff(t), 1.0), np.where(go_on, np.diff(x), 0.0)
+        bend = knot_bends(gap, rise, np.r_[False, go_on] & np.r_[go_on, False])
+        res = pdf.iloc[:-1][keys].copy()
+        for name, column in zip(SPAN, (t[:-1], t[1:], x[:-1], x[1:], bend[:-1], bend[1:])):
+            res[name] = column
+        return res[go_on & (number[:-1] >= part[:-1] * piece) & (number[:-1] < (part[:-1] + 1) * piece)]
+
+    solved = spread.groupBy("g").applyInPandas(solve, out_schema).withColumnRenamed("start", "t")
+    placed = join_null_safe(rows.select(*keys, "t", "__j"), solved, [*keys, "t"], "left")
+    span = F.struct(F.col("t").alias("start"), *SPAN[1:])
+    held = scan(placed, keys, ["t"], {"__c": last_known(F.when(F.col("stop").isNotNull(), span))}, hot_rows, hot)
     zero = F.lit(0.0)
-    return held.filter(F.col("__j") > 1).select(
-        *keys, "t",
-        F.coalesce(c["a"] + (inner - c["b"]) * back, zero).alias("a"),
-        F.coalesce(c["b"] + (c["three_d"] * back - c["two_c"]) * back, zero).alias("b"),
-        F.coalesce(c["two_c"] - 2 * c["three_d"] * back, zero).alias("two_c"),
-        F.coalesce(c["three_d"], zero).alias("three_d"),
-    )
+    empty = F.struct(F.col("t").alias("start"), (F.col("t") + 1).alias("stop"), *[zero.alias(c) for c in SPAN[2:]])
+    return held.filter(F.col("__j") > 1).withColumn("__c", F.coalesce("__c", empty)).select(*keys, "t", *[F.col("__c")[c].alias(c) for c in SPAN])
 
 
 def spline_values(coefficients: DataFrame, queries: DataFrame, keys: Sequence[str], time: str, hot_rows: int | None = None) -> DataFrame:
-    """Value and slope of the splines at query times; times outside use the first or last interval."""
+    """Value, slope and second derivative of the splines at query times; times outside use the first or last span.
+
+    With u and w the shares of the span after and before the time, the value is the straight line between the ends plus a
+    sixth of the squared width times (u^3 - u) and (w^3 - w) of the bends there.
+    """
     keys = list(keys)
-    at = F.struct(F.col("t"), "a", "b", "two_c", "three_d")
     asked = queries.select(*keys, F.col(time).cast("double").alias("t"), F.lit(0).alias("__coef")).distinct()
     both = asked.unionByName(coefficients.withColumn("__coef", F.lit(1)), allowMissingColumns=True)
-    piece = F.when(F.col("__coef") == 1, at)
-    found = scan(both, keys, ["t", "__coef"], {"__a": known_before(piece), "__b": next_known(piece)}, hot_rows)
+    span = F.when(F.col("__coef") == 1, F.struct(*SPAN))
+    found = scan(both, keys, ["t", "__coef"], {"__a": known_before(span), "__b": next_known(span)}, hot_rows)
     c = F.coalesce(F.col("__a"), F.col("__b"))
-    f = F.col("t") - c["t"]
+    width = c["stop"] - c["start"]
+    u, w = (c["stop"] - F.col("t")) / width, (F.col("t") - c["start"]) / width
+    bowed = c["left_bend"] * (u * u * u - u) + c["right_bend"] * (w * w * w - w)
+    tilt = c["right_bend"] * (3 * w * w - 1) - c["left_bend"] * (3 * u * u - 1)
     return found.filter(F.col("__coef") == 0).select(
         *keys, F.col("t").alias(time),
-        (c["a"] + (c["b"] + (0.5 * c["two_c"] + c["three_d"] * f / 3) * f) * f).alias("value"),
-        (c["b"] + (c["two_c"] + c["three_d"] * f) * f).alias("slope"),
+        (u * c["left"] + w * c["right"] + width * width / 6 * bowed).alias("value"),
+        ((c["right"] - c["left"]) / width + width / 6 * tilt).alias("slope"),
+        (u * c["left_bend"] + w * c["right_bend"]).alias("bend"),
     )

@@ -22,11 +22,11 @@ def item_groups(spark, groups: Sequence[Sequence[int]]) -> DataFrame:
     return spark.createDataFrame(rows, "itemid long, grp int")
 
 
-def recode_items(events: DataFrame, groups: DataFrame, item: str = "itemid", small: bool = True) -> DataFrame:
+def recode_items(events: DataFrame, groups: DataFrame, item: str = "itemid", small: bool = False) -> DataFrame:
     """Replace item ids by group numbers; ids without a group stay as they are. Keeps `source_item`.
 
-    `small` says the code table is one of fixed size, as those of `item_groups` are,
-    and may be broadcast; otherwise the join is left to the optimiser.
+    The join is left to the optimiser; `small` says that the code table is one of fixed
+    size, as those of `item_groups` are, and may be broadcast.
     """
     g = groups.select(F.col("itemid").alias(item), "grp")
     out = events.join(F.broadcast(g) if small else g, item, "left")

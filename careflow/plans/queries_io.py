@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from careflow import constants as C
 from careflow.operators import joins, mdp, series, states
 from careflow.plans.queries_clean import rounded
 from careflow.plans.queries_model import counts
@@ -22,23 +24,44 @@ def stage_tables(spark, sf):
     return io.read_stage_table(spark, root, "uo")
 
 
-@query("chunked_extract", "SRC3 SRC4 SRC5 SRC8", f"WITH {STAYS} SELECT subject AS subject_id, admission AS hadm_id, intime AS charttime, CAST(subject // 200 AS BIGINT) AS chunk FROM st WHERE subject < 1000 OR subject >= 1200")
+@query("chunked_extract", "SRC3 SRC4 SRC5 SRC8", f"WITH {STAYS} SELECT subject AS subject_id, admission AS hadm_id, intime AS charttime, CAST(subject // 200 AS BIGINT) AS chunk FROM st")
 def chunked_extract(spark, sf):
-    """Ranges of 200 subjects: the first five are written, then a second run adds only what is missing."""
+    """Ranges of 200 subjects: a first run has only the first five, a second run over all rows adds what is missing."""
     path = scratch_path(spark, "chunks")
     rows = io.rename_by_position(stays(spark, sf).select("subject", "admission", "intime"), ["subject_id", "hadm_id", "charttime"])
-    io.write_chunks(rows, path, "subject_id", step=200, chunks=5)
-    io.write_chunks(rows.filter("subject_id < 1000 or subject_id >= 1200"), path, "subject_id", step=200, skip_present=True)
+    io.write_chunks(rows.filter("subject_id < 1000"), path, "subject_id", step=200)
+    io.write_chunks(rows, path, "subject_id", step=200, skip_present=True)
     return spark.read.parquet(path).withColumn("chunk", F.col("chunk").cast("long"))
 
 
-@query("clustered_fetch", "SRC8 SNK4", f"WITH {INTERVALS} SELECT stay, \"start\", item FROM iv WHERE stay BETWEEN 10 AND 40")
+@query("clustered_fetch", "SRC8", f"WITH {INTERVALS} SELECT stay, \"start\", item FROM iv WHERE stay BETWEEN 10 AND 40")
 def clustered_fetch(spark, sf):
     path = scratch_path(spark, "clustered")
     io.write_clustered(intervals(spark, sf).select("stay", "start", "item"), path, "stay", "start")
     return spark.read.parquet(path).filter(F.col("stay").between(10, 40))
 
 
+@query("capped_files", "SNK4", f"WITH {INTERVALS} SELECT stay, \"start\", item, 1 AS small_files FROM iv")
+def capped_files(spark, sf):
+    """Every interval, from files of at most 1000 rows."""
+    path = scratch_path(spark, "capped")
+    io.write_table(intervals(spark, sf).select("stay", "start", "item"), path, records_per_file=1000)
+    rows = spark.read.parquet(path)
+    return rows.withColumn("file", F.col("_metadata.file_path")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("file"))).select(
+        "stay", "start", "item", (F.col("n") <= 1000).cast("int").alias("small_files"))
+
+
+@query("prefixed_files", "SRC7 ST1", f"WITH {MEASUREMENTS} SELECT stay AS icustayid, t AS charttime, CAST(item AS BIGINT) AS itemid, v AS valuenum FROM ev")
+def prefixed_files(spark, sf):
+    """Measurements written as two extracts whose names start alike, and one whose name does not, read by their prefix."""
+    root = scratch_path(spark, "prefixed")
+    ev = measurements(spark, sf).select(F.col("stay").alias("icustayid"), F.col("t").alias("charttime"), F.col("item").cast("long").alias("itemid"), F.col("v").alias("valuenum"))
+    for k, name in enumerate(("labs_ce", "labs_le")):
+        io.write_table(ev.filter(F.col("itemid") % 2 == k), f"{root}/{name}.csv", "csv")
+    io.write_table(ev, f"{root}/other.csv", "csv")
+    return io.read_prefix(spark, root, "labs_", ev.schema)
+
+
 @query("cached_flags", "SRC6", "SELECT l_orderkey AS hadm_id, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS returned FROM lineitem GROUP BY 1")
 def cached_flags(spark, sf):
     path = scratch_path(spark, "flags")
@@ -48,14 +71,14 @@ def cached_flags(spark, sf):
     return io.cached_table(spark, name, build, path)
 
 
-@query("split_layout", "SNK2 DS1", "SELECT o_orderkey AS k, o_custkey AS subject, o_totalprice AS price FROM orders WHERE o_custkey % 5 < 3")
+@query("split_layout", "SNK2 DS1", "SELECT o_orderkey AS k, o_custkey AS subject, o_totalprice AS price, CASE WHEN o_custkey % 5 < 3 THEN 'train' ELSE 'test' END AS split FROM orders")
 def split_layout(spark, sf):
     path = scratch_path(spark, "split")
     o = load(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("subject"), F.col("o_totalprice").alias("price"),
                                          F.when(F.col("o_custkey") % 5 < 3, "train").otherwise("test").alias("split"))
     io.write_split(o, path, {"raw": ["k", "price"], "metadata": ["k", "subject"]})
-    raw, meta = (spark.read.parquet(f"{path}/{t}").filter("split = 'train'").drop("split") for t in ("raw", "metadata"))
-    return raw.join(meta, "k")
+    raw, meta = (spark.read.parquet(f"{path}/{t}") for t in ("raw", "metadata"))
+    return raw.join(meta.drop("split"), "k")
 
 
 @query("saved_model", "SNK3 JN10", f"WITH {COUNTS} SELECT CAST(cnt.state AS INT) AS state, CAST(cnt.action AS INT) AS action, CAST(next_state AS INT) AS next_state, n, round(clin.p, 6) AS p FROM cnt JOIN clin ON clin.state = cnt.state AND clin.action = cnt.action")
@@ -96,8 +119,7 @@ _STATES_SQL = f"""WITH {MEASUREMENTS}, os AS (SELECT stay, min(t) + 10 * 86400 A
 e AS (SELECT ev.*, id % 4 AS src FROM ev JOIN w USING (stay) WHERE t BETWEEN o - 53 * 3600 AND o + 29 * 3600),
 ts AS (SELECT DISTINCT stay, t FROM e)
 SELECT row_number() OVER (PARTITION BY ts.stay ORDER BY ts.t) - 1 AS bloc, ts.stay AS icustayid, ts.t AS timestep,
-  max(CASE WHEN src = 0 AND item = 1 THEN v END) AS "Height_cm", max(CASE WHEN src = 0 AND item = 5 THEN v END) AS "HR", max(CASE WHEN src = 1 AND item = 1 THEN v END) AS "Potassium",
-  max(CASE WHEN src = 1 AND item = 4 THEN v END) AS "Glucose",
+  {", ".join(f'max(CASE WHEN src = {k} AND item = {i + 1} THEN v END) AS "{name}"' for k, names in enumerate((C.VITALS, C.LABS)) for i, name in enumerate(names))},
   coalesce(min(CASE WHEN src = 2 THEN CAST(item % 2 AS DOUBLE) END), max(CASE WHEN src = 3 THEN CAST(item % 2 AS DOUBLE) END)) AS mechvent,
   coalesce(min(CASE WHEN src = 2 THEN 0.0::DOUBLE END), max(CASE WHEN src = 3 THEN CAST(item % 2 = 0 AS INT)::DOUBLE END)) AS extubated
 FROM ts JOIN e ON e.stay = ts.stay AND e.t = ts.t GROUP BY ts.stay, ts.t"""
@@ -113,7 +135,7 @@ def patient_states(spark, sf):
     onsets = ev.groupBy(F.col("stay").alias("icustayid")).agg((F.min("t") + 10 * 86400).alias("onset_time"))
     demog = onsets.select("icustayid", (F.col("icustayid") % 70).alias("age"), F.lit(0).cast("long").alias("dischtime"))
     out, _ = states.patient_states(chart, labs, vent, onsets, demog, done)
-    return out.select("bloc", "icustayid", "timestep", "Height_cm", "HR", "Potassium", "Glucose", "mechvent", "extubated")
+    return out.select("bloc", "icustayid", "timestep", *C.VITALS, *C.LABS, "mechvent", "extubated")
 
 
 @query("culture_table", "BLD1 FLT1 FLT2 ST1 JN6", f"""WITH {STAYS}, mb AS (SELECT l_suppkey * 10 + l_linenumber AS subject_id, l_orderkey AS hadm_id, CASE WHEN l_linenumber = 1 THEN l_partkey END AS icustayid, CAST(epoch(l_shipdate) AS BIGINT) AS charttime FROM lineitem WHERE l_linenumber <= 3),

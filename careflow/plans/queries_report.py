@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from careflow.functions import scalar
@@ -215,3 +216,29 @@ def spline_values(spark, sf):
     ev = measurements(spark, sf)
     asked = ev.select("stay", "item", (F.col("t") + 600).alias("t"))
     return series.spline_values(spline_coeffs(spark, sf), asked, ["stay", "item"], "t")
+
+
+@query("spline_conditions", "IMP12 IMP13", f"""WITH {GAPPY}, k AS (SELECT stay, item, t, max(v) AS v FROM gap GROUP BY 1, 2, 3 HAVING max(v) IS NOT NULL)
+SELECT stay, item, t, round(v, 4) AS value, 0.0::DOUBLE AS step, 0.0::DOUBLE AS kink, 0.0::DOUBLE AS end_bend FROM k
+WHERE (stay, item, t) IN (SELECT (stay, item, t) FROM (SELECT stay, item, t, lead(t) OVER w AS nx FROM (SELECT DISTINCT stay, item, t FROM gap) WINDOW w AS (PARTITION BY stay, item ORDER BY t)) WHERE nx IS NOT NULL)""")
+def spline_conditions(spark, sf):
+    """At every known point but the last time: the spline's value, its step and kink across the point, and its bend if it is the first or last span's free end."""
+    c = spline_coeffs(spark, sf)
+    at = F.struct("start", "stop", "left", "right", "left_bend", "right_bend")
+    w = Window.partitionBy("stay", "item").orderBy("t")
+    c = c.withColumns({"before": F.lag(at).over(w), "after": F.lead(at).over(w)})
+    known = gappy(spark, sf).groupBy("stay", "item", "t").agg(F.max("v").alias("v")).where("v is not null").select("stay", "item", F.col("t").cast("double").alias("t"))
+    here = c.join(known, ["stay", "item", "t"])
+
+    def slope(s, end):
+        width = s["stop"] - s["start"]
+        bends = 2 * s["right_bend"] + s["left_bend"] if end else -(2 * s["left_bend"] + s["right_bend"])
+        return (s["right"] - s["left"]) / width + width / 6 * bends
+
+    own, before = F.struct(*[F.col(n) for n in ("start", "stop", "left", "right", "left_bend", "right_bend")]), F.col("before")
+    meets = before.isNotNull()
+    return here.select(
+        "stay", "item", F.col("t").cast("long").alias("t"), F.round("left", 4).alias("value"),
+        F.abs(F.round(F.when(meets, before["right"] - F.col("left")).otherwise(0.0), 4)).alias("step"),
+        F.abs(F.round(F.when(meets, slope(before, True) - slope(own, False)).otherwise(0.0), 4)).alias("kink"),
+        F.abs(F.round(F.when(~meets, F.col("left_bend")).when(F.col("after").isNull(), F.col("right_bend")).otherwise(0.0), 4)).alias("end_bend"))

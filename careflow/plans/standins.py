@@ -89,12 +89,12 @@ INTERVALS = """iv AS (
   FROM lineitem)"""
 
 
-def large_stays(spark: SparkSession, sf: str, lead: str = "id") -> list:
+def large_stays(spark: SparkSession, sf: str, lead: str = "id") -> int:
     """Stays too large for one task, measured on the key columns alone."""
     return find_hot(measurements(spark, sf).select("stay", lead), ["stay"], lead, hot_rows(spark))
 
 
-def trajectories(spark: SparkSession, sf: str, hot: list | None = None) -> DataFrame:
+def trajectories(spark: SparkSession, sf: str, hot: int | None = None) -> DataFrame:
     """Visited states per stay: (stay, bloc from 1, state 0..9, action 0..4, outcome 0/1, v)."""
     ev = measurements(spark, sf)
     numbered = scan(ev, ["stay"], ["id"], {"bloc": row_number()}, hot=hot)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_HOT_ROWS = 2_000_000
+#: Scratch folders of this process.
+SCRATCH: list[str] = []
 
 
 def build_session(master: str | None = None, app: str = "careflow", **conf: str) -> SparkSession:
@@ -33,26 +38,38 @@ def hot_rows(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Even out few or lopsided partitions before a step that costs much more CPU than a shuffle of its rows."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    """Deal few or lopsided partitions over the shuffle partitions before a step that costs much more CPU than a shuffle of its rows."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Use the folder in `spark.checkpoint.dir`. Only a local session without that setting gets a temporary folder, which is removed at exit."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="careflow-ckpt-")
+        shared = tempfile.mkdtemp(prefix="careflow-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
     sc.setCheckpointDir(shared)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder next to the checkpoints, on storage every executor can reach."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    SCRATCH.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this process has written to scratch folders; results that still read them are lost."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(SCRATCH.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:

@@ -331,30 +331,9 @@ def notes(events: DataFrame, stays: DataFrame, stay: str = "stay_id", summary: s
     )
 
 
-def expand_prefixes(text: str) -> list[tuple[str, int]]:
-    """Codes of a rule line as (prefix, length); length 0 means the whole code must match."""
-    out = []
-    for part in text.split():
-        if part.startswith("="):
-            out.append((part[1:], 0))
-            continue
-        low, _, high = part.partition("-")
-        if not high:
-            out.append((low, len(low)))
-            continue
-        stem = low.rstrip("0123456789")
-        width = len(low) - len(stem)
-        for n in range(int(low[len(stem):]), int(high[len(stem):]) + 1):
-            out.append((f"{stem}{n:0{width}d}", len(low)))
-    return out
-
-
-def comorbidity_rules(spark, rules: Mapping[str, Mapping[int, str]] = C.COMORBIDITY_RULES) -> DataFrame:
+def comorbidity_rules(spark, codes: Mapping[str, Sequence[tuple[int, int, Sequence[str]]]] = C.COMORBIDITY_CODES) -> DataFrame:
     """Rule table `(version, len, prefix, flag)`; its size is that of the published definition."""
-    rows = [
-        (int(version), length, prefix, flag)
-        for flag, lines in rules.items() for version, line in lines.items() for prefix, length in expand_prefixes(line)
-    ]
+    rows = [(version, length, code, flag) for flag, lists in codes.items() for version, length, listed in lists for code in listed]
     return spark.createDataFrame(rows, "version int, len int, prefix string, flag string")
 
 
@@ -364,8 +343,7 @@ def coded_flags(
 ) -> DataFrame:
     """0/1 flags per entity from coded rows and a prefix rule table; entities without codes get 0.
 
-    Each code is looked up once per prefix length by equality, so it is a broadcast
-    hash join on the rule table, and rows that set no flag are gone before the shuffle.
+    Each code is looked up once per prefix length by equality, and rows that set no flag are gone before the shuffle.
     """
     lengths = [0, 3, 4]
     probes = F.explode(F.array(*[
@@ -377,7 +355,7 @@ def coded_flags(
     probed = codes.select(F.col(key), F.col(version).cast("int").alias("version"), probes.alias("p")).select(
         key, "version", "p.len", "p.prefix",
     )
-    hits = probed.join(F.broadcast(rules), ["version", "len", "prefix"]).select(key, "flag")
+    hits = probed.join(rules, ["version", "len", "prefix"]).select(key, "flag")
     per = hits.groupBy(key).agg(
         *[F.max(F.when(F.col("flag") == f, 1).otherwise(0)).alias(f) for f in flags]
     )
@@ -389,7 +367,7 @@ def coded_flags(
 def comorbidities(admissions: DataFrame, diagnoses: DataFrame, key: str = "hadm_id") -> DataFrame:
     """The 30 comorbidity flags per admission."""
     raw = coded_flags(
-        admissions, diagnoses, comorbidity_rules(admissions.sparkSession), key, list(C.COMORBIDITY_RULES),
+        admissions, diagnoses, comorbidity_rules(admissions.sparkSession), key, list(C.COMORBIDITY_CODES),
         code="icd_code", version="icd_version",
     )
 

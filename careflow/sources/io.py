@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,18 +87,25 @@ def rename_by_position(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return out.withColumns({c: F.col(c).cast("long") for c in names if c in ID_COLUMNS})
 
 
-def stay_chunk(stay: str, base: int, step: int):
-    return F.floor((F.col(stay) - base) / step).cast("long")
+REST = -1
+
+
+def stay_chunk(stay: str, base: int, step: int, chunks: int | None = None) -> Column:
+    """Number of the range a stay id falls in; null ids, ids below `base` and ids beyond `chunks` ranges are in the chunk `REST`."""
+    chunk = F.floor((F.col(stay) - base) / step).cast("long")
+    inside = chunk >= 0 if chunks is None else (chunk >= 0) & (chunk < chunks)
+    return F.when(inside, chunk).otherwise(F.lit(REST).cast("long"))
 
 
 def write_chunks(
     df: DataFrame, path: str, stay: str, base: int = 0, step: int = 1_000_000, chunks: int | None = None,
     skip_present: bool = False,
 ) -> None:
-    """Write a table by half-open ranges of the stay id; `skip_present` leaves written ranges alone."""
-    out = df.withColumn("chunk", stay_chunk(stay, base, step)).filter(F.col("chunk") >= 0)
-    if chunks is not None:
-        out = out.filter(F.col("chunk") < chunks)
+    """Write every row of a table by half-open ranges of the stay id, the rest as one more chunk; `skip_present` leaves written chunks alone.
+
+    Rows of a chunk are brought together before writing, and large chunks are split again, so files are few and even.
+    """
+    out = df.withColumn("chunk", stay_chunk(stay, base, step, chunks))
     if skip_present:
         try:
             done = df.sparkSession.read.parquet(path).select("chunk").distinct()
@@ -107,7 +114,7 @@ def write_chunks(
                 raise
         else:
             out = out.join(done, "chunk", "left_anti")
-    out.write.mode("append").partitionBy("chunk").parquet(path)
+    out.hint("rebalance", "chunk").write.mode("append").partitionBy("chunk").parquet(path)
 
 
 def write_clustered(df: DataFrame, path: str, stay: str, time: str, files: int | None = None) -> None:

@@ -68,13 +68,14 @@ def test_record_files(spark, tmp_path):
 
 
 def test_comorbidity_rules(spark):
+    # A whole code "C1" equals the two-character entry of the three-character list.
     d = spark.createDataFrame([
         (1, "39891", 9), (1, "4010", 9), (2, "I50", 10), (2, "E112", 10), (2, "E119", 10), (3, "C15", 10), (3, "C77", 10),
         (4, "428", 10), (5, "R64", 10), (6, "E03", 10), (7, "C1", 10), (7, "C9", 10)], "hadm_id long, icd_code string, icd_version int")
     ad = spark.createDataFrame([(i,) for i in range(1, 9)], "hadm_id long")
     got = {r.hadm_id: {k for k, v in r.asDict().items() if v == 1 and k != "hadm_id"} for r in extract.comorbidities(ad, d).collect()}
     assert got == {1: {"congestive_heart_failure", "hypertension"}, 2: {"congestive_heart_failure", "diabetes_complicated"}, 3: {"metastatic_cancer"},
-                   4: set(), 5: {"weight_loss"}, 6: set(), 7: set(), 8: set()}
+                   4: set(), 5: {"weight_loss"}, 6: set(), 7: {"solid_tumor"}, 8: set()}
 
 
 def test_code_dimension_keeps_leading_zeros(spark, tmp_path):

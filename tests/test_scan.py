@@ -63,9 +63,9 @@ def test_scan_against_a_loop(rows):
 
 
 def test_hot_list_is_measured(rows):
-    hot = S.find_hot(rows, ["k"], "t", 200)
-    assert {h[0] for h in hot} == {"hot", "warm"} and all(h[-1] >= 4 for h in hot)
-    assert S.find_hot(rows, ["k"], "t", 10**6) == []
+    assert S.find_hot(rows, ["k"], "t", 200) == rows.count()
+    assert S.find_hot(rows, ["k"], "t", 10**6) == 0
+    assert S.find_hot(rows.limit(0), ["k"], "t", 1) == 0
 
 
 def test_quantiles_by_rank_equal_the_aggregate(rows):
@@ -105,12 +105,44 @@ def test_number_of_partitions_does_not_matter(spark, rows):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
-def test_crowded_times_are_cut_again(spark):
-    rng = random.Random(6)
-    ts = sorted([rng.randint(0, 1000) for _ in range(1500)] + [rng.randint(0, 10**7) for _ in range(60)] + [77] * 90)
-    df = spark.createDataFrame([("h", t, i, float(i % 7) if i % 3 else None) for i, t in enumerate(ts)] + [("c", 1, -1, 2.0)], "k string, t long, id long, v double")
-    hot = S.find_hot(df, ["k"], "t", 100)
-    once = S.tag_pieces(df, ["k"], "t", hot).filter("k = 'h'").groupBy(S.PIECE).count().agg(F.max("count")).first()[0]
-    again = S.split_keys(df, ["k"], "t", hot, 100).filter("k = 'h'").groupBy(S.PIECE).count().agg(F.max("count")).first()[0]
-    assert once > 1400 and again <= 200
-    assert table(S.scan(df, ["k"], ["t", "id"], steps(), hot_rows=100)) == table(S.scan(df, ["k"], ["t", "id"], steps(), hot_rows=10**9))
+def heavy(kind):
+    """Shapes in which one value takes most rows: a null key, one order value, null order values, very many heavy keys."""
+    n = 2000
+    if kind == "null key":
+        return [(None if i % 10 else "x", i // 3, i) for i in range(n)]
+    if kind == "one order value":
+        return [("h", 7, i) for i in range(n)]
+    if kind == "null order":
+        return [("h" if i % 4 else None, None if i % 3 else i, i) for i in range(n)]
+    return [(f"k{i % 15}", i % 2, i) for i in range(n)]
+
+
+@pytest.mark.parametrize("kind", ["null key", "one order value", "null order", "many keys"])
+def test_no_range_holds_a_heavy_key(spark, kind):
+    df = spark.createDataFrame([(*r, float(r[2] % 7) if r[2] % 3 else None) for r in heavy(kind)], "k string, t long, id long, v double").repartition(6)
+    dealt = S.deal_ranges(df, ["k"], ["t", "id"], 2000, 100)
+    assert dealt.groupBy(S.PIECE).count().agg(F.max("count")).first()[0] <= 400
+    for keys in (["k"], []):
+        assert table(S.scan(df, keys, ["t", "id"], steps(), hot_rows=100)) == table(S.scan(df, keys, ["t", "id"], steps(), hot_rows=10**9))
+    numbers = [{r["id"]: r["row"] for r in S.number_rows(df, ["t", "id"], hot_rows=limit).collect()} for limit in (100, 10**9)]
+    assert numbers[0] == numbers[1] and sorted(numbers[0].values()) == list(range(1, 2001))
+
+
+def test_sizes_change_no_answer_with_null_keys(spark):
+    from careflow.operators import bins, ope, report
+
+    rows = [(None if i % 4 == 0 else i % 3, i, float(i % 50), float(i % 2)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "k long, t long, v double, o double")
+
+    def sorted_rows(out):
+        return sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in out.collect()), key=str)
+
+    for make in (
+        lambda n: bins.median_max(df, ["k"], "v", "m", "x", n),
+        lambda n: ope.future_returns(df.withColumn("r", F.lit(1.0)), ["k"], "t", "r", 0.5, hot_rows=n).select("k", "t", "ret"),
+        lambda n: report.excess_per_stay(df.select("k", F.col("o").alias("outcome"), F.col("v").alias("fluid_excess"), F.col("v").alias("vaso_excess")), "k", n),
+    ):
+        few, many = sorted_rows(make(100)), sorted_rows(make(10**9))
+        assert few == many and any(r[0] is None for r in few)
+    ret = {(r.k, r.t): r.ret for r in ope.future_returns(df.withColumn("r", F.lit(1.0)), ["k"], "t", "r", 0.5, hot_rows=100).collect()}
+    assert all(abs(x - 2.0) < 1e-9 for (_, t), x in ret.items() if t < 900)
