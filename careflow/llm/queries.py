@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from careflow.llm import bpe, langid
@@ -56,10 +56,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three edits of every document: 20 code points go at a third, 30 of its own come in at two thirds, and the last word is joined to the first 10."""
     docs = load(spark, sf_dir, "documents")
     n = F.length("text")
+
+    def step(edit: int, start: Column, stop: Column, new: Column) -> Column:
+        return F.struct(F.lit(edit).alias("edit"), start.cast("long").alias("start"), stop.cast("long").alias("stop"), new.alias("new"))
+
+    third = F.floor(n / 3)
     steps = F.array(
-        F.struct(F.lit(1).alias("edit"), F.floor(n / 3).alias("start"), (F.floor(n / 3) + 20).alias("stop"), F.lit("").alias("new")),
-        F.struct(F.lit(2), F.floor(2 * n / 3), F.floor(2 * n / 3), F.substring("text", 1, 30)),
-        F.struct(F.lit(3), n.cast("long") * 2, n.cast("long") * 2, F.substring("text", 1, 10)))
+        step(1, third, third + 20, F.lit("")), step(2, F.floor(2 * n / 3), F.floor(2 * n / 3), F.substring("text", 1, 30)),
+        step(3, n * 2, n * 2, F.substring("text", 1, 10)))
     edits = docs.select("doc_id", F.inline(steps))
     return count_edits(docs, edits, VOCABULARY)
 
