@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from careflow.llm.components import components
-from careflow.llm.text import WordHash, grams, longs, mix, raw
+from careflow.llm.text import WordHash, grams, mix, raw
 from careflow.session import cut_lineage
 
 SIGNED = "id long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary"
 CHUNK = 256
+#: Bits of the parity sketch of a set.
+PARITY = 2048
 
 
 def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
@@ -57,7 +59,7 @@ def _signer(size: int, rows: int, bands: int, seed: int):
                 if len(x):
                     s = signature(x)
                     out["bands"].append((mix((s.reshape(bands, rows) * weight).sum(axis=1, dtype=np.uint64)) + band_no).view(np.int64))
-                    out["signature"].append(s.astype(np.uint8).tobytes())
+                    out["signature"].append(s.astype(np.uint8).tobytes() + np.uint32(len(x)).tobytes() + parity(x).tobytes())
                 else:
                     out["bands"].append([])
                     out["signature"].append(b"")
@@ -81,33 +83,52 @@ def _set_maker(size: int):
     return make
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+def parity(x: np.ndarray) -> np.ndarray:
+    """Bit i says whether an odd number of members falls on i. Where two sketches differ, so do the sets: they differ in at least as many members as the sketches in bits."""
+    return np.packbits(np.bincount((x >> np.uint64(20)).astype(np.int64) % PARITY, minlength=PARITY).astype(np.uint8) & 1)
 
 
-def _alike(width: int, least: float):
-    """Keep the pairs whose signatures agree in a share of at least `least`."""
+def _unpack(signatures: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minima, set sizes and parity sketches of packed signatures."""
+    packed = np.frombuffer(b"".join(signatures), np.uint8).reshape(-1, width + 4 + PARITY // 8)
+    sizes = np.ascontiguousarray(packed[:, width : width + 4]).view(np.uint32)[:, 0].astype(np.int64)
+    return packed[:, :width], sizes, np.ascontiguousarray(packed[:, width + 4 :]).view(np.uint64)
+
+
+def _may_link(left: tuple, right: tuple, percent: int) -> np.ndarray:
+    """Pairs that the minima (an estimate 0.15 under the threshold will do) and the parity sketches (no link is lost) leave possible."""
+    minima, sizes, bits = left
+    minima2, sizes2, bits2 = right
+    close = np.flatnonzero((minima == minima2).sum(axis=-1) >= (percent / 100 - 0.15) * minima2.shape[-1])
+    both = (sizes + sizes2)[close]
+    apart = np.bitwise_count((bits if bits.ndim == 1 else bits[close]) ^ bits2[close]).sum(axis=-1, dtype=np.int64)
+    return close[(100 + percent) * apart <= (100 - percent) * both]
+
+
+def _alike(width: int, percent: int):
+    """Keep the pairs that may be linked."""
     def test(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            same = (_matrix(part.column(2), width) == _matrix(part.column(3), width)).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["u", "v"]).filter(pa.array(same >= least * width))
+            keep = _may_link(_unpack(part.column(2).to_pylist(), width), _unpack(part.column(3).to_pylist(), width), percent)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["u", "v"]).take(pa.array(keep))
 
     return test
 
 
-def _alike_chunks(width: int, least: float):
-    """Compare the members of two chunks of a bucket; only like pairs of different components leave the task."""
+def _alike_chunks(width: int, percent: int):
+    """Compare the members of two chunks of a bucket; only pairs of different components that may be linked leave the task."""
     def test(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for row in part.to_pylist():
                 ids, comps = np.array(row["ids"]), np.array(row["comps"])
                 ids2, comps2 = np.array(row["ids2"]), np.array(row["comps2"])
-                left = np.frombuffer(b"".join(row["signatures"]), np.uint8).reshape(-1, width)
-                right = np.frombuffer(b"".join(row["signatures2"]), np.uint8).reshape(-1, width)
+                minima, sizes, bits = _unpack(row["signatures"], width)
+                right = _unpack(row["signatures2"], width)
                 u, v = [], []
                 for i in range(len(ids)):
-                    hit = ((right == left[i]).sum(axis=1) >= least * width) & (comps2 != comps[i])
-                    u.append(np.full(hit.sum(), ids[i]))
+                    hit = _may_link((minima[i], sizes[i], bits[i]), right, percent)
+                    hit = hit[comps2[hit] != comps[i]]
+                    u.append(np.full(len(hit), ids[i]))
                     v.append(ids2[hit])
                 u, v = np.concatenate(u), np.concatenate(v)
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v), pa.int64()), pa.array(np.minimum(u, v), pa.int64())], names=["u", "v"])
@@ -116,7 +137,7 @@ def _alike_chunks(width: int, least: float):
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, rows: int = 6, bands: int = 25, seed: int = 7,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, rows: int = 5, bands: int = 30, seed: int = 7,
 ) -> DataFrame:
     """Link documents whose sets of `size`-word shingles have a Jaccard similarity of at least `percent` / 100.
 
@@ -127,20 +148,19 @@ def near_duplicates(
       and only its smallest id goes on.
     * Banding: classes that share all `rows` minima of a band meet in a bucket. Every member is tried against one centre
       of the bucket, the class that shares the most buckets in all, so a family of copies costs a pair a member.
-    * Verification: signatures first (an estimate 0.15 under the threshold is let through), then the full sets.
+    * Verification: signatures first (an estimate 0.15 under the threshold is let through), a parity sketch that proves many
+      pairs too far apart, then the full sets.
     * Members that are still in other components than their centre are compared with the rest of their bucket in chunks
       of `CHUNK`, whatever their number, so no link inside a bucket depends on the choice of the centre.
     * Components by large-star and small-star.
 
-    A pair at similarity s shares no bucket with probability (1 - s**rows)**bands: 7e-6 at 0.85 and 5e-4 at 0.8 with
-    the defaults.
+    A pair at similarity s shares no bucket with probability (1 - s**rows)**bands: 7e-6 at 0.8 with the defaults.
 
     A null or blank text has the empty set and no link. A null id has no link, a null component and is kept. Rows that
     share an id are one document: its links are those of all its rows, and all its rows get the same answer. Other columns
     are ignored. An empty table gives no rows.
     """
-    width, close = rows * bands, percent / 100 - 0.15
-    spark = docs.sparkSession
+    width = rows * bands
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = cut_lineage(source.mapInArrow(_signer(size, rows, bands, seed), SIGNED), "signatures")
 
@@ -171,7 +191,7 @@ def near_duplicates(
     tried = tagged.where("id <> centre").select(F.greatest("id", "centre").alias("u"), F.least("id", "centre").alias("v")).distinct()
     tried = tried.join(signature.select(F.col("id").alias("u"), F.col("signature").alias("p")), "u").join(
         signature.select(F.col("id").alias("v"), F.col("signature").alias("q")), "v").select("u", "v", "p", "q")
-    tried = cut_lineage(tried.mapInArrow(_alike(width, close), "u long, v long"), "tried")
+    tried = cut_lineage(tried.mapInArrow(_alike(width, percent), "u long, v long"), "tried")
     links = cut_lineage(linked(tried), "links")
     first = components(links)
 
@@ -186,7 +206,7 @@ def near_duplicates(
     other = chunks.select("key", F.col("stray").alias("stray2"), F.col("chunk").alias("chunk2"), F.col("ids").alias("ids2"), F.col("comps").alias("comps2"),
                           F.col("signatures").alias("signatures2"))
     meet = stray.join(other, "key").where("not stray2 or chunk <= chunk2").select("ids", "comps", "signatures", "ids2", "comps2", "signatures2")
-    late = meet.mapInArrow(_alike_chunks(width, close), "u long, v long").distinct().join(tried, ["u", "v"], "left_anti")
+    late = meet.mapInArrow(_alike_chunks(width, percent), "u long, v long").distinct().join(tried, ["u", "v"], "left_anti")
     late = cut_lineage(linked(cut_lineage(late, "late")), "late-links")
 
     whole = components(links.union(late).union(copies))
