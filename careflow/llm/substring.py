@@ -140,6 +140,17 @@ def _sketch(shards: int):
     return reply
 
 
+def _split_firsts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each window, and all places but those; a place that is given twice, by a repeated row, is one place."""
+    data = data[np.lexsort((data["at"], data["tid"], data["id"], data["b"], data["a"]))]
+    new = np.r_[True, (data["a"][1:] != data["a"][:-1]) | (data["b"][1:] != data["b"][:-1])][: len(data)]
+    start = np.maximum.accumulate(np.where(new, np.arange(len(data)), 0))
+    again = np.zeros(len(data), bool)
+    for name in ("id", "tid", "at"):
+        again |= data[name] != data[name][start]
+    return data[new], data[again]
+
+
 def _ask_places(window: int, shards: int):
     """Second pass: hashes of the windows whose anchor is estimated repeated, by shard. In a batch only the first of equal windows is sent on."""
     def flush(b: Batch) -> Iterator[pa.RecordBatch]:
@@ -147,13 +158,11 @@ def _ask_places(window: int, shards: int):
             return
         ids, tids, a = b.flat()
         second, at = np.concatenate([m[0] for m in b.more]), np.concatenate([m[1] for m in b.more])
-        order = np.lexsort((at, tids, ids, second, a))
-        ids, tids, a, second, at = ids[order], tids[order], a[order], second[order], at[order]
-        again = np.r_[False, (a[1:] == a[:-1]) & (second[1:] == second[:-1])]
-        yield _answers(ids[again], tids[again], at[again], shards)
-        first = np.zeros((~again).sum(), PLACE)
+        data = np.zeros(len(a), PLACE)
         for name, values in (("id", ids), ("tid", tids), ("at", at), ("a", a), ("b", second)):
-            first[name] = values[~again]
+            data[name] = values
+        first, again = _split_firsts(data)
+        yield _answers(again["id"], again["tid"], again["at"], shards)
         shard = (mix(first["a"]) % np.uint64(shards)).astype(np.int32)
         order = np.lexsort((first["at"], first["id"], shard))
         yield _rows(0, shard[order], first[order])
@@ -190,11 +199,8 @@ def _group(shards: int):
             held += [np.frombuffer(d, PLACE) for d, k in zip(part.column(2).to_pylist(), kind) if k == 0]
         if not held:
             return
-        data = np.concatenate(held)
-        data = data[np.lexsort((data["at"], data["tid"], data["id"], data["b"], data["a"]))]
-        again = np.r_[False, (data["a"][1:] == data["a"][:-1]) & (data["b"][1:] == data["b"][:-1])]
-        data = data[again]
-        yield _answers(data["id"], data["tid"], data["at"], shards)
+        _, again = _split_firsts(np.concatenate(held))
+        yield _answers(again["id"], again["tid"], again["at"], shards)
 
     return reply
 
