@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from careflow.session import cut_lineage
 
 SLOTS = 1 << 14
-#: Parts of the lexicon: a term belongs to a part if the hexadecimal digits of its MD5 from a place on are below a bound. Four parts
-#: each hold a half, an eighth, a 32nd and a 128th of the lexicon; no two parts look at the same digits.
-PARTS = tuple([(1 + i, 1, "8") for i in range(4)] + [(5 + i, 1, "2") for i in range(4)] + [(9 + 2 * i, 2, "08") for i in range(4)] + [(17 + 2 * i, 2, "02") for i in range(4)])
+#: Parts of the lexicon: a term belongs to a part if the hexadecimal digits of its MD5 from a place on are below a bound. The first
+#: part is the whole lexicon; then three parts hold a 32nd of it, four a 64th, four a 128th and four a 256th, each by digits of its own.
+#: Of two documents that share much, the small parts agree often, the large ones seldom.
+PARTS = ((1, 2, "g"), *[(1 + 2 * i, 2, bound) for i, bound in enumerate(["08"] * 3 + ["04"] * 4 + ["02"] * 4 + ["01"] * 4)])
 
 
 @dataclass(frozen=True)

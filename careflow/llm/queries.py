@@ -87,7 +87,7 @@ def op4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _parts_sql(digests: str) -> str:
     """The sixteen part hashes of a list of MD5 digests, in DuckDB."""
-    parts = [(1 + i, 1, "8") for i in range(4)] + [(5 + i, 1, "2") for i in range(4)] + [(9 + 2 * i, 2, "08") for i in range(4)] + [(17 + 2 * i, 2, "02") for i in range(4)]
+    parts = [(1, 2, "g")] + [(1 + 2 * i, 2, bound) for i, bound in enumerate(["08"] * 3 + ["04"] * 4 + ["02"] * 4 + ["01"] * 4)]
     own = [f"list_filter({digests}, lambda d: substr(d, {place}, {width}) < '{bound}')" for place, width, bound in parts]
     return "[" + ", ".join(f"case when len({o}) > 0 then substr(md5(array_to_string({o}, '')), 1, 16) else '-' end" for o in own) + "]"
 
