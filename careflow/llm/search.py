@@ -174,9 +174,11 @@ def search(index: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_co
 
     for number in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).select("query_id", "terms").orderBy("query_id").collect()
+        if not rows:
+            continue
         ids = np.array([r["query_id"] for r in rows], np.int64)
         terms = [np.unique(np.frombuffer(b"".join(r["terms"]), np.uint64)) for r in rows]
-        every = np.unique(np.concatenate(terms)) if terms else np.zeros(0, np.uint64)
+        every = np.unique(np.concatenate(terms))
         wanted = spark.sparkContext.broadcast(every)
 
         def frequencies(parts: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
