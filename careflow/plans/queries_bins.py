@@ -185,6 +185,12 @@ def cohort_last_vs_max(spark, sf):
     return cohort.stopped_treatment(kept, "stay", blocs=5000)
 
 
+@query("cohort_stopped", "CO2 WN7 AG7", _COHORT_SQL.replace("FROM c1 GROUP BY 1)", "FROM (SELECT * REPLACE (\"SOFA\" % 4 AS \"SOFA\") FROM co) GROUP BY 1)") + " SELECT stay FROM stp")
+def cohort_stopped(spark, sf):
+    """Stays that stopped treatment, over all stays and a score in which high values are frequent."""
+    return cohort.stopped_treatment(cohort_rows(spark, sf).withColumn("SOFA", F.col("SOFA") % 4), "stay", blocs=5000)
+
+
 @query("cohort_exclude", "CO3 CO4 JN4 ST3", _COHORT_SQL + """
 SELECT 0 AS step, 'extreme' AS rule, (SELECT count(DISTINCT stay) FROM co) AS before, (SELECT count(*) FROM ext) AS removed, (SELECT count(DISTINCT stay) FROM c1) AS after
 UNION ALL SELECT 1, 'stopped', (SELECT count(DISTINCT stay) FROM c1), (SELECT count(*) FROM stp), (SELECT count(DISTINCT stay) FROM c2)

@@ -232,7 +232,7 @@ def row_blocks(spark, sf):
     return impute.row_blocks(measurements(spark, sf), ["stay", "id"], 100).select("id", "row", "block")
 
 
-_KNN_DIMS, _KNN_BLOCK = 64, 100
+_KNN_DIMS, _KNN_BLOCK = 64, 10_000
 _KNN_COLS = [f"x{i}" for i in range(_KNN_DIMS)]
 _KNN_SQL = "WITH e AS (SELECT vec_id, " + ", ".join(
     f"CASE WHEN (vec_id * 7 + {i} * 3) % 5 <> 0 THEN round(CAST(embedding[{i + 1}] AS DOUBLE), 6) END AS x{i}" for i in range(_KNN_DIMS)

@@ -350,7 +350,7 @@ def wis(spark, sf):
     return rounded(ope.weighted_value(_ratios(spark, sf)), ["wis"], 4)
 
 
-_REPS = 40
+_REPS = 750
 _BOOT = _RATIO + f""", bs AS (SELECT * FROM (SELECT rt.*, CAST(j.i AS INT) AS replicate, row_number() OVER (PARTITION BY j.i ORDER BY md5(concat_ws('|', CAST(icustayid AS VARCHAR), CAST(j.i AS VARCHAR), 'boot')), icustayid) AS k
   FROM rt, range(0, {_REPS}) j(i)) WHERE k <= least(25000, floor((SELECT count(*) FROM rt) * 0.75))),
 bw AS (SELECT replicate, sum(rho * g) / sum(rho) AS wis, CAST(sum((rho > 0)::INT) AS BIGINT) AS positive FROM bs WHERE rho IS NOT NULL GROUP BY 1)"""

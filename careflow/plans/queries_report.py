@@ -41,7 +41,7 @@ def excess_per_stay(spark, sf):
     return rounded(rounded(out, ["vaso_excess_mean", "vaso_excess_median"], 11), ["fluid_excess_sum"], 6)
 
 
-_LOW, _WIDTH, _BINS, _REPS = -0.3, 0.1, 12, 30
+_LOW, _WIDTH, _BINS, _REPS = -0.3, 0.1, 12, 200
 _PER = f"""WITH {MEASUREMENTS}, se AS (SELECT id AS icustayid, CAST(stay % 2 AS INT) AS outcome, round(v / 500 - 0.2, 2) AS x FROM ev), n AS (SELECT count(*) AS n FROM se),
 rs AS (SELECT CAST(j.i AS INT) AS replicate, CAST(b.i AS BIGINT) AS bin, outcome FROM se, n, range(0, {_REPS}) j(i), range(0, {_BINS}) b(i)
   WHERE {unit_hash('CAST(icustayid AS VARCHAR)', 'CAST(j.i AS VARCHAR)', chr(39) + 'excess' + chr(39))} < least(10000.0 / n.n, 0.75)
