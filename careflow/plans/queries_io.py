@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from careflow import constants as C
-from careflow.operators import joins, mdp, series, states
+from careflow.operators import bins, impute, joins, mdp, series, states
 from careflow.plans.queries_clean import rounded
 from careflow.plans.queries_model import counts
 from careflow.plans.registry import query
@@ -138,6 +138,36 @@ def patient_states(spark, sf):
     return out.select("bloc", "icustayid", "timestep", *C.VITALS, *C.LABS, "mechvent", "extubated")
 
 
+def _hold_sql(c: str, hours: int) -> str:
+    at = f'last_value(CASE WHEN "{c}" IS NOT NULL THEN timestep END IGNORE NULLS) OVER w'
+    return f'coalesce("{c}", CASE WHEN timestep - {at} <= {hours * 3600} THEN last_value("{c}" IGNORE NULLS) OVER w END) AS "{c}"'
+
+
+_WIDE_HELD = f"""SELECT icustayid, timestep, {", ".join(_hold_sql(c, h) for c, h in C.HOLD_HOURS.items())} FROM ({_STATES_SQL})
+WINDOW w AS (PARTITION BY icustayid ORDER BY timestep ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+
+def _held_states(spark, sf):
+    return impute.hold(patient_states(spark, sf).drop("bloc"), "icustayid", "timestep", C.HOLD_HOURS)
+
+
+@query("held_patient_states", "IMP6 BLD3", _WIDE_HELD)
+def held_patient_states(spark, sf):
+    """All 65 columns, held for their hours."""
+    return _held_states(spark, sf)
+
+
+@query("binned_patient_states", "AG3 BLD5", f"""WITH hd AS ({_WIDE_HELD}), beg AS (SELECT icustayid, min(timestep) AS b FROM hd GROUP BY 1)
+SELECT icustayid, CAST(j.i AS BIGINT) AS bin, {", ".join(f'round(avg("{c}"), 6) AS "{c}"' for c in C.STATE_COLUMNS)} FROM hd JOIN beg USING (icustayid), range(0, 20) j(i)
+WHERE timestep >= b + j.i * 14400 AND timestep <= b + (j.i + 1) * 14400 GROUP BY 1, 2""")
+def binned_patient_states(spark, sf):
+    """Means of all 65 held columns in 20 bins of 4 hours."""
+    held = _held_states(spark, sf)
+    starts = bins.bin_starts(held, "icustayid", "timestep")
+    e = bins.explode_points(held, starts, "icustayid", "timestep", 4 * 3600, 20)
+    return rounded(e.groupBy("icustayid", "bin").agg(*[F.avg(c).alias(c) for c in C.STATE_COLUMNS]), C.STATE_COLUMNS)
+
+
 @query("culture_table", "BLD1 FLT1 FLT2 ST1 JN6", f"""WITH {STAYS}, mb AS (SELECT l_suppkey * 10 + l_linenumber AS subject_id, l_orderkey AS hadm_id, CASE WHEN l_linenumber = 1 THEN l_partkey END AS icustayid, CAST(epoch(l_shipdate) AS BIGINT) AS charttime FROM lineitem WHERE l_linenumber <= 3),
 s AS (SELECT subject AS subject_id, admission // 3 * 3 AS hadm_id, admission AS icustayid, intime, outtime FROM st),
 c AS (SELECT m.subject_id, charttime, min(s.icustayid) AS f FROM (SELECT DISTINCT subject_id, charttime FROM mb) m JOIN s USING (subject_id) WHERE intime <= charttime + 172800 AND outtime >= charttime - 172800 GROUP BY 1, 2),
