@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 UNKNOWN = "und"
-KEPT = 600_000
+KEPT = 200_000
 LETTERS = regex.compile(r"\p{L}+")
 
 

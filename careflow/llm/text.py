@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
-MEMO = 1_000_000
+MEMO = 250_000
 
 
 def raw(column: pa.Array) -> list[bytes | None]:
