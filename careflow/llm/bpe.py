@@ -22,7 +22,7 @@ NEVER = 1 << 60
 #: Words of up to so many characters are scanned for the smallest rank; longer ones take their ranks from a heap.
 SHORT = 96
 #: Words, and runs of non-blank characters, that an encoder remembers in each of two generations.
-KEPT = 250_000
+KEPT = 150_000
 CONTROLS = re.compile("[\x1c-\x1f]")
 CHUNKS = re.compile("[^\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
@@ -155,8 +155,10 @@ class Encoder:
         return np.array([self.ids[p] for p in merge_word(shown, len(self.end), self.ranks)], "<i4").tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        text = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
-        return b"".join(map(self.words.__getitem__, self.pattern.findall(text.lower())))
+        text = (chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")).lower()
+        if text.isalpha():  # letters only are one word
+            return self.words[text]
+        return b"".join(map(self.words.__getitem__, self.pattern.findall(text)))
 
     def encode(self, text: str) -> bytes:
         if self.split_special is not None and "<" in text:
@@ -231,11 +233,18 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_id = {i: t for t, i in {**shared.value["ids"], **shared.value["special"]}.items()}
+
+        def text(ids: list[int]) -> str:
+            try:
+                return " ".join(map(by_id.__getitem__, ids))
+            except KeyError:
+                return " ".join([by_id[i] for i in ids if i in by_id])
+
         for part in parts:
-            texts = []
-            for ids in part.column(1).to_pylist():
-                texts.append(" ".join([by_id[i] for i in ids or () if i in by_id]))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["id", "ids", "decoded"])
+            ids, ends = part.column(1), part.column(1).offsets.to_numpy()
+            flat, known = ids.values.to_numpy(zero_copy_only=False), ids.is_valid().to_pylist()
+            texts = [text(flat[ends[i] : ends[i + 1]].tolist()) if known[i] else "" for i in range(part.num_rows)]
+            yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(texts, pa.string())], names=["id", "ids", "decoded"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
     out = encoded.select(id_col, ids_col).mapInArrow(run, f"id {kind}, ids array<int>, decoded string")
