@@ -13,7 +13,9 @@ from careflow.llm.text import WordHash, longs, mix, raw
 from careflow.session import cut_lineage
 
 #: Documents of a block, documents of a shard, and queries and query terms that are sent to the shards at once.
-BLOCK, SHARD, QUERIES, TERMS = 64, 8192, 4096, 4_000_000
+BLOCK, SHARD, QUERIES, TERMS = 32, 8192, 4096, 4_000_000
+#: Room for rounding in bounds.
+SLACK = 1e-9
 INDEX_SQL = "shard long, n_docs long, n_words long, docs binary, lengths binary, terms binary, starts binary, members binary, counts binary"
 NAMES = ["shard", "n_docs", "n_words", "docs", "lengths", "terms", "starts", "members", "counts"]
 
@@ -72,56 +74,87 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """A shard ready for queries: impacts of all postings, and for each term its blocks with their largest impact."""
+    """A shard ready for queries: impacts of all postings by term and by document, and for each term its blocks with their largest impact."""
 
     def __init__(self, row: dict, mean_length: float, k1: float, b: float):
         self.docs, lengths = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["lengths"], np.int32)
-        self.terms, starts = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["starts"], np.int32).astype(np.int64)
+        self.terms, self.starts = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["starts"], np.int32).astype(np.int64)
         self.member, counts = np.frombuffer(row["members"], np.int32), np.frombuffer(row["counts"], np.int32).astype(float)
         self.impact = counts * (k1 + 1) / (counts + k1 * (1 - b + b * lengths[self.member] / mean_length))
-        self.starts = starts
+        self.sizes = np.diff(self.starts)
+        term = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.sizes)
+        self.weight = np.zeros(len(self.terms))
+        self.term_most = np.maximum.reduceat(self.impact, self.starts[:-1])
+
         block = self.member // BLOCK
-        term = np.repeat(np.arange(len(self.terms)), np.diff(starts))
-        self.cut = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (term[1:] != term[:-1])])
-        self.cut_end = np.r_[self.cut[1:], len(block)]
-        self.block, self.most = block[self.cut], np.maximum.reduceat(self.impact, self.cut)
-        self.block_starts = np.searchsorted(self.cut, starts)
-        self.blocks = int(np.ceil(len(self.docs) / BLOCK))
+        cut = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (term[1:] != term[:-1])])
+        self.block, self.most = block[cut], np.maximum.reduceat(self.impact, cut)
+        self.block_starts = np.searchsorted(cut, self.starts)
+        self.block_of = np.arange(len(self.docs)) // BLOCK
+
+        by_doc = np.argsort(self.member, kind="stable")
+        self.own_terms, self.own_impacts = term[by_doc], self.impact[by_doc]
+        self.own_starts = np.r_[0, np.cumsum(np.bincount(self.member, minlength=len(self.docs)))]
+
+    def _add(self, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Weighted impacts of whole lists, added up by document."""
+        posting = _ranges(self.starts[at], self.sizes[at])
+        return np.bincount(self.member[posting], np.repeat(weights, self.sizes[at]) * self.impact[posting], len(self.docs)).astype(float)
+
+    def _reached(self, summed: np.ndarray, k: int) -> float:
+        """A score that k documents reach for sure."""
+        return float(np.partition(summed, -k)[-k]) * (1 - SLACK) if len(summed) >= k else 0.0
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
         """Documents and scores of the shard's best k among those that score at least `floor`.
 
-        The bound of a block is the sum of its terms' weighted maxima there. Blocks are scored from the largest bound down, some
-        at a time, until no bound reaches the k-th best score so far; ties at that score go to the smaller id, so equal bounds are scored.
+        Lists of rare terms are added up document by document; the k-th largest such sum is a score that k documents reach, so
+        the floor rises to it. The longest lists whose largest impacts together make up half the floor are not read: a
+        document's sum over the others and the weighted maxima of these in its block bound its score. Documents are scored
+        in full from the largest bound down, some at a time, until no bound reaches the k-th best score so far; ties at that
+        score go to the smaller id, so equal bounds are scored.
         """
         at = np.searchsorted(self.terms, terms)
         known = at < len(self.terms)
         known[known] = self.terms[at[known]] == terms[known]
         at, weights = at[known], weights[known]
-        first = self.block_starts[at]
-        n = self.block_starts[at + 1] - first
+        sizes = self.sizes[at]
+        read = sizes <= max(BLOCK, len(self.docs) // 50)
+        summed = self._add(at[read], weights[read])
+        floor = max(floor, self._reached(summed, k))
+        longest = np.argsort(-sizes, kind="stable")
+        bounded = np.zeros(len(at), bool)
+        bounded[longest] = np.cumsum((weights * self.term_most[at])[longest]) <= floor / 2
+        more = ~read & ~bounded
+        if more.any():
+            summed += self._add(at[more], weights[more])
+            floor = max(floor, self._reached(summed, k))
+        rare = read | more
+        first = self.block_starts[at[~rare]]
+        n = self.block_starts[at[~rare] + 1] - first
         entry = _ranges(first, n)
-        weight = np.repeat(weights, n)
-        block = self.block[entry]
-        bound = np.bincount(block, weight * self.most[entry], self.blocks) * (1 + 1e-9)
-        order = np.argsort(-bound, kind="stable")
+        common = np.bincount(self.block[entry], np.repeat(weights[~rare], n) * self.most[entry], self.block_of[-1] + 1)
+        bound = (summed + common[self.block_of]) * (1 + SLACK)
+
+        open_ = np.flatnonzero((bound > 0) & (bound >= floor))
+        open_ = open_[np.argsort(-bound[open_], kind="stable")]
         ids, scores = np.zeros(0, np.int64), np.zeros(0)
-        done, step = 0, max(1, -(-4 * k // BLOCK))
-        while done < len(order) and bound[order[done]] > 0 and bound[order[done]] >= floor:
-            chosen = np.zeros(self.blocks, bool)
-            chosen[order[done : done + step]] = True
+        self.weight[at] = weights
+        done, step = 0, 4 * k
+        while done < len(open_) and bound[open_[done]] >= floor:
+            chosen = open_[done : done + step]
             done += step
-            step *= 2
-            use = chosen[block]
-            size = (self.cut_end - self.cut)[entry[use]]
-            posting = _ranges(self.cut[entry[use]], size)
-            score = np.bincount(self.member[posting], np.repeat(weight[use], size) * self.impact[posting], len(self.docs))
-            hit = np.flatnonzero((score > 0) & (score >= floor))
-            ids, scores = np.r_[ids, self.docs[hit]], np.r_[scores, score[hit]]
+            step = min(2 * step, 1024)
+            size = self.own_starts[chosen + 1] - self.own_starts[chosen]
+            own = _ranges(self.own_starts[chosen], size)
+            score = np.bincount(np.repeat(np.arange(len(chosen)), size), self.weight[self.own_terms[own]] * self.own_impacts[own], len(chosen))
+            hit = (score > 0) & (score >= floor)
+            ids, scores = np.r_[ids, self.docs[chosen[hit]]], np.r_[scores, score[hit]]
             best = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[best], scores[best]
             if len(ids) == k:
                 floor = max(floor, scores[-1])
+        self.weight[at] = 0
         return ids, scores
 
 
@@ -144,7 +177,7 @@ def search(index: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_co
     documents that share a term are ranked; ties go to the smaller id.
 
     Queries go to the shards in blocks of at most `QUERIES` queries and about `TERMS` terms, whatever their number. For each
-    block the document frequencies are added up over all shards; an eighth of the shards gives a first k-th best score for
+    block the document frequencies are added up over all shards; a twelfth of the shards gives a first k-th best score for
     each query, from which the search of all shards starts; the shards' best are merged by score. Nothing is lost, as
     a score that is k-th best among some documents cannot be above that among all.
 
@@ -170,7 +203,7 @@ def search(index: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_co
     if not n_docs:
         return result
     mean = n_words / n_docs
-    seeds = index.where(F.pmod(F.xxhash64("shard"), F.lit(8)) == 0)
+    seeds = index.where(F.pmod(F.xxhash64("shard"), F.lit(12)) == 0)
 
     for number in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).select("query_id", "terms").orderBy("query_id").collect()

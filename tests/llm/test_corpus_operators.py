@@ -211,6 +211,15 @@ def test_search_of_untidy_tables(spark):
     assert search(index, docs.limit(0)).count() == 0
 
 
+def test_search_for_common_words_only(spark):
+    rows = [(i, "a b " * (1 + i % 7) + "c " * (i % 3)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = search(build_index(docs), spark.createDataFrame([(1, "a c"), (2, "b zz")], "doc_id long, text string"), k=5).collect()
+    for q, text in ((1, "a c"), (2, "b zz")):
+        found = [(r["doc_id"], pytest.approx(r["score"])) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q]
+        assert bm25(rows, text, 5) == found
+
+
 def test_search_in_many_query_blocks(spark, monkeypatch):
     from careflow.llm import search as module
 
