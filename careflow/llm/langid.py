@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from careflow.session import cut_lineage, spread
+
 UNKNOWN = "und"
 KEPT = 200_000
 LETTERS = regex.compile(r"\p{L}+")
@@ -93,52 +94,77 @@ def _worker_scorer(shared: Broadcast, number: str) -> Scorer:
     return SCORERS[number]
 
 
-def _logs(counts: dict[str, Counter], languages: list[str], least: int) -> dict[str, tuple[float, ...]]:
-    """Smoothed log frequencies by language of what was counted at least `least` times."""
-    total = np.array([sum(counts[x].values()) for x in languages], float)
-    every = set().union(*(counts[x] for x in languages))
-    out = {}
-    for key in every:
-        n = np.array([counts[x][key] for x in languages], float)
-        if n.sum() >= least:
-            out[key] = tuple(np.log((n + 0.5) / (total + 0.5 * len(every))).tolist())
-    return out
+def _quota(counts: dict[str, int], rows: int) -> float:
+    """Rows each language may give so that all give about `rows`: those with fewer give all they have."""
+    left, level = rows, 0.0
+    for i, n in enumerate(sorted(counts.values())):
+        level = left / (len(counts) - i)
+        if n >= level:
+            return level
+        left -= n
+    return float("inf")
+
+
+def _pieces(padded: Column, size: int) -> Column:
+    """All runs of `size` characters; empty for a shorter word."""
+    runs = F.transform(F.sequence(F.lit(1), F.length(padded) - size + 1), lambda i: F.substring(padded, i, F.lit(size)))
+    return F.when(F.length(padded) >= size, runs).otherwise(F.array().cast("array<string>"))
+
+
+def _logs(counted: DataFrame, sizes: dict[str, int], every: int, languages: list[str]) -> dict[str, tuple[float, ...]]:
+    """Smoothed log frequencies by language of rows (key, seen), `seen` being language numbers with counts; keys seen alike share one tuple."""
+    total = np.array([sizes.get(x, 0) for x in languages], float)
+    table = counted.select("key", "seen").toArrow()
+    seen = table.column("seen").combine_chunks().dictionary_encode()
+    rows = []
+    for pairs in seen.dictionary.to_pylist():
+        n = np.zeros(len(languages))
+        for pair in pairs.split(","):
+            at, count = pair.split(":")
+            n[int(at) - 1] = int(count)
+        rows.append(tuple(np.log((n + 0.5) / (total + 0.5 * every)).tolist()))
+    return {key: rows[at] for key, at in zip(table.column("key").to_pylist(), seen.indices.to_pylist())}
 
 
 def fit(
-    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_rows: int = 10_000, most_words: int = 60_000, longest: int = 5, seed: int = 11,
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_rows: int = 10_000, longest: int = 5, seed: int = 11, id_col: str = "doc_id",
 ) -> Model:
     """Learn from the rows with a text and a language.
 
-    A sample of about `fit_rows` rows, picked by a hash of the text, is counted; the `most_words` most frequent words of it
-    come to the driver, which bounds the model whatever the size of the corpus. N-grams of 1 to `longest` characters, blanks
-    around the word included, are counted over those words. No labelled rows give a model without languages.
+    A sample of about `fit_rows` rows is counted; it is the only bound of the model. It is drawn per language by a hash of id
+    and text: languages with few rows give all, the others as many as each other, so small languages keep their words; the prior
+    is the languages' shares of all rows. Every word of the sample is known, and n-grams of 1 to `longest` characters, blanks
+    around the word included, are counted over all of them; those of two and more characters are used if seen three times.
+    Words and n-grams are counted on Spark. No labelled rows give a model without languages.
     """
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    n = rows.count()
-    parts = 1_000_000
-    sample = rows
-    if n > fit_rows:
-        sample = rows.where(F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(parts)) < int(parts * fit_rows / n))
-    shares = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
+    picked = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col).cast("string")) if id_col in docs.columns else F.xxhash64(F.lit(seed), F.col(text_col).cast("string"))
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), picked.alias("picked")).where("text is not null and lang is not null")
+    shares = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
     languages = sorted(shares)
-    word = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
-    top = word.groupBy("word", "lang").count().orderBy(F.desc("count"), "word", "lang").limit(most_words).collect()
-    words: dict[str, Counter] = defaultdict(Counter)
-    grams: dict[str, Counter] = defaultdict(Counter)
-    for r in top:
-        words[r["lang"]][r["word"]] += r["count"]
-        padded = f" {r['word']} "
-        for n_chars in range(1, longest + 1):
-            for i in range(len(padded) - n_chars + 1):
-                grams[r["lang"]][padded[i : i + n_chars]] += r["count"]
     prior = np.log(np.array([shares[x] for x in languages], float) / max(1, sum(shares.values())))
     if not languages:
         return Model([], prior, {}, {}, longest)
+    quota, parts = _quota(shares, fit_rows), 1 << 40
+    at = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang"))
+    least = F.array(*[F.lit(int(parts * min(1.0, quota / shares[x]))) for x in languages])
+    sample = rows.withColumn("at", at.cast("int")).where("at > 0").where(F.pmod("picked", F.lit(parts)) < F.element_at(least, F.col("at")))
+
+    found = sample.select("lang", "at", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("key")).where("key <> ''")
+    words = cut_lineage(found.groupBy("key", "lang", "at").agg(F.count(F.lit(1)).alias("n")), "words")
+    pieces = F.flatten(F.array(*[_pieces(F.concat(F.lit(" "), "key", F.lit(" ")), k) for k in range(1, longest + 1)]))
+    grams = spread(words).select("lang", "at", "n", F.explode(pieces).alias("key")).groupBy("key", "lang", "at").agg(F.sum("n").alias("n"))
+    counted = cut_lineage(words.select(F.lit(0).alias("kind"), "key", "lang", "at", "n").union(grams.select(F.length("key"), "key", "lang", "at", "n")), "counted")
+    keys = cut_lineage(counted.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "at", "n"))), ",").alias("seen")), "keys")
+    totals = {(r["kind"], r["lang"]): r["n"] for r in counted.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()}
+    every = {r["kind"]: r["count"] for r in keys.groupBy("kind").count().collect()}
+
+    def logs(kind: int, least: int) -> dict[str, tuple[float, ...]]:
+        return _logs(keys.where((F.col("kind") == kind) & (F.col("n") >= least)), {x: totals.get((kind, x), 0) for x in languages}, every.get(kind, 0), languages)
+
     by_length: dict[str, tuple[float, ...]] = {}
-    for n_chars in range(1, longest + 1):
-        by_length |= _logs({x: Counter({g: c for g, c in grams[x].items() if len(g) == n_chars}) for x in languages}, languages, 1 if n_chars == 1 else 3)
-    return Model(languages, prior, _logs(words, languages, 1), by_length, longest)
+    for k in range(1, longest + 1):
+        by_length |= logs(k, 1 if k == 1 else 3)
+    return Model(languages, prior, logs(0, 1), by_length, longest)
 
 
 def annotate(docs: DataFrame, model: Model, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:

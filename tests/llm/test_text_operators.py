@@ -139,6 +139,33 @@ def test_backoff_uses_the_longest_known_grams():
     assert scorer.predict("12 !?") == ("und", 0.0)
 
 
+def test_language_model_knows_every_word_of_its_sample(spark):
+    made = ["".join(x) for x in itertools.product("abcdefghijklmnop", repeat=4)]
+    rows = [(i, " ".join(made[i * 1024 : (i + 1) * 1024] * 2), "en") for i in range(64)] + [(64, "zürich zwölf", "small"), (65, "กขคงจฉ", "th")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model.words) == {*made, "zürich", "zwölf", "กขคงจฉ"}
+    counts = {}
+    for _, text, lang in rows:
+        for word in text.split():
+            for k in range(1, 6):
+                for i in range(len(word) + 3 - k):
+                    gram = f" {word} "[i : i + k]
+                    counts.setdefault(gram, dict.fromkeys(("en", "small", "th"), 0))[lang] += 1
+    assert set(model.grams) == {g for g, n in counts.items() if len(g) == 1 or sum(n.values()) >= 3}
+    for k in range(1, 6):
+        sized = {g: n for g, n in counts.items() if len(g) == k}
+        total = [sum(n[x] for n in sized.values()) for x in model.languages]
+        for g in sized.keys() & model.grams.keys():
+            assert model.grams[g] == pytest.approx([np.log((sized[g][x] + 0.5) / (t + 0.5 * len(sized))) for x, t in zip(model.languages, total)])
+
+
+def test_language_sample_is_drawn_per_language(spark):
+    docs = spark.range(4000).selectExpr("id as doc_id", "if(id < 3997, 'one text many times', concat('rare', char(97 + id % 3))) as text", "if(id < 3997, 'en', 'small') as lang")
+    model = langid.fit(docs, fit_rows=100)
+    assert {"many", "rarea", "rareb", "rarec"} <= set(model.words)
+    assert np.exp(model.prior).tolist() == pytest.approx([3997 / 4000, 3 / 4000])
+
+
 def test_language_of_untidy_tables(spark, untidy):
     model = langid.fit(untidy)
     got = langid.predict(untidy, model).collect()
