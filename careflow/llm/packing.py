@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FINE = 1024
-STEPS = 256
+#: Lengths up to this have an entry of their own in the histogram: all have.
+FINE = (1 << 63) - 1
 
 
 def word_count(text: Column) -> Column:
@@ -15,12 +15,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")), F.lit(0)).cast("long")
 
 
-def histogram_step(length: Column) -> Column:
-    """The length itself up to `FINE`; above, rounded up to one of `STEPS` steps in each doubling, so that the histogram has few entries whatever the lengths."""
-    span = F.pow(F.lit(2.0), F.floor(F.log2(length.cast("double")))) / STEPS
-    return F.when(length <= FINE, length).otherwise((F.ceil(length / span) * span).cast("long"))
-
-
 def best_edges(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """Upper edges of at most `buckets` buckets over a sorted histogram that make the padding, the sum of edge - length, least.
 
@@ -61,8 +55,9 @@ def pack(
 ) -> DataFrame:
     """Give every document a length bucket and a batch: `id_col`, `n_tokens`, `bucket`, `bucket_len`, `batch`, `slot`.
 
-    `length` counts a document's tokens (its words, if not given). The histogram of all lengths, at most a few thousand
-    entries, comes to the driver, where the bucket edges of the least padding are found. Every document is padded to the
+    `length` counts a document's tokens (its words, if not given). The exact histogram of all lengths comes to the
+    driver, where the bucket edges of the least padding are found; it has an entry for each distinct length, of which n need
+    n * (n + 1) / 2 tokens at least, so entries grow with the root of the tokens at most. Every document is padded to the
     edge of its bucket (`bucket_len`); batch b of a bucket holds the documents numbered b * m to b * m + m - 1 of it, with
     m = max(1, budget // bucket_len), so only the last batch of a bucket is short. A document longer than the budget is a
     batch of its own, whole.
@@ -79,9 +74,10 @@ def pack(
     count = word_count(F.col(text_col).cast("string")) if length is None else length.cast("long")
     sized = docs.select(F.col(id_col).alias("id"), count.alias("n_tokens"))
     full = sized.where("n_tokens > 0")
-    bins = full.groupBy(histogram_step(F.col("n_tokens")).alias("step")).count().collect()
-    steps = sorted((r["step"], r["count"]) for r in bins)
-    edges = best_edges(np.array([s for s, _ in steps], np.int64), np.array([c for _, c in steps], np.int64), buckets) if steps else []
+    bins = full.groupBy("n_tokens").count().toArrow()
+    lengths, counts = (bins.column(c).to_numpy().astype(np.int64) for c in ("n_tokens", "count"))
+    order = np.argsort(lengths)
+    edges = best_edges(lengths[order], counts[order], buckets)
 
     edge = F.lit(None).cast("long")
     number = F.lit(None).cast("int")

@@ -246,3 +246,15 @@ def test_packing_of_untidy_tables(spark, untidy):
     assert len(rows) == 2000
     check_packing(rows, 30)
     assert packing.pack(untidy.limit(0)).count() == 0
+
+
+def test_packing_is_exact_for_long_documents(spark):
+    lengths = [1100 + 37 * i for i in range(60)] + [20_021] * 3 + [5, 900]
+    docs = spark.createDataFrame([(i, "a " * n) for i, n in enumerate(lengths)], "doc_id long, text string")
+    rows = packing.pack(docs, buckets=6).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in rows} == dict(enumerate(lengths))
+    check_packing(rows, 65_536)
+    distinct, counts = np.unique(lengths, return_counts=True)
+    edges = packing.best_edges(distinct, counts, 6)
+    assert sorted({r["bucket_len"] for r in rows}) == edges and set(edges) <= set(lengths)
+    assert sum(r["bucket_len"] - r["n_tokens"] for r in rows) == sum(min(e for e in edges if e >= n) - n for n in lengths)
