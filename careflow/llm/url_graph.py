@@ -61,33 +61,40 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return found.select("src", host_of(whole).alias("dst")).where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def spread(nodes: DataFrame, edges: DataFrame, rounds: int, damping: float) -> DataFrame:
+def spread(nodes: DataFrame, edges: DataFrame, damping: float, tolerance: float, most_rounds: int) -> DataFrame:
     """Personalised PageRank: rows (host, score) from nodes (host, seed) with seeds that add up to 1, over edges (src, dst, share).
 
     What reaches a host without edges out stays there for one round and is gone. A host with very many edges meets only sums by host and
-    joins with one row a host. The rounds are cut every fourth, so plans stay short and a lost executor costs few rounds.
+    joins with one row a host. The rounds are cut every fourth, so plans stay short and a lost executor costs few rounds. At each cut the
+    ranks are compared with those of the cut before: they are done once they differ by `tolerance` in sum at most and no
+    further host has been reached. ValueError if that takes more than `most_rounds` rounds.
     """
     nodes = cut_lineage(nodes, "nodes")
     rank = nodes.select("host", F.col("seed").alias("score"))
-    for i in range(rounds):
-        sent = rank.join(edges, rank["host"] == edges["src"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-        arrived = nodes.join(sent, nodes["host"] == sent["dst"], "left").select("host", "seed", F.coalesce("got", F.lit(0.0)).alias("got"))
-        rank = arrived.select("host", (damping * F.col("got") + (1 - damping) * F.col("seed")).alias("score"))
-        if i % 4 == 3:
-            rank = cut_lineage(rank, "rank")
-    return rank
+    for _ in range(0, most_rounds, 4):
+        last = rank.withColumnRenamed("score", "last")
+        for _ in range(4):
+            sent = rank.join(edges, rank["host"] == edges["src"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
+            arrived = nodes.join(sent, nodes["host"] == sent["dst"], "left").select("host", "seed", F.coalesce("got", F.lit(0.0)).alias("got"))
+            rank = arrived.select("host", (damping * F.col("got") + (1 - damping) * F.col("seed")).alias("score"))
+        rank = cut_lineage(rank, "rank")
+        change, more = rank.join(last, "host").agg(F.sum(F.abs(F.col("score") - F.col("last"))), F.count_if((F.col("score") > 0) & (F.col("last") == 0))).first()
+        if (change or 0.0) <= tolerance and not more:
+            return rank
+    raise ValueError(f"ranks still change by {change} and reach {more} more hosts after {most_rounds} rounds; allow more")
 
 
 def judge_urls(
     pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-    rounds: int = 12, damping: float = 0.85, ratio: float = 1.0,
+    damping: float = 0.85, ratio: float = 1.0, tolerance: float = 1e-9, most_rounds: int = 1000,
 ) -> DataFrame:
     """Judge every page's url: `id_col`, `host`, `path`, `rule`, `verdict`, `trust`, `distrust`.
 
     A url that a rule fits gets the verdict of the longest such rule. Any other url gets the verdict of its host: the hosts
     of pages that a rule allows are the trusted seeds, those of pages that a rule blocks the blocked seeds, weighted by such
     pages. Trust goes from trusted seeds along links, distrust from blocked seeds against them (who links to a blocked host
-    is doubtful), both by personalised PageRank over all host links. A host is blocked if its distrust is over `ratio` times its
+    is doubtful), both by personalised PageRank over all host links, repeated until
+    the ranks settle (see `spread`; more than `most_rounds` rounds are an error). A host is blocked if its distrust is over `ratio` times its
     trust, else allowed; hosts without links or seeds are allowed. Both ranks are 0 where there is no seed at all.
 
     A null url, or one without `://`, has an empty host and path and is allowed unless a rule fits. Rows with null or
@@ -109,9 +116,9 @@ def judge_urls(
         total = edges.groupBy("src").agg(F.sum("n").alias("total"))
         return cut_lineage(edges.join(total, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")), "shares")
 
-    trust = spread(hosts.select("host", (F.col("allow") / F.lit(max(allowed or 0, 1))).alias("seed")), shares(links), rounds, damping)
+    trust = spread(hosts.select("host", (F.col("allow") / F.lit(max(allowed or 0, 1))).alias("seed")), shares(links), damping, tolerance, most_rounds)
     against = shares(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
-    distrust = spread(hosts.select("host", (F.col("block") / F.lit(max(blocked or 0, 1))).alias("seed")), against, rounds, damping)
+    distrust = spread(hosts.select("host", (F.col("block") / F.lit(max(blocked or 0, 1))).alias("seed")), against, damping, tolerance, most_rounds)
     scores = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host")
 
     judged = ruled.join(scores, "host", "left").select(

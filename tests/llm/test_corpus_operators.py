@@ -295,6 +295,17 @@ def test_urls_against_a_loop(spark):
     assert url_graph.judge_urls(docs.limit(0)).count() == 0
 
 
+def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    n = 19
+    pages = [(0, "http://h0.com/de/", "")] + [(i, f"http://h{i}.net/", f'<a href="http://h{i - 1}.{"com" if i == 1 else "net"}/">x</a>') for i in range(1, n)]
+    docs = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in url_graph.judge_urls(docs).collect()}
+    assert {r["verdict"] for r in got.values()} == {"block"}
+    assert [got[i]["distrust"] for i in range(n)] == pytest.approx([0.15 * 0.85**i for i in range(n)])
+    with pytest.raises(ValueError):
+        url_graph.judge_urls(docs, most_rounds=12)
+
+
 def test_query_10_against_a_loop(spark):
     pages = [tuple(r) for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").collect()]
     got = sorted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in QUERIES["op10_url_filter"](spark, SF).collect())
