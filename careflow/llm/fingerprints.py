@@ -37,19 +37,21 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))
 
 
-def lexicon(docs: DataFrame, text_col: str, low: float, high: float, most_terms: int) -> Lexicon:
+def lexicon(docs: DataFrame, text_col: str, low: float, high: float, most_terms: int) -> Lexicon | DataFrame:
     """Terms that occur in a share of at least `low` and at most `high` of all documents, and in two at least.
 
-    Every document is counted. A document has only so many terms, so there are at most (mean terms of a document) / low such
-    terms; of those, the `most_terms` in the most documents are used, ties in the order of the terms. That bounds the
-    constant which the fingerprints read.
+    Every document is counted and every such term is used. Up to `most_terms` terms are a constant of the plan; more are a
+    table (term), which no task or driver holds as a whole.
     """
     counted = docs.select(F.explode(terms_of(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("term")).where("term <> ''").groupBy("term").agg(
         F.count(F.lit(1)).alias("df")).where("df > 1")
     n = docs.count()
-    band = counted.where((F.col("df") >= low * n) & (F.col("df") <= high * n)).orderBy(F.desc("df"), "term").limit(most_terms)
+    band = counted.where((F.col("df") >= low * n) & (F.col("df") <= high * n)).select(slot_of(F.col("term")).alias("slot"), "term")
     slots: list[list[str]] = [[] for _ in range(SLOTS)]
-    for row in band.select(slot_of(F.col("term")).alias("slot"), "term").collect():
+    found = band.limit(most_terms + 1).collect()
+    if len(found) > most_terms:
+        return cut_lineage(band.select("term"), "lexicon")
+    for row in found:
         slots[row["slot"] - 1].append(row["term"])
     return Lexicon(json.dumps(slots, ensure_ascii=False, separators=(",", ":")))
 
@@ -58,9 +60,8 @@ def _in_part(place: int, width: int, bound: str) -> Callable[[Column], Column]:
     return lambda digest: F.substring(digest, place, width) < bound
 
 
-def part_hashes(text: Column, lexicon: Lexicon) -> Column:
-    """Array of a hash for each part of the lexicon: MD5 over the sorted distinct terms of the text in that part, 16 digits of it; `-` where it has none."""
-    kept = F.array_sort(F.filter(terms_of(text), lambda t: lexicon.holds(t)))
+def part_hashes(kept: Column) -> Column:
+    """Array of a hash for each part of the lexicon: MD5 over a text's sorted distinct terms in that part, 16 digits of it; `-` where it has none."""
     digests = F.transform(kept, lambda t: F.md5(t.cast("binary")))
 
     def parts_of(found: Column) -> Column:
@@ -73,6 +74,16 @@ def part_hashes(text: Column, lexicon: Lexicon) -> Column:
     return F.element_at(F.transform(F.array(digests), parts_of), 1)
 
 
+def with_parts(rows: DataFrame, lexicon: Lexicon | DataFrame, text_col: str, name: str) -> DataFrame:
+    """Rows (id, tie, ...) and the part hashes of a text; rows that share id and tie have one text."""
+    if isinstance(lexicon, Lexicon):
+        return rows.withColumn(name, part_hashes(F.array_sort(F.filter(terms_of(F.col(text_col)), lambda t: lexicon.holds(t)))))
+    terms = rows.select("id", "tie", F.explode(terms_of(F.col(text_col))).alias("term")).join(lexicon, "term")
+    kept = terms.groupBy("id", "tie").agg(F.array_sort(F.collect_set("term")).alias("kept"))
+    hashed = part_hashes(F.coalesce("kept", F.array().cast("array<string>")))
+    return rows.join(kept, ["id", "tie"], "left").withColumn(name, hashed).drop("kept")
+
+
 def fingerprint(hashes: Column, digest: Column) -> Column:
     """The part hashes joined by a dot, or, where no part has a term, the MD5 of the text."""
     return F.when(F.exists(hashes, lambda h: h != "-"), F.array_join(hashes, ".")).otherwise(F.concat(F.lit("text:"), digest))
@@ -113,7 +124,8 @@ def fingerprint_edits(
     `edited_sha256`, `fingerprint`, `edited_fingerprint`, `near_edited` and `near_next` (likeness to the edited text and to the
     next document).
 
-    The lexicon is counted once over all documents. Texts are shuffled once by id; beside them only the needed heads of the
+    The lexicon is counted once over all documents; with more than `most_terms` terms it is a table that the terms of the texts
+    are joined to, with the same rows as result. Texts are shuffled once by id; beside them only the needed heads of the
     next documents, with their part hashes, move.
 
     A null text is empty. Null ids come last. Rows that share an id come in descending order of a hash of the text, and
@@ -130,14 +142,14 @@ def fingerprint_edits(
     wanted = cut_lineage(after.select(F.col("id").alias("to_id"), F.col("tie").alias("to_tie"), F.col("next_id").alias("id"), F.col("next_tie").alias("tie"), third.alias("k")), "wanted")
 
     dealt = whole.repartition("id", "tie")
-    heads = dealt.dropDuplicates(["id", "tie"]).join(wanted, ["id", "tie"]).select(
-        F.col("to_id").alias("id"), F.col("to_tie").alias("tie"), F.col("k"), F.substring("text", F.lit(1), F.col("k")).alias("head"), part_hashes(F.col("text"), lex).alias("next_parts"),
+    followers = with_parts(dealt.dropDuplicates(["id", "tie"]).join(wanted, ["id", "tie"]), lex, "text", "next_parts")
+    heads = followers.select(
+        F.col("to_id").alias("id"), F.col("to_tie").alias("tie"), F.col("k"), F.substring("text", F.lit(1), F.col("k")).alias("head"), "next_parts",
         F.md5(F.col("text").cast("binary")).alias("next_md5"))
     joined = dealt.join(heads, ["id", "tie"]).withColumn("n_chars", F.length("text").cast("long"))
     edited = joined.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.col("k")).cast("int")), "head"))
-    hashed = edited.select(
-        "id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), part_hashes(F.col("text"), lex).alias("own"),
-        part_hashes(F.col("edited"), lex).alias("other"), "next_parts", "next_md5",
+    hashed = with_parts(with_parts(edited, lex, "text", "own"), lex, "edited", "other").select(
+        "id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", "other", "next_parts", "next_md5",
         F.md5(F.col("text").cast("binary")).alias("m"), F.md5(F.col("edited").cast("binary")).alias("e"))
 
     return hashed.select(

@@ -8,6 +8,7 @@ import random
 
 import pytest
 from oracle_check import compare, connect
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from careflow.llm import url_graph
@@ -172,6 +173,12 @@ def test_fingerprints_of_untidy_tables(spark):
     assert fingerprint_edits(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_fingerprints_of_a_lexicon_over_the_plan_constant(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.union(docs.limit(3)).union(docs.limit(1).withColumn("text", F.lit(None).cast("string")))
+    assert sorted(map(tuple, fingerprint_edits(docs, most_terms=50).collect())) == sorted(map(tuple, fingerprint_edits(docs).collect()))
+
+
 def test_fingerprints_tell_near_from_far(spark):
     rows = QUERIES["op5_fingerprints"](spark, "/root/testdata/sf0.01").collect()
     near, far = sum(r["near_edited"] for r in rows) / len(rows), sum(r["near_next"] for r in rows) / len(rows)
