@@ -9,18 +9,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from careflow.llm import bpe, langid
+from careflow.llm.centroids import cluster
 from careflow.llm.fingerprints import fingerprint_edits
 from careflow.llm.licenses import scan
 from careflow.llm.near_dedup import near_duplicates
+from careflow.llm.negatives import hard_negatives
 from careflow.llm.packing import pack
 from careflow.llm.search import build_index, search
 from careflow.llm.substring import repeated_passages
 from careflow.llm.token_counts import count_edits
+from careflow.llm.token_files import read_documents, write_ids
 from careflow.llm.url_graph import judge_urls
 from careflow.session import load
 
 #: The vocabulary of the encoding queries.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+#: The vocabulary of the token files.
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -194,3 +199,51 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_url_filter")
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(load(spark, sf_dir, "pages"))
+
+
+@query("op11_token_files")
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    manifest = write_ids(docs, BYTE_VOCABULARY, end_id=2)
+    return read_documents(manifest, docs.schema["doc_id"].dataType.simpleString()).withColumnRenamed("id", "doc_id")
+
+
+def _clusters_sql(k: int = 16, dims: int = 64, rounds: int = 3) -> str:
+    """Every round spelled out: distances to all centroids, the smallest (distance, number), floors of the means."""
+    ctes = [f"""v as (select vec_id, list_transform(embedding, lambda x: floor({dims} * x::double)::bigint) as v from embeddings
+  where len(embedding) = {dims} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {dims})""", f"""
+c0 as (select row_number() over (order by h) - 1 as k, v as c from (select v, sha256('1:' || vec_id) as h from v order by h limit {k}))"""]
+    for r in range(rounds + 1):
+        ctes.append(f"""
+a{r} as (select vec_id, v, min(row(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint, k)) as best from v cross join c{r} group by 1, 2),
+b{r} as (select vec_id, v, best[1] as distance, best[2] as k from a{r})""")
+        if r < rounds:
+            ctes.append(f"""
+s{r} as (select k, i, sum(v[i])::hugeint as s, count(*)::hugeint as n from b{r}, range(1, {dims + 1}) t(i) group by 1, 2),
+c{r + 1} as (select c{r}.k, coalesce(m.c, c{r}.c) as c from c{r} left join (select k, list(((s - ((s % n) + n) % n) // n)::bigint order by i) as c from s{r} group by 1) m on m.k = c{r}.k)""")
+    return "with " + ",".join(ctes) + f"""
+select vec_id, b.k::int as cluster, distance, (sum(distance) over (partition by b.k))::bigint as cluster_inertia, (sum(distance) over ())::bigint as inertia,
+  sha256(array_to_string(c, ',')) as centroid_sha256
+from b{rounds} b join c{rounds} c on c.k = b.k
+"""
+
+
+@query("op12_centroids", _clusters_sql())
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(load(spark, sf_dir, "embeddings"))
+
+
+@query("op13_hard_negatives", """
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, list_dot_product(a.v, b.v)::bigint as score
+  from e a join e b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select * from s where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select p.anchor_id, p.id as positive_id, (row_number() over (partition by p.anchor_id, p.id order by s.score desc, s.id))::int as rank, s.id as negative_id,
+  p.score as positive_score, s.score as negative_score
+from p join s on s.anchor_id = p.anchor_id and not s.same and 80 * p.score <= 100 * s.score and 100 * s.score <= 100 * p.score
+qualify rank <= 5
+""")
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(load(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
