@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from careflow.llm.bpe import byte_characters
 from careflow.session import cut_lineage, scratch_path, spread
 
 MAGIC = b"IDBITS01"
@@ -27,10 +31,16 @@ BLOCK = 1 << 16
 #: A file takes no further document once it holds so many ids.
 FILE_IDS = 1 << 26
 TRAILER = struct.Struct("<IIQQQ8s")
-#: Bytes of words and ids that an encoder remembers.
-REMEMBERED = 24 << 20
+#: Bytes of words, pieces and their ids that an encoder remembers.
+REMEMBERED = 96 << 20
+#: Characters of a text whose words are held at a time.
+RUN = 1 << 21
 BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
 TWO_BLANKS = re.compile(r"\s\s")
+#: Non-blank characters up to the end of the Latin letters.
+LATIN = re.compile("[!-~\u00a1-\u024f]+")
+#: The published pieces of byte-level BPE for words of such characters: fixed values.
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[^\\W0-9_\u00b2\u00b3\u00b9\u00bc-\u00be]+| ?[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]+| ?(?:[^\\s\\w]|_)+")
 
 
 def width(vocabulary: int) -> int:
@@ -156,45 +166,101 @@ def open_file(path: str) -> TokenFile:
     return TokenFile(fs.open_input_file(at))
 
 
+def ids_bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+class Memory:
+    """What an encoder remembers: tables that together hold about `REMEMBERED` bytes and forget all when these are used up."""
+
+    def __init__(self):
+        self.tables: list[dict[str, bytes]] = []
+        self.size = 0
+
+    def keep(self, table: dict[str, bytes], key: str, ids: bytes) -> bytes:
+        self.size += len(key) + len(ids) + 200
+        if self.size > REMEMBERED:
+            for t in self.tables:
+                t.clear()
+            self.size = len(key) + len(ids) + 200
+        table[key] = ids
+        return ids
+
+
+class Pieces(dict):
+    """Ids, as bytes of 32-bit integers, of pieces within which byte pairs merge, from the tokenizer's model."""
+
+    def __init__(self, tokenizer: Tokenizer, memory: Memory):
+        super().__init__()
+        self.model, self.memory = tokenizer.model, memory
+        self.shown = {i: c for i, c in enumerate(byte_characters())}
+        memory.tables.append(self)
+
+    def __missing__(self, piece: str) -> bytes:
+        shown = piece.replace(" ", self.shown[32]) if piece.isascii() else piece.encode().decode("latin-1").translate(self.shown)
+        return self.memory.keep(self, piece, ids_bytes([t.id for t in self.model.tokenize(shown)]))
+
+
 class Words(dict):
-    """Ids, as bytes of 32-bit integers, of pieces of text as the tokenizer gives them; forgets all when it holds many bytes."""
+    """Ids of words that stand after `before`. Words without blanks in letters of Latin alphabets are cut into pieces here, all others by the tokenizer."""
 
-    def __init__(self, tokenizer: Tokenizer, before: str):
+    def __init__(self, tokenizer: Tokenizer, before: str, pieces: Pieces, memory: Memory):
         super().__init__()
-        self.tokenizer, self.before, self.left = tokenizer, before, REMEMBERED
+        self.tokenizer, self.before, self.pieces, self.memory = tokenizer, before, pieces, memory
+        self.added = re.compile("|".join(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()) or "(?!)")
+        memory.tables.append(self)
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(self.before + word, add_special_tokens=False).ids, "<u4").tobytes()
-        size = 4 * len(word) + len(ids) + 200
-        if size > REMEMBERED // 64:
-            return ids
-        if size > self.left:
-            self.clear()
-            self.left = REMEMBERED
-        self.left -= size
-        self[word] = ids
-        return ids
+        text = self.before + word
+        if word.isascii() and word.isalpha():  # letters only are one piece
+            ids = self.pieces[text]
+        elif LATIN.fullmatch(word) and not self.added.search(word):
+            ids = b"".join(map(self.pieces.__getitem__, PIECES.findall(text)))
+        else:
+            ids = ids_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return self.memory.keep(self, word, ids)
 
 
 class TextEncoder:
-    """Ids of whole texts through the tokenizers library, each distinct word once.
+    """Ids of whole texts through the tokenizers library, each distinct word and piece once while it is remembered.
 
     A single blank between two non-blanks always starts a piece of byte-level BPE, whatever stands around it, so the ids of a
-    text are those of its words, each with the blank before it, one after the other. Runs of blanks stay inside a piece.
+    text are those of its words, each with the blank before it, one after the other. Runs of blanks stay inside a word.
     """
 
     def __init__(self, path: str):
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        kind = type(tokenizer.pre_tokenizer).__name__
-        if kind != "ByteLevel" or tokenizer.pre_tokenizer.add_prefix_space or tokenizer.normalizer is not None:
-            raise ValueError(f"{path}: only byte-level files without normaliser and added blank are read")
-        self.first, self.later = Words(tokenizer, ""), Words(tokenizer, " ")
+        kinds = type(tokenizer.pre_tokenizer).__name__, type(tokenizer.model).__name__
+        if kinds != ("ByteLevel", "BPE") or tokenizer.pre_tokenizer.add_prefix_space or tokenizer.normalizer is not None:
+            raise ValueError(f"{path}: only byte-level BPE files without normaliser and added blank are read")
+        memory = Memory()
+        pieces = Pieces(tokenizer, memory)
+        self.first, self.later = Words(tokenizer, "", pieces, memory), Words(tokenizer, " ", pieces, memory)
 
     def encode(self, text: str) -> bytes:
-        pieces = BETWEEN_WORDS.split(text) if TWO_BLANKS.search(text) else text.split(" ")
-        return self.first[pieces[0]] + b"".join(map(self.later.__getitem__, pieces[1:]))
+        """About `RUN` characters of words are held at a time."""
+        out, at = [], 0
+        while at <= len(text):
+            stop = BETWEEN_WORDS.search(text, at + RUN) if len(text) - at > RUN else None
+            run = text[at : stop.start()] if stop else text[at:]
+            words = BETWEEN_WORDS.split(run) if TWO_BLANKS.search(run) else run.split(" ")
+            if at == 0:
+                out.append(self.first[words.pop(0)])
+            out.append(b"".join(map(self.later.__getitem__, words)))
+            at += len(run) + 1
+        return b"".join(out)
+
+
+@functools.lru_cache(maxsize=1)
+def worker_encoder(path: str) -> TextEncoder:
+    """The encoder of this Python worker; what it remembers, `REMEMBERED` bytes at most, serves the worker's next tasks."""
+    return TextEncoder(path)
 
 
 def write_ids(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, file_ids: int = FILE_IDS) -> DataFrame:
@@ -221,7 +287,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", t
     end = np.array([end_id], "<u4").tobytes()
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part_id = TextEncoder(path), TaskContext.get().partitionId()
+        encoder, part_id = worker_encoder(path), TaskContext.get().partitionId()
         fs, at = _at_uri(folder)
         fs.create_dir(at, recursive=True)
         number, name, out = 0, None, None

@@ -56,6 +56,14 @@ def test_words_make_the_text(text):
 test_words_make_the_text.made = (Tokenizer.from_file(BYTE_VOCABULARY), TextEncoder(BYTE_VOCABULARY))
 
 
+def test_every_latin_character(library):
+    """Each character up to U+0250 before, after and between letters, digits and signs."""
+    encoder = TextEncoder(BYTE_VOCABULARY)
+    for c in map(chr, range(0x260)):
+        text = f"a{c}a 1{c}1 ,{c}, {c} '{c} x{c}'s_ {c}{c}"
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, hex(ord(c))
+
+
 def test_special_tokens_and_long_texts(library):
     encoder = TextEncoder(BYTE_VOCABULARY)
     rng = random.Random(3)
@@ -64,11 +72,13 @@ def test_special_tokens_and_long_texts(library):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
-def test_words_are_forgotten(library, monkeypatch):
+def test_words_are_forgotten_and_runs_are_cut(library, monkeypatch):
     monkeypatch.setattr(token_files, "REMEMBERED", 20_000)
+    monkeypatch.setattr(token_files, "RUN", 300)
     encoder = TextEncoder(BYTE_VOCABULARY)
-    text = " ".join(f"word{i} and" for i in range(2000))
-    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    texts = [" ".join(f"word{i} and" for i in range(2000)), "", " ", "a  b" * 400, "x" * 1000 + " " + "y" * 400 + "\n z", "one <|endoftext|> two"]
+    for text in texts:
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
     assert 0 < len(encoder.later) < 200
 
 
@@ -130,7 +140,11 @@ def test_token_files_untidy(spark, library, monkeypatch):
 def test_many_files_and_hot_id(spark, library):
     """Files that end after few ids, and one id with most rows, which is not one task's work."""
     docs = spark.range(3000).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text")).repartition(8)
-    manifest = write_ids(docs, BYTE_VOCABULARY, 2, file_ids=500).collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = write_ids(docs, BYTE_VOCABULARY, 2, file_ids=500).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sum(r["n_docs"] for r in manifest) == 3000 and max(r["n_ids"] for r in manifest) < 510
     most = max(sum(r["n_docs"] for r in manifest if r["part"] == p) for p in {r["part"] for r in manifest})
     assert most < 1500  # of 2000 rows with one id
