@@ -31,14 +31,16 @@ BLOCK = 1 << 16
 #: A file takes no further document once it holds so many ids.
 FILE_IDS = 1 << 26
 TRAILER = struct.Struct("<IIQQQ8s")
-#: Bytes of words, pieces and their ids that an encoder remembers.
-REMEMBERED = 96 << 20
+#: Words that an encoder remembers of each kind, and characters of the longest of them.
+REMEMBERED = 500_000
+LONGEST = 64
 #: Characters of a text whose words are held at a time.
 RUN = 1 << 21
 BETWEEN_WORDS = re.compile(r"(?<=\S) (?=\S)")
 TWO_BLANKS = re.compile(r"\s\s")
-#: Non-blank characters up to the end of the Latin letters.
-LATIN = re.compile("[!-~\u00a1-\u024f]+")
+#: Non-blank characters up to the end of the Latin letters, and signs of general punctuation.
+PLAIN = re.compile("[!-~\u00a1-\u024f\u2010-\u2027\u2030-\u205e]+")
+LINES = re.compile(r"\S+(?:\n\S+)+")
 #: The published pieces of byte-level BPE for words of such characters: fixed values.
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[^\\W0-9_\u00b2\u00b3\u00b9\u00bc-\u00be]+| ?[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]+| ?(?:[^\\s\\w]|_)+")
 
@@ -174,59 +176,53 @@ def ids_bytes(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
-class Memory:
-    """What an encoder remembers: tables that together hold about `REMEMBERED` bytes and forget all when these are used up."""
-
-    def __init__(self):
-        self.tables: list[dict[str, bytes]] = []
-        self.size = 0
-
-    def keep(self, table: dict[str, bytes], key: str, ids: bytes) -> bytes:
-        self.size += len(key) + len(ids) + 200
-        if self.size > REMEMBERED:
-            for t in self.tables:
-                t.clear()
-            self.size = len(key) + len(ids) + 200
-        table[key] = ids
-        return ids
-
+class Words(dict):
+    """Ids, as bytes of 32-bit integers, of the words that stand after `before`; forgets all once it holds `REMEMBERED` words.
 
-class Pieces(dict):
-    """Ids, as bytes of 32-bit integers, of pieces within which byte pairs merge, from the tokenizer's model."""
+    Words of plain characters are cut into pieces here and the pieces given to the tokenizer's model, any other word is given to the
+    tokenizer whole. The first piece of a word is remembered here too, the others by `bare`, which has words without a blank before them.
+    """
 
-    def __init__(self, tokenizer: Tokenizer, memory: Memory):
+    def __init__(self, tokenizer: Tokenizer, before: str, bare: Words | None = None):
         super().__init__()
-        self.model, self.memory = tokenizer.model, memory
-        self.shown = {i: c for i, c in enumerate(byte_characters())}
-        memory.tables.append(self)
-
-    def __missing__(self, piece: str) -> bytes:
-        shown = piece.replace(" ", self.shown[32]) if piece.isascii() else piece.encode().decode("latin-1").translate(self.shown)
-        return self.memory.keep(self, piece, ids_bytes([t.id for t in self.model.tokenize(shown)]))
-
+        self.tokenizer, self.before, self.bare = tokenizer, before, self if bare is None else bare
+        self.tokenize = tokenizer.model.tokenize
+        shown = byte_characters()
+        self.line_end = ids_bytes(tokenizer.encode("\n", add_special_tokens=False).ids)
+        self.shown, self.head = dict(enumerate(shown)), before.replace(" ", shown[32])
+        self.added = re.compile("|".join(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()) or "(?!)")
 
-class Words(dict):
-    """Ids of words that stand after `before`. Words without blanks in letters of Latin alphabets are cut into pieces here, all others by the tokenizer."""
+    def _keep(self, word: str, ids: bytes) -> bytes:
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = ids
+        return ids
 
-    def __init__(self, tokenizer: Tokenizer, before: str, pieces: Pieces, memory: Memory):
-        super().__init__()
-        self.tokenizer, self.before, self.pieces, self.memory = tokenizer, before, pieces, memory
-        self.added = re.compile("|".join(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()) or "(?!)")
-        memory.tables.append(self)
+    def piece(self, piece: str) -> bytes:
+        """Ids of a word that is a single piece."""
+        ids = self.get(piece)
+        if ids is None:
+            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.shown)
+            ids = self._keep(piece, ids_bytes([t.id for t in self.tokenize(self.head + shown)]))
+        return ids
 
     def __missing__(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self.piece(word)
+        if "\n" in word and LINES.fullmatch(word):  # a line end between non-blanks is a piece of its own
+            head, *lines = word.split("\n")
+            return self[head] + b"".join([self.line_end + self.bare[x] for x in lines])
         text = self.before + word
-        if word.isascii() and word.isalpha():  # letters only are one piece
-            ids = self.pieces[text]
-        elif LATIN.fullmatch(word) and not self.added.search(word):
-            ids = b"".join(map(self.pieces.__getitem__, PIECES.findall(text)))
-        else:
-            ids = ids_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return self.memory.keep(self, word, ids)
+        if not PLAIN.fullmatch(word) or self.added.search(word):
+            return self._keep(word, ids_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids))
+        first, *rest = PIECES.findall(text)
+        ids = self.piece(first[len(self.before):])
+        return self._keep(word, ids + b"".join(map(self.bare.piece, rest))) if rest else ids
 
 
 class TextEncoder:
-    """Ids of whole texts through the tokenizers library, each distinct word and piece once while it is remembered.
+    """Ids of whole texts through the tokenizers library, each distinct word once while it is remembered.
 
     A single blank between two non-blanks always starts a piece of byte-level BPE, whatever stands around it, so the ids of a
     text are those of its words, each with the blank before it, one after the other. Runs of blanks stay inside a word.
@@ -239,9 +235,8 @@ class TextEncoder:
         kinds = type(tokenizer.pre_tokenizer).__name__, type(tokenizer.model).__name__
         if kinds != ("ByteLevel", "BPE") or tokenizer.pre_tokenizer.add_prefix_space or tokenizer.normalizer is not None:
             raise ValueError(f"{path}: only byte-level BPE files without normaliser and added blank are read")
-        memory = Memory()
-        pieces = Pieces(tokenizer, memory)
-        self.first, self.later = Words(tokenizer, "", pieces, memory), Words(tokenizer, " ", pieces, memory)
+        self.first = Words(tokenizer, "")
+        self.later = Words(tokenizer, " ", self.first)
 
     def encode(self, text: str) -> bytes:
         """About `RUN` characters of words are held at a time."""
@@ -259,7 +254,7 @@ class TextEncoder:
 
 @functools.lru_cache(maxsize=1)
 def worker_encoder(path: str) -> TextEncoder:
-    """The encoder of this Python worker; what it remembers, `REMEMBERED` bytes at most, serves the worker's next tasks."""
+    """The encoder of this Python worker; what it remembers, `REMEMBERED` short words of each kind at most, serves the worker's next tasks."""
     return TextEncoder(path)
 
 
