@@ -21,8 +21,8 @@ LEFT_MASK = (1 << LEFT_BITS) - 1
 NEVER = 1 << 60
 #: Words of up to so many characters are scanned for the smallest rank; longer ones take their ranks from a heap.
 SHORT = 96
-#: Words, and runs of non-blank characters, that an encoder remembers in each of two generations.
-KEPT = 150_000
+#: Words, and half as many runs of non-blank characters, that an encoder remembers in each of two generations.
+KEPT = 80_000
 CONTROLS = re.compile("[\x1c-\x1f]")
 CHUNKS = re.compile("[^\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
@@ -130,7 +130,7 @@ class Remembered(dict):
 
     def __missing__(self, key: str) -> bytes:
         if len(self) >= self.most:
-            self.older = dict(self)
+            self.older = self.copy()
             self.clear()
         value = self.older.get(key)
         if value is None:
@@ -148,7 +148,7 @@ class Encoder:
         self.special = {k: np.array([v], "<i4").tobytes() for k, v in vocabulary["special"].items()}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.bytes = byte_characters()
-        self.words, self.chunks = Remembered(self._word, KEPT), Remembered(self._chunk, KEPT)
+        self.words, self.chunks = Remembered(self._word, KEPT), Remembered(self._chunk, KEPT // 2)
 
     def _word(self, word: str) -> bytes:
         shown = "".join([self.bytes[b] for b in word.encode()]) + self.end
@@ -190,7 +190,7 @@ def _lists(pieces: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(pieces), "<i4")))
 
 
-def _slices(part: pa.RecordBatch, tokens_each: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def _slices(part: pa.RecordBatch, tokens_each: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cut a batch where its texts together reach `tokens_each` characters."""
     at = held = 0
     for i, n in enumerate(part.column(1).cast(pa.large_binary()).to_pylist()):
@@ -223,6 +223,36 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return out.withColumnRenamed("id", id_col)
 
 
+class Decoder:
+    """Texts of token ids: the tokens' own strings joined by one blank, special tokens included; ids outside the vocabulary are left out."""
+
+    def __init__(self, vocabulary: dict):
+        self.by_id = {i: t for t, i in {**vocabulary["ids"], **vocabulary["special"]}.items()}
+
+    def text(self, ids: list[int]) -> str:
+        try:
+            return " ".join(map(self.by_id.__getitem__, ids))
+        except KeyError:
+            return " ".join([self.by_id[i] for i in ids if i in self.by_id])
+
+
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encode every text and decode its ids in the same worker: `id_col`, `ids` and `decoded`, as `encode` and `decode` give them."""
+    shared = share(docs.sparkSession, path)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = worker_encoder(shared, path), Decoder(shared.value)
+        for part in (p for whole in parts for p in _slices(whole)):
+            ids = _lists([encoder.encode(t) if t else b"" for t in part.column(1).to_pylist()])
+            flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
+            texts = [decoder.text(flat[a:b].tolist()) for a, b in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(texts, pa.string())], names=["id", "ids", "decoded"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    out = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, ids array<int>, decoded string")
+    return out.withColumnRenamed("id", id_col)
+
+
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Decode every array of token ids: `id_col`, `ids_col` and `decoded`.
 
@@ -232,14 +262,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     shared = share(encoded.sparkSession, path)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_id = {i: t for t, i in {**shared.value["ids"], **shared.value["special"]}.items()}
-
-        def text(ids: list[int]) -> str:
-            try:
-                return " ".join(map(by_id.__getitem__, ids))
-            except KeyError:
-                return " ".join([by_id[i] for i in ids if i in by_id])
-
+        text = Decoder(shared.value).text
         for part in parts:
             ids, ends = part.column(1), part.column(1).offsets.to_numpy()
             flat, known = ids.values.to_numpy(zero_copy_only=False), ids.is_valid().to_pylist()

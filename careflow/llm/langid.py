@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -83,17 +81,6 @@ class Scorer:
         return self.model.languages[best], float(1 / np.exp(np.minimum(score - score[best], 700)).sum())
 
 
-#: The scorer of this Python worker, by the number of the prediction.
-SCORERS: dict[str, Scorer] = {}
-
-
-def _worker_scorer(shared: Broadcast, number: str) -> Scorer:
-    if number not in SCORERS:
-        SCORERS.clear()
-        SCORERS[number] = Scorer(shared.value)
-    return SCORERS[number]
-
-
 def _quota(counts: dict[str, int], rows: int) -> float:
     """Rows each language may give so that all give about `rows`: those with fewer give all they have."""
     left, level = rows, 0.0
@@ -174,11 +161,11 @@ def annotate(docs: DataFrame, model: Model, text_col: str = "text", lang_name: s
     model has never seen leave the most frequent language. Ties go to the first language in order. Rows are judged one by
     one, so null and repeated ids keep their rows; an empty table gives no rows.
     """
-    shared, number = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _worker_scorer(shared, number)
+        scorer = Scorer(shared.value)  # of this task: nothing stays in the worker for later stages
         for part in parts:
             found = [scorer.predict(t) for t in part.column(at).cast(pa.string()).to_pylist()]
             more = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]

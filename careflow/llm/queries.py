@@ -50,8 +50,7 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_bpe")
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(load(spark, sf_dir, "documents"), VOCABULARY)
-    return bpe.decode(encoded, VOCABULARY).select(
+    return bpe.round_trip(load(spark, sf_dir, "documents"), VOCABULARY).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
