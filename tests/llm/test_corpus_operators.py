@@ -348,3 +348,15 @@ def test_pipeline_of_an_empty_and_an_untidy_table(spark):
     for table in (docs, docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, table, SF).count() <= 4
+
+
+def test_stages_take_clashing_columns_and_no_n_chars(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").drop("n_chars").withColumns({c: F.lit(1) for c in ("lang_told", "score_told", "n_words", "n_removed", "kept_text", "kept", "component_id")})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns and kept.count() > 50
+
+
+def test_run_predicts_each_language_once(spark):
+    plan = corpus_pipeline.run(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan
