@@ -18,17 +18,19 @@ from careflow.session import hot_rows as default_hot_rows
 def hold(
     df: DataFrame, key: str | Sequence[str], time: str, hours: Mapping[str, float], tie: Sequence[str] = (),
     into: Mapping[str, str] | None = None, source: str | None = None, hot: int | None = None,
-    hot_rows: int | None = None,
+    hot_rows: int | None = None, origin: Column | None = None,
 ) -> DataFrame:
     """Fill nulls with the last measured value of the same key while it is fresh enough.
 
     A value stays valid for `hours[column]` from when it was measured, fills do not
     extend it. All columns share one sort. `into` writes to other column names,
-    `source` also keeps `<column><source>`, the time a filled value was measured.
+    `source` also keeps `<column><source>`, the time a filled value was measured or, if
+    given, the `origin` of the row it was measured in.
     """
+    origin = F.col(time) if origin is None else origin
     keys = [key] if isinstance(key, str) else list(key)
     steps = {
-        f"__h{i}": last_known(F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col(time).alias("t"))))
+        f"__h{i}": last_known(F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col(time).alias("t"), *([origin.alias("o")] if source else []))))
         for i, c in enumerate(hours)
     }
     out = scan(df, keys, [time, *tie], steps, hot_rows, hot)
@@ -38,18 +40,19 @@ def hold(
         fresh = F.col(time) - last["t"] <= int(h * 3600)
         cols[(into or {}).get(c, c)] = F.coalesce(F.col(c), F.when(fresh, last["v"]))
         if source:
-            cols[f"{c}{source}"] = F.when(F.col(c).isNull() & fresh, last["t"])
+            cols[f"{c}{source}"] = F.when(F.col(c).isNull() & fresh, last["o"])
     return out.withColumns(cols).drop(*steps)
 
 
 def interpolate(
     df: DataFrame, order: Sequence[str], columns: Sequence[str], by: Sequence[str] = (), suffix: str = "",
-    hot_rows: int | None = None,
+    hot_rows: int | None = None, source: str | None = None, origin: Column | None = None,
 ) -> DataFrame:
     """Linear interpolation of inner gaps over row positions, no extrapolation.
 
     `by=[]` runs over the one global row order, across entities. `order` must be a
-    total order with a numeric leading column.
+    total order with a numeric leading column. `source` also keeps `<column><source>`, the
+    `origin` of the two rows a filled value lies between.
     """
     keys = list(by)
     hot = find_hot(df, keys, order[0], hot_rows or default_hot_rows(df.sparkSession))
@@ -59,7 +62,7 @@ def interpolate(
         pos = number_rows(df, order, "__pos", hot_rows, hot)
     steps = {}
     for i, c in enumerate(columns):
-        point = F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col("__pos").alias("p")))
+        point = F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col("__pos").alias("p"), *([origin.alias("o")] if source else [])))
         steps[f"__a{i}"], steps[f"__b{i}"] = known_before(point), known_after(point)
     both = scan(pos, keys, ["__pos"], steps, hot_rows, same_rows(hot))
     cols = {}
@@ -67,6 +70,8 @@ def interpolate(
         a, b = F.col(f"__a{i}"), F.col(f"__b{i}")
         inner = a["v"] + (b["v"] - a["v"]) * (F.col("__pos") - a["p"]) / (b["p"] - a["p"])
         cols[f"{c}{suffix}"] = F.coalesce(F.col(c), inner)
+        if source:
+            cols[f"{c}{source}"] = F.when(F.col(c).isNull() & inner.isNotNull(), F.array(a["o"], b["o"]))
     return both.withColumns(cols).drop("__pos", *steps)
 
 
@@ -88,18 +93,18 @@ def row_blocks(df: DataFrame, order: Sequence[str], size: int, name: str = "bloc
     return out.withColumn(name, F.floor((F.col("row") - 1) / size).cast("long"))
 
 
-def nearest_in_block(x: np.ndarray, most_null: float = 1.0, slab: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Nearest-row fill of one block: filled values and the row each came from (-1: none).
+def nearest_in_block(x: np.ndarray, most_null: float = 1.0, slab: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nearest-row fill of one block: filled values, the row each came from (-1: none) and its distance.
 
     The distance of two rows is the mean squared difference over shared columns.
     A row that lacks a column never shares it, so one distance serves all columns.
     """
     missing = np.isnan(x)
-    out, origin = x.copy(), np.full(x.shape, -1, dtype=np.int64)
+    out, origin, far = x.copy(), np.full(x.shape, -1, dtype=np.int64), np.full(x.shape, np.nan)
     rate = missing.mean(axis=0)
     targets = [c for c in range(x.shape[1]) if 0 < rate[c] < 1 and rate[c] <= most_null]
     if not targets:
-        return out, origin
+        return out, origin, far
     rows = np.flatnonzero(missing[:, targets].any(axis=1))
     used = np.flatnonzero(rate < 1)
     for at in range(0, len(rows), slab):
@@ -123,34 +128,44 @@ def nearest_in_block(x: np.ndarray, most_null: float = 1.0, slab: int = 512) ->
                 pick = donors[dist[np.ix_(need, donors)].argmin(axis=1)]
                 out[part[need], c] = x[pick, c]
                 origin[part[need], c] = pick
-    return out, origin
+                far[part[need], c] = dist[need, pick]
+    return out, origin, far
 
 
 def fill_from_nearest(
     df: DataFrame, order: Sequence[str], columns: Sequence[str], block: int = 10_000, most_null: float = 0.9,
-    keep_source: bool = False, hot_rows: int | None = None,
+    keep_source: bool = False, hot_rows: int | None = None, source: str | None = None, origin: str | None = None,
 ) -> DataFrame:
     """1-nearest-neighbour fill inside blocks of consecutive rows.
 
     Blocks are a partition key of bounded size, so a task holds at most `block` rows
     and row pairs only ever exist inside it. With `keep_source` the row number each
-    filled value came from is added as `<column>_row`.
+    filled value came from is added as `<column>_row`. `source` keeps `<column><source>` of
+    filled cells: the column `origin` of the row the value came from, and its `distance`
+    (infinite for a row that shares no column).
     """
     cols, keys = list(columns), list(dict.fromkeys([*order]))
     numbered = row_blocks(df, order, block, "__block", hot_rows)
     schema = numbered.drop("__block").withColumns({c: F.col(c).cast("double") for c in cols})
+    if source:
+        kind = f"struct<origin:{df.schema[origin].dataType.simpleString()},distance:double>"
+        schema = schema.withColumns({f"{c}{source}": F.lit(None).cast(kind) for c in cols})
     if keep_source:
         schema = schema.withColumns({f"{c}_row": F.lit(None).cast("long") for c in cols})
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row", kind="stable").reset_index(drop=True)
-        values, origin = nearest_in_block(pdf[cols].to_numpy(dtype="float64"), most_null)
+        values, place, far = nearest_in_block(pdf[cols].to_numpy(dtype="float64"), most_null)
         pdf[cols] = values
+        if source:
+            names = pdf[origin].tolist()
+            for j, c in enumerate(cols):
+                pdf[f"{c}{source}"] = [{"origin": names[p], "distance": d} if p >= 0 else None for p, d in zip(place[:, j].tolist(), far[:, j].tolist())]
         if keep_source:
             number = pdf["row"].to_numpy()
             for j, c in enumerate(cols):
-                pdf[f"{c}_row"] = pd.array(np.where(origin[:, j] < 0, 0, number[origin[:, j]]), dtype="Int64")
-                pdf.loc[origin[:, j] < 0, f"{c}_row"] = pd.NA
+                pdf[f"{c}_row"] = pd.array(np.where(place[:, j] < 0, 0, number[place[:, j]]), dtype="Int64")
+                pdf.loc[place[:, j] < 0, f"{c}_row"] = pd.NA
         return pdf.drop(columns="__block")
 
     return numbered.groupBy("__block").applyInPandas(fill, schema.schema)

@@ -6,7 +6,7 @@ reference cell where there is one. `seq` orders the records in time.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +25,24 @@ def with_references(log: DataFrame) -> DataFrame:
     })
 
 
+def cell_log(
+    df: DataFrame, row: Column, references: Mapping[str, Column], change_type: str, metadata: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """One record per changed cell and row it was made from, for all columns in one pass over `df`.
+
+    `row` names a row, by its own key rather than its position; `references` holds for each column the rows that a
+    changed cell was made from, as an array that is null where the cell did not change. `metadata` is a text per column.
+    """
+    none = F.lit(None).cast("string")
+    cells = F.array(*[
+        F.when(made_from.isNotNull(), F.struct(F.lit(c).alias("value_col"), made_from.alias("rows"), (metadata or {}).get(c, none).alias("metadata")))
+        for c, made_from in references.items()
+    ])
+    changed = df.select(row.alias("value_row"), F.explode(F.array_compact(cells)).alias("c"))
+    return changed.select(
+        "value_row", "c.value_col", F.lit(change_type).alias("change_type"), "c.metadata", F.explode("c.rows").alias("reference_row"), F.col("c.value_col").alias("reference_col"))
+
+
 def matching(log: DataFrame, rows: DataFrame | None = None, cols: Sequence[str] | None = None) -> DataFrame:
     """Records of the queried cells: given rows, given columns, or both."""
     out = log

@@ -16,9 +16,9 @@ def prepare_raw(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """Recode items, join the culture sources, resolve stays and drop unusable rows."""
     spark = raw["demog"].sparkSession
     out = dict(raw)
-    out["ce"] = states.recode_items(raw["ce"], states.item_groups(spark, C.VITAL_ITEMS))
+    out["ce"] = states.recode_items(raw["ce"], states.item_groups(spark, C.VITAL_ITEMS), small=True)
     labs = raw["labs_ce"].unionByName(raw["labs_le"])
-    out["labs"] = states.recode_items(labs, states.item_groups(spark, C.LAB_ITEMS))
+    out["labs"] = states.recode_items(labs, states.item_groups(spark, C.LAB_ITEMS), small=True)
     out["demog"] = raw["demog"].fillna(0, ["morta_90", "morta_hosp", "elixhauser"])
     out["bacterio"] = states.culture_table(raw["microbio"], raw["culture"], raw["demog"])
     abx = raw["abx"].filter(F.col("startdate").isNotNull())

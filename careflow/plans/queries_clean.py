@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from careflow.functions import scalar
-from careflow.operators import cleaning, impute, joins, report, scan, scores, states
+from careflow.operators import cleaning, impute, joins, lineage, report, scan, scores, states
 from careflow.plans.registry import query
 from careflow.plans.standins import (
     GAPPY, INTERVALS, MEASUREMENTS, STAYS, WIDE, gappy, intervals, large_stays, measurements, stays, wide_states,
@@ -215,6 +215,17 @@ def interp_by_stay(spark, sf):
     return impute.interpolate(gappy(spark, sf), ["id"], ["v"], by=["stay"]).select("id", "stay", F.round("v", 6).alias("v"))
 
 
+@query("interp_log", "LN1 IMP9 WN3", f"""WITH {GAPPY}, n AS (SELECT id, stay, v, last_value(CASE WHEN v IS NOT NULL THEN id END IGNORE NULLS) OVER (PARTITION BY stay ORDER BY id) AS a,
+  first_value(CASE WHEN v IS NOT NULL THEN id END IGNORE NULLS) OVER (PARTITION BY stay ORDER BY id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM gap)
+SELECT stay || ':' || id AS value_row, 'v' AS value_col, 'linear interpolation' AS change_type, NULL::VARCHAR AS metadata, stay || ':' || unnest([a, b]) AS reference_row, 'v' AS reference_col
+FROM n WHERE v IS NULL AND a IS NOT NULL AND b IS NOT NULL""")
+def interp_log(spark, sf):
+    """A record for each end of the gap that a value was interpolated in."""
+    row = F.concat_ws(":", "stay", "id")
+    out = impute.interpolate(gappy(spark, sf), ["id"], ["v"], by=["stay"], suffix="__new", source="__from", origin=row)
+    return lineage.cell_log(out, row, {"v": F.col("v__from")}, "linear interpolation")
+
+
 @query("interp_global", "IMP9 WN3 WN11", f"WITH {GAPPY}, {_interp_sql('')}")
 def interp_global(spark, sf):
     return impute.interpolate(gappy(spark, sf), ["id"], ["v"]).select("id", "stay", F.round("v", 6).alias("v"))
@@ -257,6 +268,26 @@ def knn_block(spark, sf):
     return impute.fill_from_nearest(e, ["vec_id"], _KNN_COLS, _KNN_BLOCK).drop("row")
 
 
+_KNN_LOG_SQL = _KNN_SQL[: _KNN_SQL.index("f0 AS (")] + ",\n".join(
+    f"f{i} AS (SELECT a, min(struct_pack(d := dist, z := z)) AS m FROM dd JOIN b q ON q.row = z WHERE q.x{i} IS NOT NULL GROUP BY a)" for i in range(_KNN_DIMS)
+) + ",\nr AS (" + " UNION ALL ".join(f"SELECT b.row, 'x{i}' AS c, m FROM b JOIN f{i} ON f{i}.a = b.row WHERE b.x{i} IS NULL" for i in range(_KNN_DIMS)) + """)
+SELECT 'v' || t.vec_id AS value_row, c AS value_col, 'nearest row' AS change_type, CASE WHEN m.d < 1e300 THEN 'shares columns' ELSE 'shares none' END AS metadata, 'v' || s.vec_id AS reference_row, c AS reference_col
+FROM r JOIN b t ON t.row = r.row JOIN b s ON s.row = m.z"""
+
+
+@query("knn_log", "LN1 IMP8", _KNN_LOG_SQL)
+def knn_log(spark, sf):
+    """A record for every cell filled from the nearest row, keyed by the rows' own names."""
+    e = load(spark, sf, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("name"), "vec_id", *[
+        F.when((F.col("vec_id") * 7 + i * 3) % 5 != 0, F.round(F.get("embedding", F.lit(i)).cast("double"), 6)).alias(f"x{i}")
+        for i in range(_KNN_DIMS)
+    ])
+    out = impute.fill_from_nearest(e, ["vec_id"], _KNN_COLS, _KNN_BLOCK, source="__from", origin="name")
+    made_from = {c: F.when(F.col(f"{c}__from").isNotNull(), F.array(F.col(f"{c}__from")["origin"])) for c in _KNN_COLS}
+    near = {c: F.when(F.col(f"{c}__from")["distance"] < float("inf"), "shares columns").otherwise("shares none") for c in _KNN_COLS}
+    return lineage.cell_log(out, F.col("name"), made_from, "nearest row", near)
+
+
 @query("feature_corrections", "IMP10 FLT3 AG11", """
 WITH m AS (SELECT quantile_cont(CASE WHEN l_linenumber <> 3 THEN l_partkey % 9 END, 0.5) AS md FROM lineitem)
 SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, CAST(l_suppkey % 2 + 1 - 1 AS BIGINT) AS gender,

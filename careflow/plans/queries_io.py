@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from careflow import constants as C
-from careflow.operators import bins, impute, joins, mdp, series, states
+from careflow.operators import bins, impute, joins, lineage, mdp, series, states
 from careflow.plans.queries_clean import rounded
 from careflow.plans.queries_model import counts
 from careflow.plans.registry import query
@@ -157,6 +157,22 @@ def held_patient_states(spark, sf):
     return _held_states(spark, sf)
 
 
+def _hold_log_sql(c: str, hours: int) -> str:
+    at = f'last_value(CASE WHEN "{c}" IS NOT NULL THEN timestep END IGNORE NULLS) OVER w'
+    return f'CASE WHEN "{c}" IS NULL AND timestep - {at} <= {hours * 3600} THEN {at} END AS "{c}"'
+
+
+@query("hold_log", "LN1 IMP6", f"""WITH h AS (SELECT icustayid, timestep, {", ".join(_hold_log_sql(c, h) for c, h in C.HOLD_HOURS.items())} FROM ({_STATES_SQL})
+WINDOW w AS (PARTITION BY icustayid ORDER BY timestep ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+u AS (UNPIVOT h ON {", ".join(f'"{c}"' for c in C.HOLD_HOURS)} INTO NAME value_col VALUE made)
+SELECT icustayid || ':' || timestep AS value_row, value_col, 'sample and hold' AS change_type, NULL::VARCHAR AS metadata, icustayid || ':' || made AS reference_row, value_col AS reference_col FROM u""")
+def hold_log(spark, sf):
+    """A record for every cell of the 65 columns that was held, with the row it was measured in."""
+    row = F.concat_ws(":", "icustayid", "timestep")
+    kept = impute.hold(patient_states(spark, sf).drop("bloc"), "icustayid", "timestep", C.HOLD_HOURS, source="__from", origin=row)
+    return lineage.cell_log(kept, row, {c: F.when(F.col(f"{c}__from").isNotNull(), F.array(f"{c}__from")) for c in C.HOLD_HOURS}, "sample and hold")
+
+
 @query("binned_patient_states", "AG3 BLD5", f"""WITH hd AS ({_WIDE_HELD}), beg AS (SELECT icustayid, min(timestep) AS b FROM hd GROUP BY 1)
 SELECT icustayid, CAST(j.i AS BIGINT) AS bin, {", ".join(f'round(avg("{c}"), 6) AS "{c}"' for c in C.STATE_COLUMNS)} FROM hd JOIN beg USING (icustayid), range(0, 20) j(i)
 WHERE timestep >= b + j.i * 14400 AND timestep <= b + (j.i + 1) * 14400 GROUP BY 1, 2""")

@@ -339,11 +339,12 @@ def comorbidity_rules(spark, codes: Mapping[str, Sequence[tuple[int, int, Sequen
 
 def coded_flags(
     entities: DataFrame, codes: DataFrame, rules: DataFrame, key: str, flags: Sequence[str],
-    code: str = "code", version: str = "version",
+    code: str = "code", version: str = "version", small: bool = False,
 ) -> DataFrame:
     """0/1 flags per entity from coded rows and a prefix rule table; entities without codes get 0.
 
     Each code is looked up once per prefix length by equality, and rows that set no flag are gone before the shuffle.
+    `small` says that the rule table is one of fixed size, as that of `comorbidity_rules` is, and may be broadcast.
     """
     lengths = [0, 3, 4]
     probes = F.explode(F.array(*[
@@ -355,7 +356,7 @@ def coded_flags(
     probed = codes.select(F.col(key), F.col(version).cast("int").alias("version"), probes.alias("p")).select(
         key, "version", "p.len", "p.prefix",
     )
-    hits = probed.join(rules, ["version", "len", "prefix"]).select(key, "flag")
+    hits = probed.join(F.broadcast(rules) if small else rules, ["version", "len", "prefix"]).select(key, "flag")
     per = hits.groupBy(key).agg(
         *[F.max(F.when(F.col("flag") == f, 1).otherwise(0)).alias(f) for f in flags]
     )
@@ -368,7 +369,7 @@ def comorbidities(admissions: DataFrame, diagnoses: DataFrame, key: str = "hadm_
     """The 30 comorbidity flags per admission."""
     raw = coded_flags(
         admissions, diagnoses, comorbidity_rules(admissions.sparkSession), key, list(C.COMORBIDITY_CODES),
-        code="icd_code", version="icd_version",
+        code="icd_code", version="icd_version", small=True,
     )
 
     def merged(name: str) -> Column:
