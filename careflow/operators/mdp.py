@@ -129,7 +129,8 @@ def evaluate_policy(
     With `sweeps` that many sweeps are run in one plan. Else the step matrix `gamma P`,
     with R as one more column, is squared by a sparse self-join: k squarings stand for
     2^k sweeps. It stops when what is left of the matrix cannot move a value by more
-    than `tolerance`; absorbing states have no outgoing rows, so it shrinks quickly.
+    than `tolerance`; absorbing states have no outgoing rows, so it shrinks quickly. If it
+    does not within `max_doublings`, that is an error.
     """
     rows = policy.select(*SA)
     r = rows.join(rewards, SA, "left").select("state", F.coalesce("r", F.lit(0.0)).alias("r"))
@@ -160,6 +161,8 @@ def evaluate_policy(
         ).filter(F.col("state") != END).agg(F.max("m"), F.max("v")).first()
         if (left_over[0] or 0.0) * max(left_over[1] or 0.0, 1.0) <= tolerance:
             break
+    else:
+        raise RuntimeError(f"values may still move by more than {tolerance} after {max_doublings} doublings")
     return r.select("state").join(matrix.filter(F.col("to") == END).select("state", F.col("x").alias("v")), "state")
 
 
