@@ -7,40 +7,31 @@ is what bounds the broadcasts below.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from careflow.functions.scalar import hash_below, softmax_of
+from careflow.operators import clusters
 from careflow.operators.scan import following, scan
 from careflow.session import cut_lineage
 
 SA = ["state", "action"]
-END = -1
 
 
 def fit_state_clusters(
     df: DataFrame, features: Sequence[str], k: int = 750, share: float = 0.25, starts: int = 32, max_iter: int = 30,
     seed: int = 0, row_key: Sequence[str] | None = None,
-) -> KMeansModel:
+) -> clusters.Clusters:
     """Best of several k-means runs on a share of the rows."""
-    part = df.filter(hash_below(share, *[F.col(c) for c in row_key], str(seed))) if row_key else df.sample(share, seed)
-    data = VectorAssembler(inputCols=list(features), outputCol="features").transform(part).select("features").persist()
-    best = None
-    for s in range(starts):
-        model = KMeans(k=k, maxIter=max_iter, seed=seed + s, featuresCol="features", predictionCol="state").fit(data)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    data.unpersist()
-    return best
+    return clusters.fit(df, features, k, share, starts, max_iter, seed, row_key)
 
 
-def assign_states(df: DataFrame, model: KMeansModel, features: Sequence[str]) -> DataFrame:
-    vec = VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
-    return model.transform(vec).drop("features")
+def assign_states(df: DataFrame, model: clusters.Clusters, features: Sequence[str]) -> DataFrame:
+    return clusters.assign(df, model, features)
 
 
 def complete_records(
@@ -120,17 +111,33 @@ def best_actions(q: DataFrame) -> DataFrame:
     return q.groupBy("state").agg(best.alias("b")).select("state", (-F.col("b.a")).alias("action"), F.col("b.q").alias("v"))
 
 
+def _settle(step: Callable[[np.ndarray], np.ndarray], v: np.ndarray, least: float, most: int, memory: int = 20) -> np.ndarray:
+    """Repeat `step` until it moves no value by more than `least`, mixing the last steps (Anderson acceleration)."""
+    after, moves = [], []
+    for _ in range(most):
+        t = step(v)
+        move = t - v
+        if not len(v) or np.abs(move).max() <= least:
+            return t
+        after, moves = [*after[-memory:], t], [*moves[-memory:], move]
+        v = t
+        if len(moves) > 1:
+            d = np.diff(np.array(moves), axis=0).T
+            v = t - np.diff(np.array(after), axis=0).T @ np.linalg.lstsq(d, move, rcond=None)[0]
+    raise RuntimeError(f"a value still moves by {np.abs(move).max():.3g} after {most} sweeps, {least:.3g} is wanted")
+
+
 def evaluate_policy(
     model: DataFrame, rewards: DataFrame, policy: DataFrame, gamma: float, sweeps: int | None = None,
-    tolerance: float = 1e-9, max_doublings: int = 24,
+    tolerance: float = 1e-9, max_sweeps: int = 1000, values: DataFrame | None = None,
 ) -> DataFrame:
     """V of a deterministic policy, the fixed point of `V = R + gamma P V` over sparse tables.
 
-    With `sweeps` that many sweeps are run in one plan. Else the step matrix `gamma P`,
-    with R as one more column, is squared by a sparse self-join: k squarings stand for
-    2^k sweeps. It stops when what is left of the matrix cannot move a value by more
-    than `tolerance`; absorbing states have no outgoing rows, so it shrinks quickly. If it
-    does not within `max_doublings`, that is an error.
+    With `sweeps` that many sweeps from 0 are run in one plan. Else sweeps go on from `values`
+    (state, v; 0 where missing), each one join of the policy's transitions with the values;
+    between them one value per state is on the driver. A sweep that moves no value by more than d
+    ends within `gamma / (1 - gamma) * d` of the fixed point; it stops when that is at most
+    `tolerance`, and not reaching it in `max_sweeps` is an error. `gamma` must be below 1 here.
     """
     rows = policy.select(*SA)
     r = rows.join(rewards, SA, "left").select("state", F.coalesce("r", F.lit(0.0)).alias("r"))
@@ -142,28 +149,26 @@ def evaluate_policy(
             f = ahead.groupBy("state").agg(F.sum(F.col("p") * F.col("v")).alias("f"))
             v = r.join(f, "state", "left").select("state", (F.col("r") + gamma * F.coalesce("f", F.lit(0.0))).alias("v"))
         return v
-    end = F.lit(END).cast("int")
-    matrix = (
-        p.select("state", F.col("next_state").cast("int").alias("to"), (F.lit(gamma) * F.col("p")).alias("x"))
-        .unionByName(r.select("state", end.alias("to"), F.col("r").alias("x")))
-        .unionByName(model.sparkSession.range(1).select(end.alias("state"), end.alias("to"), F.lit(1.0).alias("x")))
-    )
-    matrix = cut_lineage(matrix)
-    for _ in range(max_doublings):
-        left = matrix.withColumnRenamed("to", "mid")
-        right = matrix.select(F.col("state").alias("mid"), "to", F.col("x").alias("y"))
-        matrix = cut_lineage(
-            left.join(right, "mid").groupBy("state", "to").agg(F.sum(F.col("x") * F.col("y")).alias("x"))
-        )
-        inner = F.col("to") != END
-        left_over = matrix.groupBy("state").agg(
-            F.sum(F.when(inner, F.col("x")).otherwise(0.0)).alias("m"), F.max(F.when(~inner, F.abs("x"))).alias("v"),
-        ).filter(F.col("state") != END).agg(F.max("m"), F.max("v")).first()
-        if (left_over[0] or 0.0) * max(left_over[1] or 0.0, 1.0) <= tolerance:
-            break
-    else:
-        raise RuntimeError(f"values may still move by more than {tolerance} after {max_doublings} doublings")
-    return r.select("state").join(matrix.filter(F.col("to") == END).select("state", F.col("x").alias("v")), "state")
+    if not 0 <= gamma < 1:
+        raise ValueError(f"gamma {gamma} has no bounded fixed point; ask for a number of sweeps")
+    spark = model.sparkSession
+    p = cut_lineage(p.withColumn("next_state", F.col("next_state").cast("int")))
+    gain = r.toPandas().set_index("state")["r"].sort_index()
+    states = gain.index.to_numpy(dtype=np.int32)
+
+    def frame(v: np.ndarray, state: str) -> DataFrame:
+        return spark.createDataFrame(pd.DataFrame({state: states, "v": v}), f"{state} int, v double")
+
+    def sweep(v: np.ndarray) -> np.ndarray:
+        ahead = p.join(F.broadcast(frame(v, "next_state")), "next_state").groupBy("state")
+        f = ahead.agg(F.sum(F.col("p") * F.col("v")).alias("f")).toPandas().set_index("state")["f"]
+        return gain.to_numpy() + gamma * f.reindex(states, fill_value=0.0).to_numpy()
+
+    first = np.zeros(len(states))
+    if values is not None:
+        first = values.toPandas().set_index("state")["v"].reindex(states, fill_value=0.0).to_numpy()
+    least = tolerance * (1 - gamma) / gamma if gamma else float("inf")
+    return frame(_settle(sweep, first, least, max_sweeps), "state")
 
 
 def policy_iteration(
@@ -172,17 +177,17 @@ def policy_iteration(
 ) -> tuple[DataFrame, DataFrame, int]:
     """Policy iteration. Returns the policy, Q on the whole grid and the rounds taken.
 
-    Stops when the policy no longer changes, changes little after `patient_rounds`, or
+    Each policy is evaluated from the values of the one before. Stops when the policy no longer changes, changes little after `patient_rounds`, or
     after `max_rounds`.
     """
     spark = model.sparkSession
     model, rewards = cut_lineage(model), cut_lineage(rewards)
     states = spark.range(n_states).select(F.col("id").cast("int").alias("state"))
     policy = states.withColumn("action", F.lit(start_action))
-    rounds = 0
+    rounds, v = 0, None
     while True:
         rounds += 1
-        v = evaluate_policy(model, rewards, policy, gamma, tolerance=tolerance)
+        v = evaluate_policy(model, rewards, policy, gamma, tolerance=tolerance, values=v)
         q = cut_lineage(full_q(backup(model, rewards, v, gamma), n_states, n_actions))
         better = best_actions(q).select(*SA)
         changed = better.join(policy.withColumnRenamed("action", "old"), "state").filter("action <> old").count()

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from careflow.functions import scalar
-from careflow.operators import bins, dataset, mdp, ope, report, scan
+from careflow.functions.scalar import hash_order
+from careflow.operators import bins, clusters, dataset, mdp, ope, report, scan
 from careflow.plans.queries_clean import rounded
 from careflow.plans.registry import query
 from careflow.plans.standins import (
@@ -220,6 +223,24 @@ def policy_iteration(spark, sf):
     return q.join(policy.withColumnRenamed("action", "policy_action"), "state")
 
 
+_BEST_SQL = COUNTS + f""", step AS (SELECT g.state, g.action, coalesce(r, 0) AS r, coalesce(next_state, g.state) AS next_state, coalesce(p, 0) AS p FROM grid g
+  LEFT JOIN rew ON rew.state = g.state AND rew.action = g.action LEFT JOIN mod ON mod.state = g.state AND mod.action = g.action),
+val(k, state, v) AS (SELECT 0, state, 0.0::DOUBLE FROM (SELECT DISTINCT state FROM grid) UNION ALL
+  SELECT k + 1, state, max(q) FROM (SELECT val.k, step.state, step.action, any_value(r) + {GAMMA}::DOUBLE * sum(p * val.v) AS q FROM step JOIN val ON val.state = step.next_state WHERE val.k < 300 GROUP BY 1, 2, 3) GROUP BY k, state),
+opt AS (SELECT step.state, step.action, round(any_value(r) + {GAMMA}::DOUBLE * sum(p * val.v), 6) AS q FROM step JOIN val ON val.state = step.next_state AND val.k = 300 GROUP BY 1, 2)"""
+
+
+@query("optimal_policy", "MD6 MD7 MD8", f"""WITH RECURSIVE {_BEST_SQL} SELECT CAST(opt.state AS INT) AS state, CAST(opt.action AS INT) AS action, round(q, 4) AS q, CAST(best AS INT) AS best_action
+FROM opt JOIN (SELECT state, arg_max(action, struct_pack(q := q, a := -action)) AS best FROM opt GROUP BY 1) USING (state)""")
+def optimal_policy(spark, sf):
+    """Policy iteration to its end; the check repeats the best backup 300 times instead."""
+    p = mdp.transition_model(model_counts(spark, sf))
+    _, q, _ = mdp.policy_iteration(p, mdp.expected_reward(p, N_STATES), N_STATES + 2, N_ACTIONS, GAMMA, tolerance=1e-9)
+    q = rounded(q, ["q"])
+    best = mdp.best_actions(q).select("state", F.col("action").alias("best_action"))
+    return rounded(q.join(best, "state"), ["q"], 4)
+
+
 _SOFT_SQL = _Q_SQL + """, fc AS (SELECT g.state, g.action, coalesce(clin.p, 0) AS p FROM grid g LEFT JOIN clin ON clin.state = g.state AND clin.action = g.action WHERE g.state < 10),
 fz AS (SELECT *, sum((p = 0)::INT) OVER (PARTITION BY state) AS z, sum(p) OVER (PARTITION BY state) AS mass FROM fc),
 sc AS (SELECT state, action, CASE WHEN p = 0 THEN 0.01::DOUBLE / z ELSE p * (1 - 0.01::DOUBLE / mass) END AS p FROM fz),
@@ -268,10 +289,72 @@ def policy_agreement(spark, sf):
 def kmeans_states(spark, sf):
     cols = [f"x{i}" for i in range(64)]
     e = load(spark, sf, "embeddings").select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(cols)])
-    model = mdp.fit_state_clusters(e, cols, k=10, share=0.5, starts=3, max_iter=20, row_key=["vec_id"])
+    model = mdp.fit_state_clusters(e, cols, k=10, row_key=["vec_id"])
     return mdp.assign_states(e, model, cols).select("vec_id", "state")
 
 
+_LINE_FEATURES = ["quantity", "price", "discount", "tax"]
+
+
+def _lines(spark, sf):
+    return load(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", (F.col("l_quantity").cast("double") / 50).alias("quantity"),
+        (F.col("l_extendedprice").cast("double") / 100000).alias("price"), (F.col("l_discount").cast("double") * 10).alias("discount"),
+        (F.col("l_tax").cast("double") * 10).alias("tax"),
+    )
+
+
+@query("state_clusters", "MD1 MD2")
+def state_clusters(spark, sf):
+    """750 centres, 32 starts, 30 rounds on a quarter of the rows; every row gets its state."""
+    rows = _lines(spark, sf)
+    model = mdp.fit_state_clusters(rows, _LINE_FEATURES, row_key=["l_orderkey", "l_linenumber"])
+    return clusters.assign(rows, model, _LINE_FEATURES, distance="distance").select("l_orderkey", "l_linenumber", "state", "distance")
+
+
+_ROUNDS, _STARTS, _CENTRES = 3, 4, 25
+
+
+def _lloyd(i: int) -> str:
+    """Nearest centre of every row and start, then the centres of the next round."""
+    far = " + ".join(f"(l.{c} - c.{c}) * (l.{c} - c.{c})" for c in _LINE_FEATURES)
+    means = ", ".join(f"coalesce(n.{c}, c.{c}) AS {c}" for c in _LINE_FEATURES)
+    return f"""a{i} AS MATERIALIZED (SELECT start, id, any_value(l_orderkey) AS l_orderkey, any_value(l_linenumber) AS l_linenumber, any_value(l.quantity) AS quantity, any_value(l.price) AS price, any_value(l.discount) AS discount, any_value(l.tax) AS tax,
+  arg_min(centre, {far}) AS centre, min({far}) AS far FROM ln l, c{i} c GROUP BY 1, 2),
+c{i + 1} AS MATERIALIZED (SELECT c.start, c.centre, {means} FROM c{i} c LEFT JOIN (SELECT start, centre, {', '.join(f'avg({c}) AS {c}' for c in _LINE_FEATURES)} FROM a{i} GROUP BY 1, 2) n ON n.start = c.start AND n.centre = c.centre)"""
+
+
+_CLUSTER_SQL = f"""WITH ln AS MATERIALIZED (SELECT row_number() OVER () AS id, l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) / 50 AS quantity, CAST(l_extendedprice AS DOUBLE) / 100000 AS price, CAST(l_discount AS DOUBLE) * 10 AS discount, CAST(l_tax AS DOUBLE) * 10 AS tax FROM lineitem),
+c0 AS MATERIALIZED (SELECT start, CAST(centre AS INT) AS centre, quantity, price, discount, tax FROM (SELECT ln.*, CAST(j.i AS INT) AS start, row_number() OVER (PARTITION BY j.i ORDER BY md5(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(j.i AS VARCHAR))), l_orderkey, l_linenumber, {', '.join(_LINE_FEATURES)}) - 1 AS centre
+  FROM ln, range(0, {_STARTS}) j(i)) WHERE centre < {_CENTRES}), {', '.join(_lloyd(i) for i in range(_ROUNDS + 1))},
+cost AS (SELECT start, sum(far) AS cost FROM a{_ROUNDS} GROUP BY 1)"""
+
+
+def _line_clusters(spark, sf):
+    """Three rounds of four starts over all rows, from the rows with the smallest hashes."""
+    rows = _lines(spark, sf)
+    order = ["l_orderkey", "l_linenumber", *_LINE_FEATURES]
+    first = []
+    for s in range(_STARTS):
+        by = [hash_order(F.col("l_orderkey"), F.col("l_linenumber"), F.lit(s)), *order]
+        chosen = rows.orderBy(*by).limit(_CENTRES)
+        first.append(chosen.withColumns({"start": F.lit(s), "centre": F.row_number().over(Window.orderBy(*by))}))
+    return rows, clusters.fit(rows, _LINE_FEATURES, share=1, max_iter=_ROUNDS, initial=reduce(DataFrame.unionByName, first), tolerance=0)
+
+
+@query("cluster_costs", "MD1", f"{_CLUSTER_SQL} SELECT start, round(cost, 4) AS cost FROM cost")
+def cluster_costs(spark, sf):
+    _, model = _line_clusters(spark, sf)
+    return spark.createDataFrame([(s, round(c, 4)) for s, c in enumerate(model.costs)], "start int, cost double")
+
+
+@query("nearest_states", "MD1 MD2", f"{_CLUSTER_SQL} SELECT l_orderkey, l_linenumber, centre AS state, round(far, 6) AS distance FROM a{_ROUNDS} WHERE start = (SELECT start FROM cost ORDER BY cost, start LIMIT 1)")
+def nearest_states(spark, sf):
+    rows, model = _line_clusters(spark, sf)
+    out = clusters.assign(rows, model, _LINE_FEATURES, distance="distance")
+    return rounded(out.select("l_orderkey", "l_linenumber", "state", "distance"), ["distance"])
+
+
 # ---- off-policy evaluation ----------------------------------------------------------------------
 
 

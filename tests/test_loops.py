@@ -4,10 +4,12 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from careflow.operators import bins, impute, joins, mdp, ope, series, states
+from careflow.session import cut_lineage
 
 H = 3600
 
@@ -336,6 +338,33 @@ def test_policy_iteration_against_dense_linear_algebra(spark):
     assert {x.state: x.action for x in got_policy.collect()} == {s: int(policy[s]) for s in range(s_all)}
 
 
+def test_policy_values_of_a_full_size_model(spark):
+    rng = np.random.default_rng(2)
+    n, actions, gamma = 752, 25, 0.99
+    s, a = np.repeat(np.arange(n - 2), actions * 4), np.tile(np.repeat(np.arange(actions), 4), n - 2)
+    rows = pd.DataFrame({"state": s, "action": a, "next_state": rng.integers(0, n, len(s)), "p": rng.random(len(s))})
+    rows = rows.groupby(["state", "action", "next_state"], as_index=False)["p"].sum()
+    rows["p"] /= rows.groupby(["state", "action"])["p"].transform("sum")
+    model = spark.createDataFrame(rows, "state int, action int, next_state int, p double")
+    rewards = cut_lineage(mdp.expected_reward(model, n - 2))
+    policy = pd.DataFrame({"state": np.arange(n), "action": rng.integers(0, actions, n)})
+    kept = rows.merge(policy, on=["state", "action"])
+    step, gain = np.zeros((n, n)), np.zeros(n)
+    step[kept.state, kept.next_state] = kept.p
+    gain = 100 * (step[:, n - 1] - step[:, n - 2])
+    want = np.linalg.solve(np.eye(n) - gamma * step, gain)
+    acts = spark.createDataFrame(policy, "state int, action int")
+    got = mdp.evaluate_policy(model, rewards, acts, gamma, tolerance=1e-7)
+    v = got.toPandas().set_index("state")["v"].sort_index().to_numpy()
+    assert len(v) == n and np.abs(v - want).max() <= 1e-7
+    warm = mdp.evaluate_policy(model, rewards, acts, gamma, tolerance=1e-6, max_sweeps=1, values=got)
+    assert np.abs(warm.toPandas().set_index("state")["v"].sort_index().to_numpy() - want).max() <= 1e-6
+    with pytest.raises(RuntimeError):
+        mdp.evaluate_policy(model, rewards, acts, gamma, max_sweeps=2)
+    with pytest.raises(ValueError):
+        mdp.evaluate_policy(model, rewards, acts, 1.0)
+
+
 def test_policy_and_model_invariants(spark):
     rng = random.Random(3)
     rows = [(s, b, rng.randint(0, 3), rng.randint(0, 4), s % 2) for s in range(60) for b in range(1, 9)]
