@@ -12,7 +12,7 @@ from careflow.functions.scalar import hash_below, hash_order, hash_unit
 from careflow.operators.scan import (
     exact_quantiles, find_hot, following, join_null_safe, number_rows, remaining_sum, row_number, scan,
 )
-from careflow.session import spread
+from careflow.session import cut_lineage, spread
 
 SMALLEST = 1e-100
 
@@ -67,39 +67,105 @@ def averaged_q(
     return ranked.groupBy(*keys).agg(F.sum(weight * F.col(ret)).alias("q"))
 
 
-def sampled_traces(stays: DataFrame, stay: str, draws: int, replicates: int = 1, seed: str = "trace") -> DataFrame:
-    """Stays drawn with replacement: `(replicate, draw, stay)`, reproducible from the seed."""
+def sampled_traces(
+    stays: DataFrame, stay: str, draws: int, replicates: int = 1, seed: str = "trace", first: int = 0, last: int | None = None,
+) -> DataFrame:
+    """Stays drawn with replacement: `(replicate, draw, stay)`, reproducible from the seed.
+
+    `first` and `last` ask for the draws of that half-open range only, the same ones as in the whole.
+    """
+    return _pick(_numbered(stays, stay), draws, replicates, seed, first, last)
+
+
+def _numbered(stays: DataFrame, stay: str) -> tuple[DataFrame, int]:
     numbered = number_rows(stays.select(stay).distinct(), [stay], "__row")
-    n = numbered.count()
-    picks = stays.sparkSession.range(draws * replicates).select(
-        F.floor(F.col("id") / draws).cast("int").alias("replicate"), (F.col("id") % draws).alias("draw"),
-        (F.floor(hash_unit(F.col("id"), seed) * n) + 1).alias("__row"),
+    return numbered, numbered.count()
+
+
+def _pick(numbered: tuple[DataFrame, int], draws: int, replicates: int, seed: str, first: int, last: int | None) -> DataFrame:
+    rows, n = numbered
+    part = (draws if last is None else last) - first
+    i = F.col("id")
+    replicate, draw = F.floor(i / part).cast("int"), i % part + first
+    picks = rows.sparkSession.range(part * replicates).select(
+        replicate.alias("replicate"), draw.alias("draw"),
+        (F.floor(hash_unit(replicate.cast("long") * draws + draw, seed) * n) + 1).alias("__row"),
     )
-    return picks.join(numbered, "__row").drop("__row")
+    return picks.join(rows, "__row").drop("__row")
+
+
+def trace_updates(records: DataFrame, gamma: float = 0.99, alpha: float = 0.1, hot_rows: int | None = None) -> DataFrame:
+    """What one draw of a stay does to each Q it meets: `n` updates that turn Q into `(1 - alpha)^n Q + v`.
+
+    A trace updates from its end to its start. Its last row and rows without an action update nothing.
+    """
+    rets = future_returns(records, ["icustayid"], "bloc", "reward", gamma, "g", last="__last")
+    rows = rets.filter(~F.col("__last") & (F.col("action") >= 0)).select("icustayid", "bloc", "state", "action", "g")
+    keys = ["icustayid", "state", "action"]
+    ranked = scan(rows, keys, ["bloc"], {"__k": row_number()}, hot_rows)
+    weight = alpha * F.pow(F.lit(1 - alpha), F.col("__k") - 1)
+    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(weight * F.col("g")).alias("v"))
+
+
+def _in_turn(updates: DataFrame, keys: Sequence[str], order: str, alpha: float) -> DataFrame:
+    """The updates of each key as a single one, the highest `order` applied last."""
+    late_first = F.array_sort(F.collect_list(F.struct((-F.col(order)).alias("at"), "n", "v")))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("v"))
+
+    def add(done: Column, x: Column) -> Column:
+        return F.struct((done["n"] + x["n"]).alias("n"), (done["v"] + F.pow(F.lit(1 - alpha), done["n"]) * x["v"]).alias("v"))
+
+    one = updates.groupBy(*keys).agg(F.aggregate(late_first, start, add).alias("__u"))
+    return one.select(*keys, "__u.n", "__u.v")
+
+
+def drawn_updates(updates: DataFrame, draws: DataFrame, alpha: float = 0.1, block: int = 1024) -> DataFrame:
+    """The updates of all draws merged per replicate, state and action: `n` and `v` as in `trace_updates`.
+
+    Merging is associative, so draws are merged in blocks of `block` and then the blocks: a task holds at most a
+    block of one key, or one entry per block, whatever share of the rows a key has.
+    """
+    keys = ["replicate", "state", "action"]
+    rows = updates.join(draws, "icustayid").withColumn("__b", F.floor(F.col("draw") / block))
+    return _in_turn(_in_turn(rows, [*keys, "__b"], "draw", alpha), keys, "__b", alpha)
+
+
+def extend_updates(before: DataFrame, after: DataFrame, alpha: float = 0.1) -> DataFrame:
+    """Merged updates followed by later ones."""
+    both = before.withColumn("__at", F.lit(0)).unionByName(after.withColumn("__at", F.lit(1)))
+    return _in_turn(both, ["replicate", "state", "action"], "__at", alpha)
 
 
 def td_q(
     records: DataFrame, draws: DataFrame, gamma: float = 0.99, alpha: float = 0.1, hot_rows: int | None = None,
 ) -> DataFrame:
-    """Q per replicate from drawn traces. The last row of a trace and rows without an action update nothing."""
-    rets = future_returns(records, ["icustayid"], "bloc", "reward", gamma, "g", last="__last")
-    rows = rets.filter(~F.col("__last") & (F.col("action") >= 0)).select("icustayid", "bloc", "state", "action", "g")
-    updates = rows.join(draws, "icustayid").withColumn("__late", -F.col("draw"))
-    return averaged_q(updates, ["replicate", "state", "action"], ["__late", "bloc"], "g", alpha, hot_rows)
+    """Q per replicate from drawn traces, the updates `Q = (1 - alpha) Q + alpha G` from 0 in the order of the draws.
+
+    The last row of a trace and rows without an action update nothing.
+    """
+    merged = drawn_updates(trace_updates(records, gamma, alpha, hot_rows), draws, alpha)
+    return merged.select("replicate", "state", "action", F.col("v").alias("q"))
 
 
 def td_q_until_stable(
     records: DataFrame, stays: DataFrame, chunk: int = 50_000, max_draws: int = 300_000, gamma: float = 0.99,
     alpha: float = 0.1, change: float = 0.001, seed: str = "trace",
 ) -> tuple[DataFrame, int]:
-    """Q with more draws in chunks until the sum of Q moves by less than `change` between chunk ends."""
-    before, draws = 1.0, 0
+    """Q with more draws in chunks until the sum of Q moves by less than `change` between chunk ends.
+
+    Stays are reduced once and every draw is merged once: a chunk extends the result so far.
+    """
+    updates = cut_lineage(trace_updates(records, gamma, alpha), "updates")
+    rows, n = _numbered(stays, "icustayid")
+    numbered = cut_lineage(rows, "numbered"), n
+    before, draws, merged = 1.0, 0, None
     while True:
-        draws = min(draws + chunk, max_draws)
-        q = td_q(records, sampled_traces(stays, "icustayid", draws, seed=seed), gamma, alpha)
-        now = q.agg(F.sum("q")).first()[0] or 0.0
+        first, draws = draws, min(draws + chunk, max_draws)
+        more = drawn_updates(updates, _pick(numbered, max_draws, 1, seed, first, draws), alpha)
+        merged = cut_lineage(more if merged is None else extend_updates(merged, more, alpha), "merged")
+        now = merged.agg(F.sum("v")).first()[0] or 0.0
         if draws >= max_draws or (before and abs((now - before) / before) < change):
-            return q, draws
+            return merged.select("replicate", "state", "action", F.col("v").alias("q")), draws
         before = now
 
 

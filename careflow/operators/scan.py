@@ -80,6 +80,10 @@ def following(expr: Column) -> Step:
     return Step("neighbour", expr, backward=True)
 
 
+#: Cells of carried state, two rows a range and one column a step, up to which they are broadcast.
+CARRY_CELLS = 200_000
+
+
 def find_hot(df: DataFrame, keys: Sequence[str], lead: str, limit: int) -> int:
     """Rows of the whole table if a key has more than `limit` of them, else 0."""
     largest, total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
@@ -107,10 +111,13 @@ def colocate(df: DataFrame, keys: Sequence[str], hot: int) -> DataFrame:
     return df if hot else df.repartition(*keys)
 
 
+def _ranges(total: int, limit: int) -> int:
+    return -(-total // limit) + 1
+
+
 def deal_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], total: int, limit: int) -> DataFrame:
     """The rows in ranges of about `limit`, by keys and then order, written with the range's number, so that it stays the same in every use."""
-    ranges = -(-total // limit) + 1
-    dealt = df.repartitionByRange(ranges, *[F.col(c).asc() for c in [*keys, *order]])
+    dealt = df.repartitionByRange(_ranges(total, limit), *[F.col(c).asc() for c in [*keys, *order]])
     return cut_lineage(dealt.withColumn(PIECE, F.spark_partition_id().cast("long")), "ranges")
 
 
@@ -188,7 +195,8 @@ def scan(
     small = small.withColumn("__pieces", F.count(F.lit(1)).over(own)).filter(F.col("__pieces") > 1)
     carries = small.select(*at, *[_carry(s, tmp, keys).alias(f"{tmp}c") for tmp, (_, s) in names.items()])
     out = tagged.withColumns({tmp: _local(s, at, order) for tmp, (_, s) in names.items()})
-    out = join_null_safe(out, carries, at, "left", few=True)
+    few = 2 * _ranges(hot, limit) * len(names) <= CARRY_CELLS
+    out = join_null_safe(out, carries, at, "left", few=few)
     out = out.withColumns({name: _combine(s, F.col(tmp), F.col(f"{tmp}c")) for tmp, (name, s) in names.items()})
     return out.drop(*names, *[f"{t}c" for t in names], PIECE)
 

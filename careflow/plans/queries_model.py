@@ -365,29 +365,48 @@ def discounted_return(spark, sf):
     return out.select("stay", "bloc", F.round("ret", 4).alias("ret"))
 
 
-_DRAWS = 400
-_TD_SQL = _SCORED_SQL + f""", g AS (SELECT icustayid, bloc, state, action, coalesce(sum(nr * pow(0.99::DOUBLE, bloc - 1)) OVER (PARTITION BY icustayid ORDER BY bloc DESC) / pow(0.99::DOUBLE, bloc - 1), 0) AS g, last
+def _td_sql(draws: int, replicates: int) -> str:
+    return _SCORED_SQL + f""", g AS (SELECT icustayid, bloc, state, action, coalesce(sum(nr * pow(0.99::DOUBLE, bloc - 1)) OVER (PARTITION BY icustayid ORDER BY bloc DESC) / pow(0.99::DOUBLE, bloc - 1), 0) AS g, last
     FROM (SELECT *, coalesce(lead(reward) OVER w, 0) AS nr, lead(bloc) OVER w IS NULL AS last FROM rec WINDOW w AS (PARTITION BY icustayid ORDER BY bloc))),
 st0 AS (SELECT icustayid, row_number() OVER (ORDER BY icustayid) AS rn FROM (SELECT DISTINCT icustayid FROM rec)),
-dr AS (SELECT CAST(j.i // {_DRAWS} AS INT) AS replicate, j.i % {_DRAWS} AS draw, CAST(floor({unit_hash('CAST(j.i AS VARCHAR)', chr(39) + 'trace' + chr(39))} * (SELECT count(*) FROM st0)) + 1 AS BIGINT) AS rn FROM range(0, {2 * _DRAWS}) j(i)),
+dr AS (SELECT CAST(j.i // {draws} AS INT) AS replicate, j.i % {draws} AS draw, CAST(floor({unit_hash('CAST(j.i AS VARCHAR)', chr(39) + 'trace' + chr(39))} * (SELECT count(*) FROM st0)) + 1 AS BIGINT) AS rn FROM range(0, {replicates * draws}) j(i)),
 up AS (SELECT replicate, state, action, g, row_number() OVER (PARTITION BY replicate, state, action ORDER BY draw DESC, bloc) - 1 AS k FROM dr JOIN st0 USING (rn) JOIN g USING (icustayid) WHERE NOT last AND action >= 0),
 tq AS (SELECT replicate, state, action, sum(0.1::DOUBLE * pow(0.9::DOUBLE, k) * g) AS q FROM up GROUP BY 1, 2, 3)"""
 
 
-def _td(spark, sf):
+def _td(spark, sf, draws: int, replicates: int):
     rec = records(spark, sf)
-    return rec, ope.td_q(rec, ope.sampled_traces(rec, "icustayid", _DRAWS, 2))
+    return rec, ope.td_q(rec, ope.sampled_traces(rec, "icustayid", draws, replicates))
 
 
-@query("ema_q", "OP2 AG16", f"WITH {_TD_SQL} SELECT replicate, CAST(state AS INT) AS state, CAST(action AS INT) AS action, round(q, 4) AS q FROM tq")
+def _value_sql(draws: int, replicates: int) -> str:
+    return f"""WITH {_td_sql(draws, replicates)}, s AS (SELECT state, count(*) AS n FROM rec WHERE bloc = 1 AND state < 10 GROUP BY 1), vs AS (SELECT replicate, tq.state, sum(p * tq.q) AS v FROM tq JOIN clin ON clin.state = tq.state AND clin.action = tq.action GROUP BY 1, 2)
+SELECT replicate, round(sum(v * n) / (SELECT sum(n) FROM s), 4) AS value FROM vs JOIN s USING (state) GROUP BY 1"""
+
+
+_EMA_COLUMNS = "SELECT replicate, CAST(state AS INT) AS state, CAST(action AS INT) AS action, round(q, 4) AS q FROM tq"
+
+
+@query("ema_q", "OP2 AG16", f"WITH {_td_sql(400, 2)} {_EMA_COLUMNS}")
 def ema_q(spark, sf):
-    return rounded(_td(spark, sf)[1], ["q"], 4)
+    return rounded(_td(spark, sf, 400, 2)[1], ["q"], 4)
+
 
+@query("trace_q", "OP2 AG16", f"WITH {_td_sql(300_000, 6)} {_EMA_COLUMNS}")
+def trace_q(spark, sf):
+    """All draws of the published evaluation: 300,000 traces, six times."""
+    return rounded(_td(spark, sf, 300_000, 6)[1], ["q"], 4)
 
-@query("policy_value", "OP3", f"""WITH {_TD_SQL}, s AS (SELECT state, count(*) AS n FROM rec WHERE bloc = 1 AND state < 10 GROUP BY 1), vs AS (SELECT replicate, tq.state, sum(p * tq.q) AS v FROM tq JOIN clin ON clin.state = tq.state AND clin.action = tq.action GROUP BY 1, 2)
-SELECT replicate, round(sum(v * n) / (SELECT sum(n) FROM s), 4) AS value FROM vs JOIN s USING (state) GROUP BY 1""")
+
+@query("policy_value", "OP3", _value_sql(400, 2))
 def policy_value(spark, sf):
-    rec, q = _td(spark, sf)
+    rec, q = _td(spark, sf, 400, 2)
+    return rounded(ope.policy_value(rec, mdp.clinician_policy(counts(spark, sf)), q, N_STATES), ["value"], 4)
+
+
+@query("trace_policy_value", "OP3", _value_sql(300_000, 6))
+def trace_policy_value(spark, sf):
+    rec, q = _td(spark, sf, 300_000, 6)
     return rounded(ope.policy_value(rec, mdp.clinician_policy(counts(spark, sf)), q, N_STATES), ["value"], 4)
 
 

@@ -212,6 +212,32 @@ def test_averaged_q_against_the_update_loop(spark):
     assert n in (20, 40) and q.count() > 0
 
 
+def test_trace_updates_merge_in_blocks_and_chunks(spark):
+    rng = random.Random(21)
+    stays = {s: [(rng.randint(0, 1), rng.randint(0, 1), rng.uniform(-9, 9)) for _ in range(rng.randint(1, 9))] for s in range(15)}
+    rows = [(s, b, st, a if b < len(t) else -1, r) for s, t in stays.items() for b, (st, a, r) in enumerate(t, 1)]
+    rec = spark.createDataFrame(rows, "icustayid long, bloc long, state int, action int, reward double")
+    updates = ope.trace_updates(rec, 0.9, 0.1)
+
+    def table(df):
+        return {(r.replicate, r.state, r.action): (r.n, r.v) for r in df.collect()}
+
+    flat = ope.averaged_q(spark.createDataFrame([(0, i, float(x)) for i, x in enumerate((3, 1, 2))], "k int, i int, g double"), ["k"], ["i"], "g", 0.5)
+    assert abs(flat.first().q - (0.5 * 3 + 0.25 * 1 + 0.125 * 2)) < 1e-12
+    draws = ope.sampled_traces(rec, "icustayid", 90, 2)
+    whole = table(ope.drawn_updates(updates, draws, 0.1))
+    assert len({k[0] for k in whole}) == 2 and max(n for n, _ in whole.values()) > 50
+    early, late = (ope.sampled_traces(rec, "icustayid", 90, 2, first=a, last=b) for a, b in ((0, 37), (37, 90)))
+    assert sorted(map(tuple, early.unionByName(late).collect())) == sorted(map(tuple, draws.collect()))
+    parts = ope.extend_updates(ope.drawn_updates(updates, early, 0.1), ope.drawn_updates(updates, late, 0.1), 0.1)
+    for other in (table(ope.drawn_updates(updates, draws, 0.1, block=4)), table(parts)):
+        assert other.keys() == whole.keys()
+        assert all(other[k][0] == n and abs(other[k][1] - v) < 1e-9 for k, (n, v) in whole.items())
+    q, n = ope.td_q_until_stable(rec, rec, chunk=25, max_draws=60, gamma=0.9, change=0.0)
+    want = table(ope.drawn_updates(updates, ope.sampled_traces(rec, "icustayid", 60), 0.1))
+    assert n == 60 and {(r.replicate, r.state, r.action): round(r.q, 9) for r in q.collect()} == {k: round(v, 9) for k, (_, v) in want.items()}
+
+
 def test_future_returns_over_long_series(spark):
     rng = random.Random(2)
     r = [rng.uniform(-1, 1) for _ in range(400)]

@@ -45,6 +45,18 @@ def test_split_keys_change_nothing(rows, keys, order):
         assert table(S.scan(rows, keys, order, steps(), hot_rows=limit)) == plain
 
 
+def test_many_carries_are_joined_not_broadcast(rows, monkeypatch):
+    plain = table(S.scan(rows, ["k"], ["t", "id"], steps(), hot_rows=10**9))
+    monkeypatch.setattr(S, "CARRY_CELLS", 10)
+    assert table(S.scan(rows, ["k"], ["t", "id"], steps(), hot_rows=40)) == plain
+    rows.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = S.scan(rows, ["k"], ["t", "id"], steps(), hot_rows=40)._jdf.queryExecution().toString()
+    finally:
+        rows.sparkSession.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_scan_against_a_loop(rows):
     got = table(S.scan(rows, ["k"], ["t", "id"], steps(), hot_rows=50))
     per = {}
