@@ -12,7 +12,7 @@ from careflow.plans.queries_model import counts
 from careflow.plans.registry import query
 from careflow.plans.standins import COUNTS, INTERVALS, MEASUREMENTS, STAYS, intervals, measurements, stays
 from careflow.session import load, scratch_path
-from careflow.sources import io
+from careflow.sources import chunks, io
 
 
 @query("stage_tables", "SRC1 SRC2 SNK1", f"WITH {MEASUREMENTS} SELECT stay AS icustayid, t AS charttime, CAST(item AS BIGINT) AS itemid, v AS value FROM ev")
@@ -26,12 +26,22 @@ def stage_tables(spark, sf):
 
 @query("chunked_extract", "SRC3 SRC4 SRC5 SRC8", f"WITH {STAYS} SELECT subject AS subject_id, admission AS hadm_id, intime AS charttime, CAST(subject // 200 AS BIGINT) AS chunk FROM st")
 def chunked_extract(spark, sf):
-    """Ranges of 200 subjects: a first run has only the first five, a second run over all rows adds what is missing."""
+    """Ranges of 200 subjects: a first run has only the first five, a second run over all rows adds what the manifest does not list."""
     path = scratch_path(spark, "chunks")
     rows = io.rename_by_position(stays(spark, sf).select("subject", "admission", "intime"), ["subject_id", "hadm_id", "charttime"])
-    io.write_chunks(rows.filter("subject_id < 1000"), path, "subject_id", step=200)
-    io.write_chunks(rows, path, "subject_id", step=200, skip_present=True)
-    return spark.read.parquet(path).withColumn("chunk", F.col("chunk").cast("long"))
+    chunks.write(rows.filter("subject_id < 1000"), path, "subject_id", step=200)
+    chunks.write(rows, path, "subject_id", step=200, skip_present=True)
+    return chunks.read(spark, path)
+
+
+@query("chunk_manifest", "SRC4 SRC5", f"WITH {STAYS}, c AS (SELECT CAST(i AS BIGINT) AS chunk FROM range(-1, 10) r(i)) SELECT chunk, CAST(count(subject) AS BIGINT) AS rows FROM c LEFT JOIN st ON CASE WHEN subject // 500 BETWEEN 0 AND 9 THEN subject // 500 ELSE -1 END = chunk GROUP BY 1")
+def chunk_manifest(spark, sf):
+    """Ten ranges of 500 subjects and the rest, written twice; what the manifest counts, once for each."""
+    path = scratch_path(spark, "manifest")
+    rows = io.rename_by_position(stays(spark, sf).select("subject", "admission", "intime"), ["subject_id", "hadm_id", "charttime"])
+    for _ in range(2):
+        chunks.write(rows, path, "subject_id", step=500, chunks=10, skip_present=True)
+    return chunks.manifest(spark, path).select("chunk", "rows")
 
 
 @query("clustered_fetch", "SRC8", f"WITH {INTERVALS} SELECT stay, \"start\", item FROM iv WHERE stay BETWEEN 10 AND 40")
