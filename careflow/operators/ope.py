@@ -141,8 +141,10 @@ def td_q(
 ) -> DataFrame:
     """Q per replicate from drawn traces, the updates `Q = (1 - alpha) Q + alpha G` from 0 in the order of the draws.
 
-    The last row of a trace and rows without an action update nothing.
+    The last row of a trace and rows without an action update nothing. Only drawn stays are worked on.
     """
+    draws = cut_lineage(draws, "draws")
+    records = records.join(draws.select("icustayid").distinct(), "icustayid", "left_semi")
     merged = drawn_updates(trace_updates(records, gamma, alpha, hot_rows), draws, alpha)
     return merged.select("replicate", "state", "action", F.col("v").alias("q"))
 
