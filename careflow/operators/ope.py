@@ -100,7 +100,7 @@ def trace_updates(records: DataFrame, gamma: float = 0.99, alpha: float = 0.1, h
     A trace updates from its end to its start. Its last row and rows without an action update nothing.
     """
     rets = future_returns(records, ["icustayid"], "bloc", "reward", gamma, "g", last="__last")
-    rows = rets.filter(~F.col("__last") & (F.col("action") >= 0)).select("icustayid", "bloc", "state", "action", "g")
+    rows = cut_lineage(rets.filter(~F.col("__last") & (F.col("action") >= 0)).select("icustayid", "bloc", "state", "action", "g"), "returns")
     keys = ["icustayid", "state", "action"]
     ranked = scan(rows, keys, ["bloc"], {"__k": row_number()}, hot_rows)
     weight = alpha * F.pow(F.lit(1 - alpha), F.col("__k") - 1)
@@ -141,10 +141,9 @@ def td_q(
 ) -> DataFrame:
     """Q per replicate from drawn traces, the updates `Q = (1 - alpha) Q + alpha G` from 0 in the order of the draws.
 
-    The last row of a trace and rows without an action update nothing. Only drawn stays are worked on.
+    The last row of a trace and rows without an action update nothing.
     """
     draws = cut_lineage(draws, "draws")
-    records = records.join(draws.select("icustayid").distinct(), "icustayid", "left_semi")
     merged = drawn_updates(trace_updates(records, gamma, alpha, hot_rows), draws, alpha)
     return merged.select("replicate", "state", "action", F.col("v").alias("q"))
 
