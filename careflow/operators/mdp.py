@@ -111,8 +111,16 @@ def best_actions(q: DataFrame) -> DataFrame:
     return q.groupBy("state").agg(best.alias("b")).select("state", (-F.col("b.a")).alias("action"), F.col("b.q").alias("v"))
 
 
+def mixed(after: list[np.ndarray], moves: list[np.ndarray]) -> np.ndarray:
+    """Next point from the last results of a step and their moves (Anderson acceleration)."""
+    if len(moves) < 2:
+        return after[-1]
+    d = np.diff(np.array(moves), axis=0).T
+    return after[-1] - np.diff(np.array(after), axis=0).T @ np.linalg.lstsq(d, moves[-1], rcond=None)[0]
+
+
 def _settle(step: Callable[[np.ndarray], np.ndarray], v: np.ndarray, least: float, most: int, memory: int = 20) -> np.ndarray:
-    """Repeat `step` until it moves no value by more than `least`, mixing the last steps (Anderson acceleration)."""
+    """Repeat `step` until it moves no value by more than `least`, mixing the last steps."""
     after, moves = [], []
     for _ in range(most):
         t = step(v)
@@ -120,10 +128,7 @@ def _settle(step: Callable[[np.ndarray], np.ndarray], v: np.ndarray, least: floa
         if not len(v) or np.abs(move).max() <= least:
             return t
         after, moves = [*after[-memory:], t], [*moves[-memory:], move]
-        v = t
-        if len(moves) > 1:
-            d = np.diff(np.array(moves), axis=0).T
-            v = t - np.diff(np.array(after), axis=0).T @ np.linalg.lstsq(d, move, rcond=None)[0]
+        v = mixed(after, moves)
     raise RuntimeError(f"a value still moves by {np.abs(move).max():.3g} after {most} sweeps, {least:.3g} is wanted")
 
 

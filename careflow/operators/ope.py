@@ -183,9 +183,9 @@ def policy_value(records: DataFrame, policy: DataFrame, q: DataFrame, n_states:
 
 def stay_ratios(
     df: DataFrame, behaviour: str, target: str, outcome: str, gamma: float = 0.99, reward: float = 100.0,
-    stay: str = "icustayid",
+    stay: str = "icustayid", by: Sequence[str] = (),
 ) -> DataFrame:
-    """Each stay reduced once to its importance ratio and discounted final reward.
+    """Each stay (of each `by`) reduced once to its importance ratio and discounted final reward.
 
     The ratio is summed in logs. A zero target probability makes it 0, a zero
     behaviour probability makes it null, which drops the stay. The discount starts
@@ -196,7 +196,7 @@ def stay_ratios(
     ratio = F.when(F.max((b <= 0).cast("int")) == 1, None).when(F.max((t <= 0).cast("int")) == 1, 0.0).otherwise(F.exp(logs))
     n = F.count(F.lit(1))
     final = F.when(F.max(outcome) == 1, -reward).otherwise(reward)
-    return df.groupBy(stay).agg(ratio.alias("rho"), (F.pow(F.lit(gamma), n - 2) * final).alias("g"))
+    return df.groupBy(*by, stay).agg(ratio.alias("rho"), (F.pow(F.lit(gamma), n - 2) * final).alias("g"))
 
 
 def clamped_ratios(
@@ -243,14 +243,17 @@ def _replicates_of(stay: Column, replicates: int, seed: str, share: float) -> Co
 
 def bootstrap_samples(
     ratios: DataFrame, replicates: int = 750, share: float = 0.75, most: int = 25_000, seed: str = "boot",
-    stay: str = "icustayid",
+    stay: str = "icustayid", by: Sequence[str] = (),
 ) -> DataFrame:
     """Samples without replacement: `replicate` added, min(most, share of the stays) stays each.
 
     Where the stays far outnumber the sample, a hash filter with a wide margin lets
     only candidates through, so the rows made are replicates times sample size, not
-    replicates times stays. A replicate's exact sample is its lowest hashes.
+    replicates times stays. A replicate's exact sample is its lowest hashes. With `by`
+    each group (say a model) is sampled by itself; groups that share a stay share its hashes.
     """
+    if by:
+        return _samples_by(ratios, replicates, share, most, seed, stay, list(by))
     total = ratios.count()
     size = min(most, int(total * share))
     need = size / max(total, 1)
@@ -261,6 +264,25 @@ def bootstrap_samples(
     return made.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= size).drop("__k")
 
 
+def _samples_by(ratios: DataFrame, replicates: int, share: float, most: int, seed: str, stay: str, by: list[str]) -> DataFrame:
+    """Bootstrap samples of each group; the hash of a stay and replicate is made once for all groups, and each tests it against its own margin."""
+    n = F.col("__n")
+    size = F.least(F.lit(most), F.floor(n * share))
+    need = size / n
+    margin = F.least(F.lit(1.0), need + 12 * F.sqrt(need / n) + 100 / n)
+    totals = ratios.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).select(*by, size.alias("__size"), margin.alias("__margin"))
+    kept = [c for c in ratios.columns if c not in (*by, stay)]
+    groups = join_null_safe(ratios, totals, by).groupBy(stay).agg(F.collect_list(F.struct(*by, *kept, "__size", "__margin")).alias("__in"))
+    made = spread(groups).select(stay, "__in", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    made = made.withColumn("__h", hash_order(F.col(stay), F.col("replicate"), seed))
+    at = F.conv(F.substring("__h", 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+    made = made.withColumn("__at", at).withColumn("__in", F.filter("__in", lambda g: F.col("__at") <= g["__margin"]))
+    rows = made.select(stay, "replicate", "__h", F.explode("__in").alias("__g")).select(stay, "replicate", "__h", "__g.*")
+    w = Window.partitionBy(*by, "replicate").orderBy("__h", stay)
+    picked = rows.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= F.col("__size"))
+    return picked.select(*ratios.columns, "replicate")
+
+
 def bernoulli_samples(
     ratios: DataFrame, replicates: int, most: int = 25_000, share: float = 0.75, seed: str = "boot", stay: str = "icustayid",
 ) -> DataFrame:
