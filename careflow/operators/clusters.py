@@ -205,3 +205,20 @@ def assign(df: DataFrame, clusters: Clusters, features: Sequence[str], state: st
     if distance:
         new[distance] = F.when(ok, F.col("__near.distance"))
     return out.withColumns(new).drop("__near")
+
+
+def assign_all(df: DataFrame, models: Sequence[Clusters], features: Sequence[str], states: str = "states") -> DataFrame:
+    """Append the nearest centre under every model as an array, in one pass over the rows; null where `assign` gives null.
+
+    What is sent to the tasks is models x centres x features.
+    """
+    shared = df.sparkSession.sparkContext.broadcast([m.centres for m in models])
+
+    @F.pandas_udf("array<int>")
+    def find(rows: pd.DataFrame) -> pd.Series:
+        x = rows.to_numpy(dtype=np.float64)
+        return pd.Series(list(np.stack([nearest(x, c)[0] for c in shared.value], axis=1).astype(np.int32)))
+
+    ok = complete(features)
+    x = F.struct(*[F.when(ok, F.col(c).cast("double")).otherwise(0.0).alias(f"x{j}") for j, c in enumerate(features)])
+    return df.withColumn("__all", find(x)).withColumn(states, F.when(ok, F.col("__all"))).drop("__all")

@@ -7,7 +7,7 @@ scanned once whatever the number of models. What is on the driver is one value a
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,7 @@ from careflow.functions.scalar import hash_below
 from careflow.operators import mdp, ope
 from careflow.operators.scan import following, scan
 from careflow.session import cut_lineage
+from careflow.sources import io
 
 MS = ["model", "state"]
 MSA = ["model", "state", "action"]
@@ -198,9 +199,9 @@ def soft_policies(q: DataFrame, clinician: DataFrame, n_states: int, n_actions:
     )
 
 
-def judged_ratios(visits: DataFrame, members: DataFrame, policies: DataFrame, gamma: float = 0.99, reward: float = 100.0) -> DataFrame:
-    """Importance ratio and discounted final reward per model and stay it is judged on, as `ope.stay_ratios`."""
-    rows = visits.join(members.select("icustayid", "test"), "icustayid").withColumn("model", F.explode("test")).select(
+def judged_ratios(visits: DataFrame, members: DataFrame, policies: DataFrame, gamma: float = 0.99, reward: float = 100.0, on: str = "test") -> DataFrame:
+    """Importance ratio and discounted final reward per model and stay it is judged on (its own `test` or `train` stays), as `ope.stay_ratios`."""
+    rows = visits.join(members.select("icustayid", on), "icustayid").withColumn("model", F.explode(on)).select(
         "model", "icustayid", F.get("states", F.col("model")).cast("int").alias("state"), F.col("action").cast("int").alias("action"), "outcome",
     )
     met = rows.join(policies, MSA, "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("behaviour", "target")})
@@ -218,8 +219,28 @@ def train(
     p = transition_model(counts)
     _, q, _ = policy_iteration(p, expected_reward(p, n_states, reward), models, n_states + 2, n_actions, gamma, tolerance=tolerance)
     policies = cut_lineage(soft_policies(q, clinician_policy(counts), n_states, n_actions, epsilon), "policies")
-    ratios = cut_lineage(judged_ratios(visits, members, policies, gamma, reward), "ratios")
-    samples = ope.bootstrap_samples(ratios, replicates, bootstrap_share, most, by=["model"])
-    wis = cut_lineage(ope.weighted_value(samples, ["model", "replicate"]), "wis")
-    stats = cut_lineage(ope.replicate_stats(wis, "wis", ["model"]), "stats")
-    return {"counts": counts, "q": q, "policies": policies, "ratios": ratios, "wis": wis, "stats": stats, "choice": ope.pick_models(stats)}
+    out = {"counts": counts, "q": q, "policies": policies}
+    for side, on in (("", "test"), ("train_", "train")):
+        ratios = cut_lineage(judged_ratios(visits, members, policies, gamma, reward, on), f"{side}ratios")
+        samples = ope.bootstrap_samples(ratios, replicates, bootstrap_share, most, by=["model"])
+        wis = cut_lineage(ope.weighted_value(samples, ["model", "replicate"]), f"{side}wis")
+        stats = cut_lineage(ope.replicate_stats(wis, "wis", ["model"]), f"{side}stats")
+        out |= {f"{side}ratios": ratios, f"{side}wis": wis, f"{side}stats": stats}
+    return {**out, "choice": ope.pick_models(out["stats"])}
+
+
+def save_models(path: str, out: Mapping[str, DataFrame], which: str = "best", params: Mapping[str, object] | None = None) -> dict[str, int]:
+    """Save counts, Q and policies of the best and the worst model (`which="best"`) or of all models, one folder each, with the bounds; returns folder names and models.
+
+    Without a model whose bound is above 0 there is no best one.
+    """
+    if which == "best":
+        (chosen,) = out["choice"].collect()
+        named = {f"{x}_model": chosen[f"{x}_model"] for x in ("best", "worst") if chosen[f"{x}_model"] is not None}
+    else:
+        named = {f"model_{r['model']}": r["model"] for r in out["stats"].select("model").collect()}
+    bounds = {r["model"]: r["q05"] for r in out["stats"].collect()}
+    for name, m in named.items():
+        tables = {t: out[t].filter(F.col("model") == m) for t in ("counts", "q", "policies")}
+        io.save_model(f"{path}/{name}", tables, {**(params or {}), "model": m, "q05": bounds[m]})
+    return named

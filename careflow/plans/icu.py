@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from careflow import constants as C
-from careflow.operators import bins, cleaning, cohort, dataset, impute, joins, mdp, ope, scan, scores, states
+from careflow.operators import bins, cleaning, clusters, cohort, dataset, ensemble, impute, joins, mdp, ope, scan, scores, states
 from careflow.session import cut_lineage, hot_rows
 
 
@@ -121,3 +121,27 @@ def train_and_evaluate(
         "counts": counts, "p": p, "r": r, "q": q, "clinician": clinician, "scored": scored, "wis": wis, "td": td,
         "wis_stats": ope.replicate_stats(wis, "wis"), "td_stats": ope.replicate_stats(td, "value"),
     }
+
+
+def train_models(
+    raw: DataFrame, normed: DataFrame, models: int = 100, n_clusters: int = 750, starts: int = 32, share: float = 0.25, n_bins: int = 5,
+    validation: float = 0.2, path: str | None = None, save: str = "best", **options,
+) -> dict[str, DataFrame]:
+    """Many models, each with its own training stays and states; all but the clustering goes through shared jobs.
+
+    Clustering is one fit a model (all starts in a pass); states of all models are found in one pass. `options` go to
+    `ensemble.train`; with `path` the best and worst model, or all, are saved there.
+    """
+    key = ["icustayid", "bloc"]
+    cut = dataset.action_cutoffs(raw, ["input_step", "max_dose_vaso"], n_bins)
+    action = dataset.action_of(F.col("input_step"), F.col("max_dose_vaso"), cut["input_step"], cut["max_dose_vaso"])
+    rows = cut_lineage(normed.join(raw.select(*key, action.cast("int").alias("action")), key), "rows")
+    fits = []
+    for m in range(models):
+        mine = dataset.split_by_key(rows, "icustayid", 1 - validation, f"model-{m}", "part").filter("part = 'train'")
+        fits.append(mdp.fit_state_clusters(mine, C.FEATURES, n_clusters, share, starts, seed=m, row_key=key))
+    visits = cut_lineage(clusters.assign_all(rows, fits, C.FEATURES).select(*key, "states", "action", "outcome"), "visited")
+    out = {"visits": visits, **ensemble.train(visits, models, n_clusters, n_bins * n_bins, 1 - validation, **options)}
+    if path:
+        ensemble.save_models(path, out, save, {f"edges_{c}": list(e) for c, e in cut.items()})
+    return out

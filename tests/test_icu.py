@@ -85,3 +85,6 @@ def test_cohort_and_model(built):
     out = icu.train_and_evaluate(raw_rows, normed, n_clusters=6, starts=2, share=1.0, threshold=1, replicates=10, td_draws=200, td_replicates=2, validation=0.4)
     assert out["wis"].count() == 10 and out["td"].count() == 2
     assert out["q"].count() == 8 * 25
+    many = icu.train_models(raw_rows, normed, models=3, n_clusters=6, starts=2, share=1.0, threshold=1, replicates=10, validation=0.4)
+    assert many["q"].count() == 3 * 8 * 25 and many["stats"].count() <= 3
+    assert many["visits"].filter("size(states) = 3").count() == normed.count()
