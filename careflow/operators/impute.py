@@ -93,42 +93,73 @@ def row_blocks(df: DataFrame, order: Sequence[str], size: int, name: str = "bloc
     return out.withColumn(name, F.floor((F.col("row") - 1) / size).cast("long"))
 
 
-def nearest_in_block(x: np.ndarray, most_null: float = 1.0, slab: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _shared_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Mean squared difference over the columns that both rows have, infinite without any; rows along the last axis, NaN is missing."""
+    diff = a - b
+    have = ~(np.isnan(a) | np.isnan(b))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(have.any(axis=-1), np.where(have, diff * diff, 0.0).sum(axis=-1) / have.sum(axis=-1), np.inf)
+
+
+def _least_distances(x: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Lower bounds of the distances between the rows `part` and all rows, by products of values, squares and masks.
+
+    The bound takes off what rounding can add to the products; it is -inf where they are not numbers.
+    """
+    mask = (~np.isnan(x)).astype(float)
+    z = np.where(mask > 0, x, 0.0)
+    z = np.where(mask > 0, z - z.sum(axis=0) / np.maximum(mask.sum(axis=0), 1), 0.0)
+    sq = z * z
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        squares = sq[part] @ mask.T + mask[part] @ sq.T
+        shared = mask[part] @ mask.T
+        slack = 8 * (x.shape[1] + 8) * np.finfo(float).eps
+        least = ((1 - slack) * squares - 2 * (z[part] @ z.T)) / shared
+        least = np.where(shared > 0, np.maximum(least, 0.0), np.inf)
+    return np.where(np.isnan(least), -np.inf, least)
+
+
+def nearest_in_block(x: np.ndarray, most_null: float = 1.0, slab: int = 256, near: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Nearest-row fill of one block: filled values, the row each came from (-1: none) and its distance.
 
-    The distance of two rows is the mean squared difference over shared columns.
-    A row that lacks a column never shares it, so one distance serves all columns.
+    The distance of two rows is the mean squared difference over shared columns, the first row wins ties.
+    A row that lacks a column never shares it, so one distance serves all columns. Bounds by matrix products
+    pick the `near` rows that may be nearest; a cell is settled by their exact distances if one that has the
+    column is below the bound of all others, else by the exact distances to every row.
     """
     missing = np.isnan(x)
     out, origin, far = x.copy(), np.full(x.shape, -1, dtype=np.int64), np.full(x.shape, np.nan)
     rate = missing.mean(axis=0)
-    targets = [c for c in range(x.shape[1]) if 0 < rate[c] < 1 and rate[c] <= most_null]
-    if not targets:
+    targets = np.array([c for c in range(x.shape[1]) if 0 < rate[c] < 1 and rate[c] <= most_null], dtype=int)
+    if not len(targets):
         return out, origin, far
     rows = np.flatnonzero(missing[:, targets].any(axis=1))
-    used = np.flatnonzero(rate < 1)
+    used = x[:, rate < 1]
+    near = min(near, len(x))
     for at in range(0, len(rows), slab):
         part = rows[at:at + slab]
-        dist = np.zeros((len(part), len(x)))
-        shared = np.zeros((len(part), len(x)), dtype=np.int32)
-        for c in used:
-            have = ~missing[part, c]
-            if not have.any():
-                continue
-            both = have[:, None] & ~missing[None, :, c]
-            diff = np.where(both, x[part, c][:, None] - x[None, :, c], 0.0)
-            dist += diff * diff
-            shared += both
-        with np.errstate(divide="ignore", invalid="ignore"):
-            dist = np.where(shared > 0, dist / shared, np.inf)
+        least = _least_distances(used, part)
+        order = np.argpartition(least, near - 1, axis=1) if near < len(x) else np.tile(np.arange(len(x)), (len(part), 1))
+        picked = np.sort(order[:, :near], axis=1)
+        rest = np.full(len(part), np.inf) if near == len(x) else np.take_along_axis(least, order[:, near:], axis=1).min(axis=1)
+        dist = _shared_distance(used[part][:, None, :], used[picked])
+        open_ = np.zeros(len(part), dtype=bool)
         for c in targets:
-            need = np.flatnonzero(missing[part, c])
-            if len(need):
+            lacks = np.where(missing[picked, c], np.inf, dist)
+            best = lacks.argmin(axis=1)
+            d = lacks[np.arange(len(part)), best]
+            need, sure = missing[part, c], d < rest
+            open_ |= need & ~sure
+            take = np.flatnonzero(need & sure)
+            origin[part[take], c], far[part[take], c] = picked[take, best[take]], d[take]
+        for i in part[open_]:
+            d = _shared_distance(used[i], used)
+            for c in targets[missing[i, targets] & (origin[i, targets] < 0)]:
                 donors = np.flatnonzero(~missing[:, c])
-                pick = donors[dist[np.ix_(need, donors)].argmin(axis=1)]
-                out[part[need], c] = x[pick, c]
-                origin[part[need], c] = pick
-                far[part[need], c] = dist[need, pick]
+                origin[i, c] = donors[d[donors].argmin()]
+                far[i, c] = d[origin[i, c]]
+    at, c = np.nonzero(origin >= 0)
+    out[at, c] = x[origin[at, c], c]
     return out, origin, far
 
 

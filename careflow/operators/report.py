@@ -76,9 +76,9 @@ def resampled_bins(
     """
     total = stays.count()
     p = min(most / max(total, 1), share)
-    s = F.col(stay)
-    picked = F.filter(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: hash_below(p, s, r, seed))
-    rows = spread(stays.select(stay, value, outcome)).withColumn("replicate", F.explode(picked)).withColumn("bin", F.explode(closed_bins(F.col(value), low, width, n)))
+    every = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
+    drawn = spread(stays.select(stay, value, outcome)).withColumn("replicate", every).filter(hash_below(p, F.col(stay), F.col("replicate"), seed))
+    rows = drawn.withColumn("bin", F.explode(closed_bins(F.col(value), low, width, n)))
     return rows.groupBy("replicate", "bin").agg(
         F.count(F.lit(1)).alias("n"), F.avg(outcome).alias("mean"), F.stddev_pop(outcome).alias("std"),
     )
