@@ -52,7 +52,8 @@ ms AS (SELECT model, avg(wis) AS mean, quantile_cont(wis, 0.01) AS q01, quantile
 @query("ensemble_counts", "MD4 MD5 AG15", f"WITH {_COUNTS} SELECT model, state, CAST(action AS INT) AS action, CAST(next_state AS INT) AS next_state, n, pair, round(n / pair, 6) AS p FROM cnt")
 def ensemble_counts(spark, sf):
     visits, hot = _visits(spark, sf)
-    counts = ensemble.transition_counts(visits, ensemble.parts(visits, _MODELS), _STATES, hot=hot)
+    members = cut_lineage(ensemble.parts(visits, _MODELS), "parts")
+    counts = ensemble.transition_counts(visits, members, _STATES, hot=hot)
     return counts.select(*ensemble.MSA, "next_state", "n", "pair", F.round(F.col("n") / F.col("pair"), 6).alias("p"))
 
 
