@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from careflow.functions.scalar import hash_below, hash_order, hash_unit
 from careflow.operators.scan import (
@@ -15,6 +19,10 @@ from careflow.operators.scan import (
 from careflow.session import cut_lineage, spread
 
 SMALLEST = 1e-100
+#: Standard deviations around a sample's expected cut within which stays are ranked one by one.
+REACH = 4.0
+#: Stays whose hashes a task holds at a time.
+SLAB = 256
 
 
 def future_returns(
@@ -283,6 +291,91 @@ def _samples_by(ratios: DataFrame, replicates: int, share: float, most: int, see
     return picked.select(*ratios.columns, "replicate")
 
 
+def _cut_pass(replicates: int, seed: str, stay: str, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Packed stays in; out come sums of the stays surely in each sample, one row a group and replicate, and one row for each stay near a cut."""
+    sums = ["n", "known", "positive", "rho", "gain"]
+    ends = [f"{r}|{seed}".encode() for r in range(replicates)]
+
+    def table(group, replicate, near, values, stays=None) -> pa.RecordBatch:
+        cols = {"__group": group, "replicate": replicate, "__near": np.full(len(group), near), **dict(zip(sums, values)), stay: stays}
+        cols[stay] = pa.nulls(len(group), schema.field(stay).type) if stays is None else stays
+        return pa.RecordBatch.from_arrays([x.cast(f.type) if isinstance(x := cols[f.name], pa.Array) else pa.array(x.astype(f.type.to_pandas_dtype())) for f in schema], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLAB):
+                part = batch.slice(at, SLAB)
+                digests = b"".join([md5(name + end, usedforsecurity=False).digest() for name in part.column("__name").cast("binary").to_pylist() for end in ends])
+                unit = np.frombuffer(digests, ">u4")[::4].reshape(part.num_rows, replicates) / 4294967296.0
+                packed = part.column("__in")
+                row = np.repeat(np.arange(part.num_rows), packed.value_lengths().to_numpy())
+                x = {f.name: v.to_numpy(zero_copy_only=False) for f, v in zip(packed.type.value_type, packed.flatten().flatten())}
+                weights = np.stack([np.ones(len(row)), x["known"], x["known"] & (x["rho"] > 0), x["rho"], x["gain"]]).astype(np.float64)
+                order = np.argsort(x["group"], kind="stable")
+                for mine in np.split(order, np.flatnonzero(np.diff(x["group"][order])) + 1):
+                    g, own, w = int(x["group"][mine[0]]), unit[row[mine]], weights[:, mine]
+                    below = own < x["low"][mine[0]]
+                    add = w @ below if np.isfinite(w).all() else np.where(below, w[:, :, None], 0.0).sum(axis=1)
+                    total[g] = total[g] + add if g in total else add
+                    i, r = np.nonzero(~below & (own <= x["high"][mine[0]]))
+                    if len(i):
+                        yield table(np.full(len(i), g), r, True, w[:, i], part.column(stay).take(pa.array(row[mine][i])))
+        for g, add in total.items():
+            yield table(np.full(replicates, g), np.arange(replicates), False, add)
+
+    return run
+
+
+def bootstrap_values(
+    ratios: DataFrame, replicates: int = 750, share: float = 0.75, most: int = 25_000, seed: str = "boot",
+    stay: str = "icustayid", by: Sequence[str] = ("model",),
+) -> DataFrame:
+    """`weighted_value` of each group and replicate of `bootstrap_samples`, the same samples without a row for each of their stays.
+
+    A sample is its lowest hashes, and nearly all stays are clearly below or above its cut: tasks add up those below, and
+    only the stays within `REACH` standard deviations of the expected cut are ranked, so the rows made grow with the root
+    of the sample. A sample whose cut is not there has all its stays ranked. Every group has one row a stay, `g` is not null;
+    a task holds sums for each group and replicate.
+    """
+    by, n, pair = list(by), F.col("__n"), ["__group", "replicate"]
+    size = F.least(F.lit(most), F.floor(n * share))
+    off = REACH * F.sqrt(size / n * (1 - size / n) / n) + 8 / n
+    totals = ratios.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).select(*by, size.alias("__size"), (size / n - off).alias("__low"), (size / n + off).alias("__high"))
+    groups = cut_lineage(number_rows(cut_lineage(totals, "totals"), by, "__group"), "groups")
+    known = F.col("rho").isNotNull()
+    placed = join_null_safe(ratios, groups, by).select(
+        "__group", stay, "__low", "__high", "__size", known.alias("known"), F.coalesce("rho", F.lit(0.0)).alias("rho"),
+        F.when(known, F.col("rho") * F.col("g")).otherwise(0.0).alias("gain"),
+    )
+    one = F.struct(F.col("__group").alias("group"), F.col("__low").alias("low"), F.col("__high").alias("high"), "known", "rho", "gain")
+    packed = spread(placed.groupBy(stay).agg(F.collect_list(one).alias("__in"))).withColumn("__name", F.concat_ws("|", F.col(stay).cast("string"), F.lit("")))
+    kind = ratios.schema[stay].dataType
+    ddl = f"__group long, replicate int, __near boolean, n long, known long, positive long, rho double, gain double, `{stay}` {kind.simpleString()}"
+    schema = to_arrow_schema(packed.select(F.col(stay)).schema)
+    numbers = [("__group", pa.int64()), ("replicate", pa.int32()), ("__near", pa.bool_()), *[(c, pa.int64()) for c in ("n", "known", "positive")], ("rho", pa.float64()), ("gain", pa.float64())]
+    parts = cut_lineage(packed.mapInArrow(_cut_pass(replicates, seed, stay, pa.schema([*numbers, schema.field(0)])), ddl), "cuts")
+    added = [F.sum(c).alias(c) for c in ("n", "known", "positive", "rho", "gain")]
+    sure = parts.filter(~F.col("__near")).groupBy(*pair).agg(*added)
+    near = parts.filter("__near")
+    wanted = groups.select("__group", "__size").crossJoin(ratios.sparkSession.range(replicates).select(F.col("id").cast("int").alias("replicate")))
+    wanted = wanted.join(sure.select(*pair, "n"), pair, "left").join(near.groupBy(*pair).agg(F.count(F.lit(1)).alias("__at")), pair, "left")
+    need = F.col("__size") - F.coalesce("n", F.lit(0))
+    wanted = cut_lineage(wanted.select(*pair, "__size", need.alias("__need"), F.coalesce("__at", F.lit(0)).alias("__at")), "wanted")
+    missed = (F.col("__need") < 0) | (F.col("__need") > F.col("__at"))
+    w = Window.partitionBy(*pair).orderBy(hash_order(F.col(stay), F.col("replicate"), seed), F.col(stay))
+    ranked = near.repartition(*pair).withColumn("__k", F.row_number().over(w)).join(wanted.filter(~missed), pair).filter(F.col("__k") <= F.col("__need"))
+    columns = [*pair, "known", "positive", "rho", "gain"]
+    used = sure.join(wanted.filter(~missed), pair, "left_semi").select(*columns).unionByName(ranked.select(*columns))
+    again = wanted.filter(missed).select(*pair)
+    if not again.isEmpty():
+        whole = placed.join(again, "__group").withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= F.col("__size"))
+        used = used.unionByName(whole.withColumns({"positive": (F.col("known") & (F.col("rho") > 0)).cast("long"), "known": F.col("known").cast("long")}).select(*columns))
+    out = used.groupBy(*pair).agg(*added[1:]).filter("known > 0")
+    named = out.join(groups.select("__group", *by), "__group")
+    return named.select(*by, "replicate", F.try_divide("gain", "rho").alias("wis"), "positive")
+
+
 def bernoulli_samples(
     ratios: DataFrame, replicates: int, most: int = 25_000, share: float = 0.75, seed: str = "boot", stay: str = "icustayid",
 ) -> DataFrame:

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from careflow import session
 from careflow.operators import clusters, dataset, ensemble, mdp, ope
 from careflow.sources import io
 
@@ -86,3 +87,20 @@ def test_states_of_all_models_in_one_pass(spark):
     for m, fit in enumerate(fits):
         same(out.filter("id <> 7").select("id", F.get("states", F.lit(m)).alias("s")), clusters.assign(rows, fit, ["x", "y"], "s").filter("id <> 7"), ["id"], "s")
     assert out.filter("id = 7").first()["states"] is None
+
+
+@pytest.mark.parametrize("reach", [ope.REACH, 0.0])
+def test_bootstrap_values_are_those_of_the_samples_with_few_rows_ranked(spark, monkeypatch, reach):
+    monkeypatch.setattr(ope, "REACH", reach)
+    made = []
+    monkeypatch.setattr(ope, "cut_lineage", lambda df, name: made.append((name, session.cut_lineage(df, name))) or made[-1][1])
+    rng = np.random.default_rng(3)
+    rows = [(m, s, None if s % 11 == 0 else float(rng.exponential()), float(rng.choice([-90, 80]))) for m in (0, 1, None) for s in range(1500) if (s + (m or 0)) % 3]
+    ratios = spark.createDataFrame(rows, "model int, icustayid long, rho double, g double")
+    want = ope.weighted_value(ope.bootstrap_samples(ratios, 40, most=600, by=["model"]), ["model", "replicate"])
+    got = ope.bootstrap_values(ratios, 40, most=600, by=["model"])
+    assert got.columns == want.columns
+    a, b = (d.withColumn("model", F.coalesce("model", F.lit(-1))).toPandas().sort_values(["model", "replicate"]) for d in (got, want))
+    assert len(a) == 120 and (a[["model", "replicate", "positive"]].to_numpy() == b[["model", "replicate", "positive"]].to_numpy()).all()
+    np.testing.assert_allclose(a["wis"], b["wis"], rtol=1e-9)
+    assert dict(made)["cuts"].filter("__near").count() < 0.2 * 40 * len(rows)
