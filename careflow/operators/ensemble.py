@@ -16,14 +16,22 @@ from pyspark.sql import functions as F
 
 from careflow.functions.scalar import hash_below
 from careflow.operators import mdp, ope
-from careflow.operators.scan import following, scan
-from careflow.session import cut_lineage
+from careflow.operators.scan import find_hot, following, scan
+from careflow.session import cut_lineage, hot_rows
 from careflow.sources import io
 
 MS = ["model", "state"]
 MSA = ["model", "state", "action"]
 #: Models x states up to which values and policies are broadcast to the transitions; beyond it they are joined.
 BROADCAST_CELLS = 1_000_000
+#: Rows times models that a task holds while it finds a stay's different steps.
+TASK_CELLS = 4_000_000
+
+
+def by_stay(rows: DataFrame, models: int, stay: str = "icustayid") -> DataFrame:
+    """Rows dealt by stay into so many parts that a task meets about `TASK_CELLS` rows times models, whatever the size of the table."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-rows.count() * models // TASK_CELLS)), stay)
 
 
 def parts(stays: DataFrame, models: int, share: float = 0.8, stay: str = "icustayid") -> DataFrame:
@@ -215,15 +223,16 @@ def train(
 ) -> dict[str, DataFrame]:
     """All models: counts, transitions, Q, policies, bootstrapped values on each model's own held-out stays, and the choice among them."""
     members = cut_lineage(parts(visits, models, share), "parts")
-    counts = cut_lineage(transition_counts(visits, members, n_states, threshold, hot), "counts")
+    hot = find_hot(visits, ["icustayid"], "bloc", hot_rows(visits.sparkSession)) if hot is None else hot
+    rows = visits if hot else by_stay(visits, models)
+    counts = cut_lineage(transition_counts(rows, members, n_states, threshold, hot), "counts")
     p = transition_model(counts)
     _, q, _ = policy_iteration(p, expected_reward(p, n_states, reward), models, n_states + 2, n_actions, gamma, tolerance=tolerance)
     policies = cut_lineage(soft_policies(q, clinician_policy(counts), n_states, n_actions, epsilon), "policies")
     out = {"counts": counts, "q": q, "policies": policies}
     for side, on in (("", "test"), ("train_", "train")):
         ratios = cut_lineage(judged_ratios(visits, members, policies, gamma, reward, on), f"{side}ratios")
-        samples = ope.bootstrap_samples(ratios, replicates, bootstrap_share, most, by=["model"])
-        wis = cut_lineage(ope.weighted_value(samples, ["model", "replicate"]), f"{side}wis")
+        wis = cut_lineage(ope.bootstrap_values(ratios, replicates, bootstrap_share, most, by=["model"]), f"{side}wis")
         stats = cut_lineage(ope.replicate_stats(wis, "wis", ["model"]), f"{side}stats")
         out |= {f"{side}ratios": ratios, f"{side}wis": wis, f"{side}stats": stats}
     return {**out, "choice": ope.pick_models(out["stats"])}

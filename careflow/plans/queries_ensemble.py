@@ -8,7 +8,7 @@ from careflow.operators import ensemble, ope, scan
 from careflow.plans.queries_clean import rounded
 from careflow.plans.queries_model import sig, sig_sql
 from careflow.plans.registry import query
-from careflow.plans.standins import TRAJECTORIES, large_stays, trajectories, unit_hash
+from careflow.plans.standins import TRAJECTORIES, large_stays, measurements, trajectories, unit_hash
 from careflow.session import cut_lineage, scratch_path
 from careflow.sources import io
 
@@ -18,7 +18,8 @@ _MODELS, _STATES, _ACTIONS, _GAMMA, _REPLICATES = 100, 10, 5, 0.9, 750
 def _visits(spark, sf):
     """States of 100 models: model m cuts the value at edges moved down by m / 4."""
     hot = large_stays(spark, sf)
-    rows = trajectories(spark, sf, hot).withColumnRenamed("stay", "icustayid")
+    events = measurements(spark, sf)
+    rows = trajectories(spark, sf, hot, events if hot else ensemble.by_stay(events, _MODELS, "stay")).withColumnRenamed("stay", "icustayid")
     cut = F.transform(F.sequence(F.lit(0), F.lit(_MODELS - 1)), lambda m: F.least(F.lit(_STATES - 1), F.floor((F.col("v") + m / 4) / 50).cast("int")))
     return rows.select("icustayid", "bloc", cut.alias("states"), "action", "outcome"), scan.same_rows(hot)
 
@@ -78,7 +79,7 @@ def _judged(spark, sf):
     visits, members, counts, q = _q(spark, sf)
     policies = cut_lineage(ensemble.soft_policies(rounded(q, ["q"]), ensemble.clinician_policy(counts), _STATES, _ACTIONS), "policies")
     ratios = cut_lineage(ensemble.judged_ratios(visits, members, policies), "ratios")
-    wis = ope.weighted_value(ope.bootstrap_samples(ratios, _REPLICATES, by=["model"]), ["model", "replicate"])
+    wis = ope.bootstrap_values(ratios, _REPLICATES, by=["model"])
     stats = ope.replicate_stats(cut_lineage(wis, "wis"), "wis", ["model"])
     return policies, cut_lineage(stats, "stats")
 

@@ -94,9 +94,9 @@ def large_stays(spark: SparkSession, sf: str, lead: str = "id") -> int:
     return find_hot(measurements(spark, sf).select("stay", lead), ["stay"], lead, hot_rows(spark))
 
 
-def trajectories(spark: SparkSession, sf: str, hot: int | None = None) -> DataFrame:
+def trajectories(spark: SparkSession, sf: str, hot: int | None = None, events: DataFrame | None = None) -> DataFrame:
     """Visited states per stay: (stay, bloc from 1, state 0..9, action 0..4, outcome 0/1, v)."""
-    ev = measurements(spark, sf)
+    ev = measurements(spark, sf) if events is None else events
     numbered = scan(ev, ["stay"], ["id"], {"bloc": row_number()}, hot=hot)
     return numbered.select(
         "stay", "bloc", F.floor(F.col("v") / 50).cast("int").alias("state"),
