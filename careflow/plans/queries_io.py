@@ -10,7 +10,7 @@ from careflow.operators import bins, impute, joins, lineage, mdp, series, states
 from careflow.plans.queries_clean import rounded
 from careflow.plans.queries_model import counts
 from careflow.plans.registry import query
-from careflow.plans.standins import COUNTS, INTERVALS, MEASUREMENTS, STAYS, intervals, measurements, stays
+from careflow.plans.standins import COUNTS, INTERVALS, MEASUREMENTS, STAYS, intervals, large_stays, measurements, stays
 from careflow.session import load, scratch_path
 from careflow.sources import chunks, io
 
@@ -109,10 +109,10 @@ def record_files(spark, sf):
     time = F.concat_ws(":", F.lpad(h.cast("string"), F.greatest(F.length(h.cast("string")), F.lit(2)), F.lit("0")), F.lpad(m.cast("string"), 2, "0"))
     ev = measurements(spark, sf)
     lines = ev.select(F.col("stay").alias("record"), time.alias("Time"), F.concat(F.lit("p"), F.col("item").cast("string")).alias("Parameter"), F.col("v").alias("Value"))
-    lines.write.partitionBy("record").option("header", True).csv(f"{root}/files")
+    io.write_records(lines, f"{root}/files", hot=large_stays(spark, sf))
     out = ev.select("stay").distinct().select("stay", *[F.lit(0).alias(f"o{i}") for i in range(4)], (F.col("stay") % 2).alias("o4"))
     out.write.option("header", True).csv(f"{root}/outcomes")
-    records = io.read_records(spark, f"{root}/files", r"record=([^/]+)/").drop("record_dir")
+    records = io.read_records(spark, f"{root}/files", r"record=([^/.]+)[^/]*$")
     return rounded(records.select("record", "hours", "param", "value"), ["hours"]).join(io.read_outcomes(spark, f"{root}/outcomes"), "record", "left")
 
 

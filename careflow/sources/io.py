@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-
+import re
+from collections.abc import Iterator, Mapping, Sequence
+from itertools import groupby
+from operator import itemgetter
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +42,10 @@ RAW_TABLES = {
 }
 
 
+#: Characters that are escaped in file names: those Spark escapes in the names of partitions, and the dot that ends the id.
+_ESCAPED = r"""[\x01-\x1f"#%'*./:=?\\\x7f{\[\]^]"""
+
+
 def raw_schema(table: str) -> T.StructType:
     return T.StructType.fromDDL(RAW_TABLES[table])
 
@@ -149,6 +159,44 @@ def load_model(spark: SparkSession, path: str, tables: Sequence[str]) -> tuple[d
     return loaded, params
 
 
+def _record_pass(path: str, record: str, header: str):
+    """Lines sorted by record in, one file a record of the task written; out comes the number of files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(path)
+        store.create_dir(root)
+        part, open_name, out, files = TaskContext.get().partitionId(), None, None, 0
+        for batch in batches:
+            for name, group in groupby(zip(*(c.to_pylist() for c in batch.columns)), key=itemgetter(0)):
+                if name != open_name:
+                    if out is not None:
+                        out.close()
+                    file = re.sub(_ESCAPED, lambda m: f"%{ord(m[0]):02X}", name)
+                    out, open_name, files = store.open_output_stream(f"{root}/{record}={file}.{part:05d}.csv"), name, files + 1
+                    out.write(header.encode())
+                out.write("".join(f"{line}\n" for _, line in group).encode())
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})
+
+    return run
+
+
+def write_records(lines: DataFrame, path: str, record: str = "record", hot: int = 0) -> None:
+    """Write `lines` as text with a header, one file `record=<id>.<number>.csv` a record, which its task writes in place; a new folder that pyarrow can open.
+
+    All files are in one folder, which is listed at once. A record of null is named as Spark names such a partition. With a record too large for one task (`hot`) its rows stay
+    where they are, in several files. A task that is repeated writes the same files again.
+    """
+    spark, columns = lines.sparkSession, [c for c in lines.columns if c != record]
+    name = F.coalesce(F.nullif(F.col(record).cast("string"), F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    rows = lines.select(name.alias(record), F.to_csv(F.struct(*columns)).alias("line"))
+    if not hot:
+        rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), record)
+    where = path if "://" in path or not path.startswith("file:") else "file://" + path.removeprefix("file:")
+    rows.sortWithinPartitions(record).mapInArrow(_record_pass(where, record, ",".join(columns) + "\n"), "files long").agg(F.sum("files")).collect()
+
+
 def read_records(spark: SparkSession, path: str, record: str = r"([^/.]+)[^/]*$") -> DataFrame:
     """One text file per record with lines `HH:MM,param,value`: `(record, hours, param, value)`.
 

@@ -67,6 +67,21 @@ def test_record_files(spark, tmp_path):
     assert io.read_outcomes(spark, str(tmp_path / "outcomes.txt")).first().label == 1.0
 
 
+def test_written_records_are_one_file_each(spark, tmp_path):
+    rows = [(i % 7 if i % 50 else None, f"{i:02d}:30", "p,1" if i % 3 else None, i / 4 if i % 5 else None) for i in range(300)]
+    lines = spark.createDataFrame(rows, "record long, Time string, Parameter string, Value double").repartition(6)
+    io.write_records(lines, str(tmp_path / "new"))
+    lines.write.partitionBy("record").option("header", True).csv(str(tmp_path / "spark"))
+    name = r"record=([^/.]+)"
+    new, old = (io.read_records(spark, str(tmp_path / d), name) for d in ("new", "spark"))
+    new, old = (d.select("record", "hours", "param", "value") for d in (new, old))
+    assert len(list((tmp_path / "new").rglob("*.csv"))) == 8 < len(list((tmp_path / "spark").rglob("*.csv")))
+    key = lambda r: str(tuple(r))
+    assert sorted(map(key, new.collect())) == sorted(map(key, old.collect())) and new.count() > 190
+    io.write_records(lines, str(tmp_path / "hot"), hot=300)
+    assert io.read_records(spark, str(tmp_path / "hot"), name).count() == new.count()
+
+
 def test_comorbidity_rules(spark):
     # A whole code "C1" equals the two-character entry of the three-character list.
     d = spark.createDataFrame([
