@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from careflow import constants as C
@@ -11,7 +10,7 @@ from careflow.plans.queries_clean import rounded
 from careflow.plans.queries_model import counts
 from careflow.plans.registry import query
 from careflow.plans.standins import COUNTS, INTERVALS, MEASUREMENTS, STAYS, intervals, large_stays, measurements, stays
-from careflow.session import load, scratch_path
+from careflow.session import cut_lineage, load, scratch_path
 from careflow.sources import chunks, io
 
 
@@ -56,9 +55,9 @@ def capped_files(spark, sf):
     """Every interval, from files of at most 1000 rows."""
     path = scratch_path(spark, "capped")
     io.write_table(intervals(spark, sf).select("stay", "start", "item"), path, records_per_file=1000)
-    rows = spark.read.parquet(path)
-    return rows.withColumn("file", F.col("_metadata.file_path")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("file"))).select(
-        "stay", "start", "item", (F.col("n") <= 1000).cast("int").alias("small_files"))
+    rows = spark.read.parquet(path).withColumn("file", F.col("_metadata.file_path"))
+    over = cut_lineage(rows.groupBy("file").agg(F.count(F.lit(1)).alias("n")).filter("n > 1000"), "over")
+    return rows.join(over, "file", "left").select("stay", "start", "item", F.col("n").isNull().cast("int").alias("small_files"))
 
 
 @query("prefixed_files", "SRC7 ST1", f"WITH {MEASUREMENTS} SELECT stay AS icustayid, t AS charttime, CAST(item AS BIGINT) AS itemid, v AS valuenum FROM ev")

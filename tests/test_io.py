@@ -82,6 +82,13 @@ def test_written_records_are_one_file_each(spark, tmp_path):
     assert io.read_records(spark, str(tmp_path / "hot"), name).count() == new.count()
 
 
+def test_capped_files_are_read_without_a_shuffle_of_rows(spark):
+    from careflow.plans.queries_io import capped_files
+
+    plan = capped_files(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Window" not in plan and "Exchange hashpartitioning" not in plan
+
+
 def test_comorbidity_rules(spark):
     # A whole code "C1" equals the two-character entry of the three-character list.
     d = spark.createDataFrame([
