@@ -21,6 +21,11 @@ from careflow.session import cut_lineage, spread
 
 #: Rows of a batch that meet the centres of one start at a time.
 SLAB = 2048
+#: Rows of a block that meets only the centres in reach of its box, and the most features for which boxes rule out enough.
+BLOCK = 250
+BLOCK_DIMS = 8
+#: Rows times features that are put into blocks together.
+CHUNK_CELLS = 4_000_000
 #: Passes that gather candidates for the first centres, each of 2 * k rows.
 SEED_PASSES = 3
 
@@ -48,12 +53,62 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return state, (off * off).sum(axis=1)
 
 
+def in_blocks(x: np.ndarray, rows: int) -> np.ndarray:
+    """Order of rows in which each run of about `rows` is close together: halves along the widest feature, again and again."""
+    out, todo = [], [np.arange(len(x))]
+    while todo:
+        mine = todo.pop()
+        if len(mine) <= rows:
+            out.append(mine)
+            continue
+        own = x[mine]
+        half = rows * (-(-len(mine) // rows) // 2)
+        cut = np.argpartition(own[:, np.ptp(own, axis=0).argmax()], half)
+        todo += [mine[cut[half:]], mine[cut[:half]]]
+    return np.concatenate(out)
+
+
+def in_reach(low: np.ndarray, high: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Centres that may be nearest to a point of the box: all but those that another centre beats in every corner. A centre with NaN keeps all."""
+    rival = centres[((centres - (low + high) / 2) ** 2).sum(axis=1).argmin()]
+    corner = np.where(centres > rival, high, low)
+    mine, other = ((centres - corner) ** 2).sum(axis=1), ((rival - corner) ** 2).sum(axis=1)
+    return np.flatnonzero(~(mine > other * (1 + 1e-9) + 1e-300))
+
+
 def complete(features: Sequence[str]) -> Column:
     """True where every feature is a finite number."""
     x = [F.col(c).cast("double") for c in features]
     return reduce(lambda a, b: a & b, [c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in x])
 
 
+def _nearest_in(boxes: list[tuple[np.ndarray, np.ndarray, np.ndarray]], centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`nearest` of blocks of rows with their bounds; a block meets only the centres in reach of its box."""
+    found = []
+    for rows, low, high in boxes:
+        near = in_reach(low, high, centres)
+        state, far = nearest(rows, centres[near])
+        found.append((near[state], far))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _block_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of a task in blocks of near ones, as many at a time as `CHUNK_CELLS` allows."""
+
+    def ordered(held: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(held, ignore_index=True)
+        return rows.iloc[in_blocks(rows.to_numpy(dtype=np.float64), BLOCK)]
+
+    held, cells = [], 0
+    for batch in batches:
+        held, cells = [*held, batch], cells + batch.size
+        if cells >= CHUNK_CELLS:
+            yield ordered(held)
+            held, cells = [], 0
+    if held:
+        yield ordered(held)
+
+
 def _sum_pass(shared) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Rows in, one row per start and centre that has rows: count, cost, and sum of each feature."""
 
@@ -63,8 +118,10 @@ def _sum_pass(shared) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFram
         total = np.zeros((starts * k, dims + 2))
         for batch in batches:
             rows = batch.to_numpy(dtype=np.float64)
+            ends = list(range(0, len(rows), BLOCK)) if dims <= BLOCK_DIMS else [0]
+            boxes = [(rows[a:b], rows[a:b].min(axis=0), rows[a:b].max(axis=0)) for a, b in zip(ends, [*ends[1:], len(rows)])]
             for s in range(starts):
-                state, far = nearest(rows, live[s])
+                state, far = _nearest_in(boxes, live[s]) if dims <= BLOCK_DIMS else nearest(rows, live[s])
                 own = total[s * k:(s + 1) * k]
                 own[:, 0] += np.bincount(state, minlength=k)
                 own[:, 1] += np.bincount(state, weights=far, minlength=k)
@@ -164,7 +221,10 @@ def fit(
     part = df.filter(complete(features))
     if share < 1:
         part = part.filter(hash_below(share, *[F.col(c) for c in row_key], str(seed))) if row_key else part.sample(share, seed)
-    points = cut_lineage(spread(part.select(*[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(features)])), "points")
+    points = spread(part.select(*[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(features)]))
+    if len(features) <= BLOCK_DIMS:
+        points = points.mapInPandas(_block_pass, points.schema)
+    points = cut_lineage(points, "points")
     if initial is None:
         centres = _first_centres(points, len(features), k, starts, seed)
     else:

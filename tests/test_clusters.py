@@ -54,3 +54,19 @@ def test_copies_do_not_crowd_out_first_centres(spark):
     rows = [(1.0, 1.0)] * 900 + [(float(i), float(i % 7)) for i in range(100, 140)]
     got = clusters.fit(spark.createDataFrame(rows, "x double, y double"), ["x", "y"], k=41, share=1, starts=2)
     assert len(got.centres) == 41 and got.cost == 0
+
+
+def test_blocks_meet_few_centres_and_find_the_nearest():
+    rng = np.random.default_rng(2)
+    x, centres = rng.uniform(size=(60_000, 4)), rng.uniform(size=(300, 4))
+    x[:5000] = x[0]
+    order = clusters.in_blocks(x, clusters.BLOCK)
+    assert sorted(order) == list(range(len(x)))
+    x = x[order]
+    blocks = [x[a:a + clusters.BLOCK] for a in range(0, len(x), clusters.BLOCK)]
+    boxes = [(b, b.min(axis=0), b.max(axis=0)) for b in blocks]
+    got, want = clusters._nearest_in(boxes, centres), clusters.nearest(x, centres)
+    assert (got[0] == want[0]).all() and np.allclose(got[1], want[1])
+    assert np.mean([len(clusters.in_reach(lo, hi, centres)) for _, lo, hi in boxes]) < 100
+    centres[7, 2] = np.nan
+    assert (clusters._nearest_in(boxes[:3], centres)[0] == clusters.nearest(np.concatenate(blocks[:3]), centres)[0]).all()
