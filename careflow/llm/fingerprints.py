@@ -125,8 +125,8 @@ def fingerprint_edits(
     next document).
 
     The lexicon is counted once over all documents; with more than `most_terms` terms it is a table that the terms of the texts
-    are joined to, with the same rows as result. Texts are shuffled once by id; beside them only the needed heads of the
-    next documents, with their part hashes, move.
+    are joined to, with the same rows as result. A text's part hashes are made once, before it is shuffled by id, and go with it;
+    beside the texts only the needed heads of the next documents, with those hashes, move.
 
     A null text is empty. Null ids come last. Rows that share an id come in descending order of a hash of the text, and
     rows that share both are one document with one answer. Other columns are ignored. An empty table gives no rows.
@@ -141,14 +141,17 @@ def fingerprint_edits(
     third = F.floor(F.col("n_chars") / 3).cast("int")
     wanted = cut_lineage(after.select(F.col("id").alias("to_id"), F.col("tie").alias("to_tie"), F.col("next_id").alias("id"), F.col("next_tie").alias("tie"), third.alias("k")), "wanted")
 
-    dealt = whole.repartition("id", "tie")
-    followers = with_parts(dealt.dropDuplicates(["id", "tie"]).join(wanted, ["id", "tie"]), lex, "text", "next_parts")
+    if isinstance(lex, Lexicon):
+        dealt = with_parts(whole, lex, "text", "own").repartition("id", "tie")
+    else:
+        dealt = with_parts(whole.repartition("id", "tie"), lex, "text", "own")
+    followers = dealt.dropDuplicates(["id", "tie"]).join(wanted, ["id", "tie"])
     heads = followers.select(
-        F.col("to_id").alias("id"), F.col("to_tie").alias("tie"), F.col("k"), F.substring("text", F.lit(1), F.col("k")).alias("head"), "next_parts",
+        F.col("to_id").alias("id"), F.col("to_tie").alias("tie"), F.col("k"), F.substring("text", F.lit(1), F.col("k")).alias("head"), F.col("own").alias("next_parts"),
         F.md5(F.col("text").cast("binary")).alias("next_md5"))
     joined = dealt.join(heads, ["id", "tie"]).withColumn("n_chars", F.length("text").cast("long"))
     edited = joined.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.col("k")).cast("int")), "head"))
-    hashed = with_parts(with_parts(edited, lex, "text", "own"), lex, "edited", "other").select(
+    hashed = with_parts(edited, lex, "edited", "other").select(
         "id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", "other", "next_parts", "next_md5",
         F.md5(F.col("text").cast("binary")).alias("m"), F.md5(F.col("edited").cast("binary")).alias("e"))
 

@@ -179,6 +179,14 @@ def test_fingerprints_of_a_lexicon_over_the_plan_constant(spark):
     assert sorted(map(tuple, fingerprint_edits(docs, most_terms=50).collect())) == sorted(map(tuple, fingerprint_edits(docs).collect()))
 
 
+def test_fingerprints_hash_a_whole_text_once(spark):
+    """One split of the whole texts in the plan that ran: next documents take the part hashes that texts have brought along."""
+    found = fingerprint_edits(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert found.collect()
+    ran = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Final Plan" in ran and ran.count("split(lower(text") == 1 and ran.count("split(lower(edited") == 1
+
+
 def test_fingerprints_tell_near_from_far(spark):
     rows = QUERIES["op5_fingerprints"](spark, "/root/testdata/sf0.01").collect()
     near, far = sum(r["near_edited"] for r in rows) / len(rows), sum(r["near_next"] for r in rows) / len(rows)
