@@ -12,16 +12,18 @@ from pyspark.sql import functions as F
 from careflow.llm.text import WordHash, longs, mix, raw
 from careflow.session import cut_lineage
 
-#: Documents of a block, documents of a shard, and queries and query terms that are sent to the shards at once.
+#: Documents of a block, documents of a shard (65,536 at most, as members are two bytes), and queries and query terms that are sent to the shards at once.
 BLOCK, SHARD, QUERIES, TERMS = 32, 8192, 4096, 4_000_000
 #: Room for rounding in bounds.
 SLACK = 1e-9
+#: The share of the floor that the lists which are only bounded may make up. The larger it is, the fewer lists are read, and the more documents are scored.
+BOUNDED = 0.1
 INDEX_SQL = "shard long, n_docs long, n_words long, docs binary, lengths binary, terms binary, starts binary, members binary, counts binary"
 NAMES = ["shard", "n_docs", "n_words", "docs", "lengths", "terms", "starts", "members", "counts"]
 
 
 def _build(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Inverted lists of up to `SHARD` documents at a time: term hashes in order, and for each its documents and how often they hold it."""
+    """Inverted lists of up to `SHARD` documents at a time: term hashes in order, and for each its documents and how often they hold it, in the fewest bytes that do."""
     hashes = WordHash()
     ids: list[int] = []
     words: list[np.ndarray] = []
@@ -31,8 +33,10 @@ def _build(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = [words[i] for i in order]
         lengths = np.array([len(w) for w in each], np.int32)
         flat = np.concatenate(each)
-        doc = np.repeat(np.arange(len(each), dtype=np.int32), lengths)
-        by = np.lexsort((doc, flat))
+        each.clear()
+        words.clear()
+        doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        by = np.argsort(flat, kind="stable")
         flat, doc = flat[by], doc[by]
         new = np.flatnonzero(np.r_[True, (flat[1:] != flat[:-1]) | (doc[1:] != doc[:-1])])
         counts = np.diff(np.r_[new, len(flat)]).astype(np.int32)
@@ -41,7 +45,7 @@ def _build(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs = np.array(ids, np.int64)[order]
         number = int(mix(docs[:1].view(np.uint64) + np.uint64(len(docs)))[0] >> np.uint64(1))
         row = [number, len(docs), int(lengths.sum()), docs.tobytes(), lengths.tobytes(), flat[first].tobytes(), np.r_[first, len(flat)].astype(np.int32).tobytes(),
-               doc.tobytes(), counts.tobytes()]
+               doc.astype(np.uint16).tobytes(), counts.astype(np.min_scalar_type(counts.max())).tobytes()]
         return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if isinstance(v, int) else pa.binary()) for v in row], names=NAMES)
 
     for part in parts:
@@ -74,32 +78,45 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """A shard ready for queries: impacts of all postings by term and by document, and for each term its blocks with their largest impact."""
+    """A shard ready for queries: impacts of all postings, their order by document, and for each term of a longer list its blocks with their largest impact."""
 
     def __init__(self, row: dict, mean_length: float, k1: float, b: float):
         self.docs, lengths = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["lengths"], np.int32)
         self.terms, self.starts = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["starts"], np.int32).astype(np.int64)
-        self.member, counts = np.frombuffer(row["members"], np.int32), np.frombuffer(row["counts"], np.int32).astype(float)
-        self.impact = counts * (k1 + 1) / (counts + k1 * (1 - b + b * lengths[self.member] / mean_length))
+        self.member = np.frombuffer(row["members"], np.uint16)
+        counts = np.frombuffer(row["counts"], f"u{2 * len(row['counts']) // len(row['members'])}")
+        self.impact = (k1 * (1 - b + b * lengths / mean_length))[self.member]
+        self.impact += counts
+        np.divide(counts * (k1 + 1), self.impact, out=self.impact)
         self.sizes = np.diff(self.starts)
-        term = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.sizes)
+        self.term = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.sizes)
         self.weight = np.zeros(len(self.terms))
         self.term_most = np.maximum.reduceat(self.impact, self.starts[:-1])
 
-        block = self.member // BLOCK
-        cut = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (term[1:] != term[:-1])])
-        self.block, self.most = block[cut], np.maximum.reduceat(self.impact, cut)
-        self.block_starts = np.searchsorted(cut, self.starts)
+        self.short = max(BLOCK, len(self.docs) // 50)
+        n_blocks = np.zeros(len(self.terms), np.int64)
+        blocks, most = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for term in np.flatnonzero(self.sizes > self.short).tolist():
+            own = slice(self.starts[term], self.starts[term + 1])
+            block = self.member[own] // BLOCK
+            cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+            n_blocks[term] = len(cut)
+            blocks.append(block[cut].astype(np.int64))
+            most.append(np.maximum.reduceat(self.impact[own], cut))
+        self.block, self.most, self.block_starts = np.concatenate(blocks), np.concatenate(most), np.r_[0, np.cumsum(n_blocks)]
         self.block_of = np.arange(len(self.docs)) // BLOCK
 
-        by_doc = np.argsort(self.member, kind="stable")
-        self.own_terms, self.own_impacts = term[by_doc], self.impact[by_doc]
+        self.by_doc = np.argsort(self.member, kind="stable").astype(np.int32)
         self.own_starts = np.r_[0, np.cumsum(np.bincount(self.member, minlength=len(self.docs)))]
 
     def _add(self, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Weighted impacts of whole lists, added up by document."""
-        posting = _ranges(self.starts[at], self.sizes[at])
-        return np.bincount(self.member[posting], np.repeat(weights, self.sizes[at]) * self.impact[posting], len(self.docs)).astype(float)
+        if not len(at):
+            return np.zeros(len(self.docs))
+        lists = [slice(a, b) for a, b in zip(self.starts[at].tolist(), self.starts[at + 1].tolist())]
+        impact = np.concatenate([self.impact[each] for each in lists])
+        impact *= np.repeat(weights, self.sizes[at])
+        return np.bincount(np.concatenate([self.member[each] for each in lists]), impact, len(self.docs))
 
     def _reached(self, summed: np.ndarray, k: int) -> float:
         """A score that k documents reach for sure."""
@@ -109,7 +126,7 @@ class Shard:
         """Documents and scores of the shard's best k among those that score at least `floor`.
 
         Lists of rare terms are added up document by document; the k-th largest such sum is a score that k documents reach, so
-        the floor rises to it. The longest lists whose largest impacts together make up half the floor are not read: a
+        the floor rises to it. The longest lists whose largest impacts together make up `BOUNDED` of the floor are not read: a
         document's sum over the others and the weighted maxima of these in its block bound its score. Documents are scored
         in full from the largest bound down, some at a time, until no bound reaches the k-th best score so far; ties at that
         score go to the smaller id, so equal bounds are scored.
@@ -119,12 +136,12 @@ class Shard:
         known[known] = self.terms[at[known]] == terms[known]
         at, weights = at[known], weights[known]
         sizes = self.sizes[at]
-        read = sizes <= max(BLOCK, len(self.docs) // 50)
+        read = sizes <= self.short
         summed = self._add(at[read], weights[read])
         floor = max(floor, self._reached(summed, k))
         longest = np.argsort(-sizes, kind="stable")
         bounded = np.zeros(len(at), bool)
-        bounded[longest] = np.cumsum((weights * self.term_most[at])[longest]) <= floor / 2
+        bounded[longest] = np.cumsum((weights * self.term_most[at])[longest]) <= floor * BOUNDED
         more = ~read & ~bounded
         if more.any():
             summed += self._add(at[more], weights[more])
@@ -146,8 +163,8 @@ class Shard:
             done += step
             step = min(2 * step, 1024)
             size = self.own_starts[chosen + 1] - self.own_starts[chosen]
-            own = _ranges(self.own_starts[chosen], size)
-            score = np.bincount(np.repeat(np.arange(len(chosen)), size), self.weight[self.own_terms[own]] * self.own_impacts[own], len(chosen))
+            own = self.by_doc[_ranges(self.own_starts[chosen], size)]
+            score = np.bincount(np.repeat(np.arange(len(chosen)), size), self.weight[self.term[own]] * self.impact[own], len(chosen))
             hit = (score > 0) & (score >= floor)
             ids, scores = np.r_[ids, self.docs[chosen[hit]]], np.r_[scores, score[hit]]
             best = np.lexsort((ids, -scores))[:k]
@@ -238,10 +255,14 @@ def search(index: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_co
 
             def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids, terms, weights, floors = sent.value
+
+                def tops(row: dict) -> list[tuple[np.ndarray, np.ndarray]]:
+                    shard = Shard(row, mean, k1, b)
+                    return [shard.top(t, w, k, f) for t, w, f in zip(terms, weights, floors)]
+
                 for part in parts:
-                    for row in part.to_pylist():
-                        shard = Shard(row, mean, k1, b)
-                        found = [shard.top(t, w, k, f) for t, w, f in zip(terms, weights, floors)]
+                    for at in range(part.num_rows):
+                        found = tops({name: part.column(name)[at].as_buffer() for name in NAMES[3:]})
                         n = [len(d) for d, _ in found]
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(np.repeat(ids, n)), pa.array(np.concatenate([d for d, _ in found])), pa.array(np.concatenate([s for _, s in found]))], names=["query_id", "doc_id", "score"])

@@ -6,6 +6,8 @@ import itertools
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from oracle_check import compare, connect
 from pyspark.sql import functions as F
@@ -246,6 +248,44 @@ def test_search_in_many_query_blocks(spark, monkeypatch):
     assert [r[3] for r in parts] == pytest.approx([r[3] for r in whole])
 
 
+def test_search_scores_few_documents(monkeypatch):
+    """Texts of common words: whatever share of the floor is bounded, the answers are the same; as it is set, few documents are scored beside them."""
+    from careflow.llm import search as module
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choices(words, [1 / (i + 1) for i in range(400)], k=150)) for _ in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["id", "text"])
+    (row,) = [r for part in module._build(iter([batch])) for r in part.to_pylist()]
+    shard = module.Shard(row, row["n_words"] / row["n_docs"], 1.2, 0.75)
+    df = shard.sizes
+    weight = np.log(1 + (3000 - df + 0.5) / (df + 0.5))
+    hashes, asked = module.WordHash(), []
+    for text in texts[::100]:
+        terms = np.unique(hashes.of(text.encode().split()))
+        asked.append((terms, weight[np.searchsorted(shard.terms, terms)]))
+
+    floors = [shard.top(t, w, 10, 0.0)[1][-1] for t, w in asked]
+
+    def scored():
+        """Answers, and the documents whose own terms were gone through."""
+        looked, plain = [0], module._ranges
+
+        def ranges(starts, lengths):
+            looked[0] += len(starts) if ranges.own(starts) else 0
+            return plain(starts, lengths)
+
+        ranges.own = lambda starts: len(starts) > 0 and bool(np.isin(starts, shard.own_starts).all())
+        monkeypatch.setattr(module, "_ranges", ranges)
+        out = [shard.top(t, w, 10, f) for (t, w), f in zip(asked, floors)]
+        monkeypatch.setattr(module, "_ranges", plain)
+        return [(d.tolist(), s.tolist()) for d, s in out], looked[0] / len(asked)
+
+    found, few = scored()
+    monkeypatch.setattr(module, "BOUNDED", 0.5, raising=False)
+    assert scored()[0] == found and few < 100
+
+
 def pages_by_loop(pages, rounds=12, damping=0.85):
     import re
 
