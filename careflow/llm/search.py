@@ -1,30 +1,44 @@
-"""Exact top-k search by BM25: an inverted index in shards, searched with block maxima."""
+"""Exact top-k search by BM25: an inverted index in shards, where common terms are matrix rows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from careflow.llm.text import WordHash, longs, mix, raw
+from careflow.llm.text import WordHash, hash_words, longs, mix, raw
 from careflow.session import cut_lineage
 
-#: Documents of a block, documents of a shard (65,536 at most, as members are two bytes), and queries and query terms that are sent to the shards at once.
-BLOCK, SHARD, QUERIES, TERMS = 32, 8192, 4096, 4_000_000
+#: Documents of a shard (65,536 at most, as members are two bytes), and queries and query terms that are sent to the shards at once.
+SHARD, QUERIES, TERMS = 8192, 8192, 4_000_000
+#: A term is common if more than one in `COMMON` documents of a shard holds it; the lists of up to `DENSE` of them are multiplied by `TOGETHER` queries at a time.
+COMMON, DENSE, TOGETHER = 24, 1024, 256
+#: Bytes of text that are hashed together.
+TEXT = 4_000_000
 #: Room for rounding in bounds.
 SLACK = 1e-9
-#: The share of the floor that the lists which are only bounded may make up. The larger it is, the fewer lists are read, and the more documents are scored.
-BOUNDED = 0.1
 INDEX_SQL = "shard long, n_docs long, n_words long, docs binary, lengths binary, terms binary, starts binary, members binary, counts binary"
 NAMES = ["shard", "n_docs", "n_words", "docs", "lengths", "terms", "starts", "members", "counts"]
 
 
+def _words(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """Id and word hashes of each text that has words, hashed for about `TEXT` bytes at a time."""
+    hashes = WordHash()
+    for part in parts:
+        ids, texts = longs(part.column(0)), [text or b"" for text in raw(part.column(1))]
+        cuts = np.flatnonzero(np.diff(np.cumsum([len(t) for t in texts]) // TEXT, prepend=0)).tolist()
+        for a, b in zip([0, *cuts], [*cuts, len(texts)]):
+            if a < b:
+                found, n = hash_words(texts[a:b], hashes)
+                yield from ((i, words) for i, words in zip(ids[a:b].tolist(), np.split(found, np.cumsum(n)[:-1])) if len(words))
+
+
 def _build(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Inverted lists of up to `SHARD` documents at a time: term hashes in order, and for each its documents and how often they hold it, in the fewest bytes that do."""
-    hashes = WordHash()
     ids: list[int] = []
     words: list[np.ndarray] = []
 
@@ -35,28 +49,28 @@ def _build(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = np.concatenate(each)
         each.clear()
         words.clear()
-        doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-        by = np.argsort(flat, kind="stable")
-        flat, doc = flat[by], doc[by]
-        new = np.flatnonzero(np.r_[True, (flat[1:] != flat[:-1]) | (doc[1:] != doc[:-1])])
-        counts = np.diff(np.r_[new, len(flat)]).astype(np.int32)
-        flat, doc = flat[new], doc[new]
-        first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+        terms = np.sort(flat)
+        terms = terms[np.r_[True, terms[1:] != terms[:-1]]]
+        # Sorted numbers of a term and a document: the hash without its last 16 bits is the term's number, unless that is the same for two terms.
+        doc = (flat >> 16 if (terms[1:] >> 16 != terms[:-1] >> 16).all() else np.searchsorted(terms, flat).astype(np.uint64)) << 16
+        doc |= np.repeat(np.arange(len(lengths), dtype=np.uint64), lengths)
+        doc.sort()
+        new = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        counts = np.diff(np.r_[new, len(doc)]).astype(np.int32)
+        doc = doc[new]
+        starts = np.flatnonzero(np.r_[True, doc[1:] >> 16 != doc[:-1] >> 16, True]).astype(np.int32)
         docs = np.array(ids, np.int64)[order]
         number = int(mix(docs[:1].view(np.uint64) + np.uint64(len(docs)))[0] >> np.uint64(1))
-        row = [number, len(docs), int(lengths.sum()), docs.tobytes(), lengths.tobytes(), flat[first].tobytes(), np.r_[first, len(flat)].astype(np.int32).tobytes(),
-               doc.astype(np.uint16).tobytes(), counts.astype(np.min_scalar_type(counts.max())).tobytes()]
+        row = [number, len(docs), int(lengths.sum()), docs.tobytes(), lengths.tobytes(), terms.tobytes(), starts.tobytes(),
+               (doc & 0xFFFF).astype(np.uint16).tobytes(), counts.astype(np.min_scalar_type(counts.max())).tobytes()]
         return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if isinstance(v, int) else pa.binary()) for v in row], names=NAMES)
 
-    for part in parts:
-        for i, text in zip(longs(part.column(0)).tolist(), raw(part.column(1))):
-            found = text.lower().split() if text else []
-            if found:
-                ids.append(i)
-                words.append(hashes.of(found))
-                if len(ids) >= SHARD or sum(map(len, words[-1:])) > 10 * TERMS:
-                    yield shard()
-                    ids, words = [], []
+    for i, found in _words(parts):
+        ids.append(i)
+        words.append(found)
+        if len(ids) >= SHARD or len(found) > 10 * TERMS:
+            yield shard()
+            ids, words = [], []
     if ids:
         yield shard()
 
@@ -74,104 +88,109 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The numbers start .. start + length - 1 of all ranges, one after another."""
     ends = np.cumsum(lengths)
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+    out = np.repeat(starts - (ends - lengths), lengths)
+    out += np.arange(len(out))
+    return out
 
 
 class Shard:
-    """A shard ready for queries: impacts of all postings, their order by document, and for each term of a longer list its blocks with their largest impact."""
+    """A shard ready for queries: scores of all postings by term and by document, and those of common terms as rows of a dense matrix."""
 
     def __init__(self, row: dict, mean_length: float, k1: float, b: float):
         self.docs, lengths = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["lengths"], np.int32)
         self.terms, self.starts = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["starts"], np.int32).astype(np.int64)
         self.member = np.frombuffer(row["members"], np.uint16)
-        counts = np.frombuffer(row["counts"], f"u{2 * len(row['counts']) // len(row['members'])}")
-        self.impact = (k1 * (1 - b + b * lengths / mean_length))[self.member]
-        self.impact += counts
-        np.divide(counts * (k1 + 1), self.impact, out=self.impact)
+        self.counts = np.frombuffer(row["counts"], f"u{2 * len(row['counts']) // len(row['members'])}")
+        self.norm, self.k1 = k1 * (1 - b + b * lengths / mean_length), k1
         self.sizes = np.diff(self.starts)
-        self.term = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.sizes)
-        self.weight = np.zeros(len(self.terms))
-        self.term_most = np.maximum.reduceat(self.impact, self.starts[:-1])
-
-        self.short = max(BLOCK, len(self.docs) // 50)
-        n_blocks = np.zeros(len(self.terms), np.int64)
-        blocks, most = [np.zeros(0, np.int64)], [np.zeros(0)]
-        for term in np.flatnonzero(self.sizes > self.short).tolist():
-            own = slice(self.starts[term], self.starts[term + 1])
-            block = self.member[own] // BLOCK
-            cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-            n_blocks[term] = len(cut)
-            blocks.append(block[cut].astype(np.int64))
-            most.append(np.maximum.reduceat(self.impact[own], cut))
-        self.block, self.most, self.block_starts = np.concatenate(blocks), np.concatenate(most), np.r_[0, np.cumsum(n_blocks)]
-        self.block_of = np.arange(len(self.docs)) // BLOCK
-
+        self.asked = np.zeros(len(self.terms), bool)
         self.by_doc = np.argsort(self.member, kind="stable").astype(np.int32)
+        self.own_term = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.sizes)[self.by_doc]
         self.own_starts = np.r_[0, np.cumsum(np.bincount(self.member, minlength=len(self.docs)))]
 
-    def _add(self, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Weighted impacts of whole lists, added up by document."""
-        if not len(at):
-            return np.zeros(len(self.docs))
-        lists = [slice(a, b) for a, b in zip(self.starts[at].tolist(), self.starts[at + 1].tolist())]
-        impact = np.concatenate([self.impact[each] for each in lists])
-        impact *= np.repeat(weights, self.sizes[at])
-        return np.bincount(np.concatenate([self.member[each] for each in lists]), impact, len(self.docs))
+    def weigh(self, at: np.ndarray, weights: np.ndarray) -> None:
+        """Scores of all postings of the terms that are asked for, from the weights of these terms; those of common terms as a matrix, too."""
+        weight = np.zeros(len(self.terms))
+        weight[at] = weights
+        self.value = self.norm[self.member]
+        self.value += self.counts
+        np.divide(self.counts * (self.k1 + 1), self.value, out=self.value)
+        self.value *= np.repeat(weight, self.sizes)
+        self.own_value = self.value[self.by_doc]
+
+        common = np.flatnonzero((self.sizes * COMMON > len(self.docs)) & (weight > 0))
+        common = np.sort(common[np.argsort(-self.sizes[common], kind="stable")[:DENSE]])
+        self.row = np.full(len(self.terms), -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), len(self.docs)), np.float32)
+        for i, term in enumerate(common.tolist()):
+            own = slice(self.starts[term], self.starts[term + 1])
+            self.dense[i, self.member[own]] = self.value[own]
+        self.slack = SLACK + (len(common) + 8) * float(np.finfo(np.float32).eps)
+
+    def find(self, terms: np.ndarray) -> np.ndarray:
+        """The numbers of terms in the shard, -1 for those it does not hold."""
+        at = np.searchsorted(self.terms, terms)
+        at[at == len(self.terms)] = 0
+        return np.where(self.terms[at] == terms, at, -1)
+
+    def tops(self, queries: Iterable[tuple[np.ndarray, float]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query, terms of the shard that `weigh` was given and a floor: documents and scores of the shard's best k among those that score at least the floor.
 
-    def _reached(self, summed: np.ndarray, k: int) -> float:
-        """A score that k documents reach for sure."""
-        return float(np.partition(summed, -k)[-k]) * (1 - SLACK) if len(summed) >= k else 0.0
+        All documents are summed up: the lists of common terms by a matrix product for `TOGETHER` queries at a time, in single
+        precision, the others one by one. All summands are positive, so a sum is off by a bounded share (`slack`), whatever
+        cancels; the k-th largest sum less that share is a score that k documents reach, so the floor rises to it, and only
+        documents whose sum and that share reach the floor are scored again, in double precision from their own terms.
+        """
+        queries = iter(queries)
+        while some := list(islice(queries, TOGETHER)):
+            asked = np.zeros((len(some), len(self.dense)), np.float32)
+            rows = [self.row[at] for at, _ in some]
+            for i, row in enumerate(rows):
+                asked[i, row[row >= 0]] = 1
+            for (at, floor), row, summed in zip(some, rows, asked @ self.dense):
+                rare = at[row < 0]
+                places = _ranges(self.starts[rare], self.sizes[rare])
+                yield self._best(at, summed + np.bincount(self.member.take(places), self.value.take(places), len(self.docs)), k, floor)
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Documents and scores of the shard's best k among those that score at least `floor`.
+        """`tops` of one query, from its term hashes and their weights."""
+        at = self.find(terms)
+        held = at >= 0
+        self.weigh(at[held], weights[held])
+        return next(self.tops([(at[held], floor)], k))
+
+    def _best(self, at: np.ndarray, summed: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """The best k by exact scores, from sums that are off by a share of `slack` at most.
 
-        Lists of rare terms are added up document by document; the k-th largest such sum is a score that k documents reach, so
-        the floor rises to it. The longest lists whose largest impacts together make up `BOUNDED` of the floor are not read: a
-        document's sum over the others and the weighted maxima of these in its block bound its score. Documents are scored
-        in full from the largest bound down, some at a time, until no bound reaches the k-th best score so far; ties at that
-        score go to the smaller id, so equal bounds are scored.
+        Documents are scored in full from the largest sum down, some at a time, until no sum reaches the k-th best score so
+        far; ties at that score go to the smaller id, so equal bounds are scored.
         """
-        at = np.searchsorted(self.terms, terms)
-        known = at < len(self.terms)
-        known[known] = self.terms[at[known]] == terms[known]
-        at, weights = at[known], weights[known]
-        sizes = self.sizes[at]
-        read = sizes <= self.short
-        summed = self._add(at[read], weights[read])
-        floor = max(floor, self._reached(summed, k))
-        longest = np.argsort(-sizes, kind="stable")
-        bounded = np.zeros(len(at), bool)
-        bounded[longest] = np.cumsum((weights * self.term_most[at])[longest]) <= floor * BOUNDED
-        more = ~read & ~bounded
-        if more.any():
-            summed += self._add(at[more], weights[more])
-            floor = max(floor, self._reached(summed, k))
-        rare = read | more
-        first = self.block_starts[at[~rare]]
-        n = self.block_starts[at[~rare] + 1] - first
-        entry = _ranges(first, n)
-        common = np.bincount(self.block[entry], np.repeat(weights[~rare], n) * self.most[entry], self.block_of[-1] + 1)
-        bound = (summed + common[self.block_of]) * (1 + SLACK)
-
-        open_ = np.flatnonzero((bound > 0) & (bound >= floor))
-        open_ = open_[np.argsort(-bound[open_], kind="stable")]
+        open_ = np.flatnonzero((summed >= floor * (1 - self.slack)) & (summed > 0))
+        bound = summed[open_]
+        if len(open_) > k:
+            floor = max(floor, float(np.partition(bound, -k)[-k]) * (1 - self.slack))
+        bound *= 1 + 2 * self.slack
+        order = np.argsort(-bound, kind="stable")
+        open_, bound = open_[order], bound[order]
         ids, scores = np.zeros(0, np.int64), np.zeros(0)
-        self.weight[at] = weights
+        self.asked[at] = True
         done, step = 0, 4 * k
-        while done < len(open_) and bound[open_[done]] >= floor:
-            chosen = open_[done : done + step]
+        while done < len(open_) and bound[done] >= floor:
+            chosen = open_[done : done + step][bound[done : done + step] >= floor]
             done += step
             step = min(2 * step, 1024)
             size = self.own_starts[chosen + 1] - self.own_starts[chosen]
-            own = self.by_doc[_ranges(self.own_starts[chosen], size)]
-            score = np.bincount(np.repeat(np.arange(len(chosen)), size), self.weight[self.term[own]] * self.impact[own], len(chosen))
+            own = _ranges(self.own_starts[chosen], size)
+            shared = np.flatnonzero(self.asked[self.own_term[own]])
+            score = np.bincount(np.repeat(np.arange(len(chosen)), size)[shared], self.own_value[own[shared]], len(chosen))
             hit = (score > 0) & (score >= floor)
             ids, scores = np.r_[ids, self.docs[chosen[hit]]], np.r_[scores, score[hit]]
             best = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[best], scores[best]
             if len(ids) == k:
                 floor = max(floor, scores[-1])
-        self.weight[at] = 0
+        self.asked[at] = False
         return ids, scores
 
 
@@ -202,14 +221,11 @@ def search(index: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_co
     An empty index or no query gives no rows.
     """
     spark = index.sparkSession
-    hashes = WordHash()
 
     def to_terms(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for i, text in zip(longs(part.column(0)).tolist(), raw(part.column(1))):
-                terms = np.unique(hashes.of(text.lower().split())) if text else []
-                if len(terms):
-                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([terms.tobytes()], pa.binary()), pa.array([len(terms)], pa.int64())], names=["query_id", "terms", "n"])
+        for i, found in _words(parts):
+            terms = np.unique(found)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([terms.tobytes()], pa.binary()), pa.array([len(terms)], pa.int64())], names=["query_id", "terms", "n"])
 
     asked = queries.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     asked = cut_lineage(asked.mapInArrow(to_terms, "query_id long, terms binary, n long").groupBy("query_id").agg(F.collect_list("terms").alias("terms"), F.sum("n").alias("n")), "queries")
@@ -248,17 +264,20 @@ def search(index: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_co
         for r in counted.toLocalIterator():
             df[r["start"] : r["start"] + len(r["n"])] += np.array(r["n"])
         weight = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
-        weights = [weight[np.searchsorted(every, t)] for t in terms]
+        places = [np.searchsorted(every, t).astype(np.int32) for t in terms]
 
-        def find(floors: np.ndarray, ids=ids, terms=terms, weights=weights):
-            sent = spark.sparkContext.broadcast((ids, terms, weights, floors))
+        def find(floors: np.ndarray, ids=ids, places=places, weight=weight, wanted=wanted):
+            sent = spark.sparkContext.broadcast((ids, places, weight, floors))
 
             def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                ids, terms, weights, floors = sent.value
+                ids, places, weight, floors = sent.value
 
                 def tops(row: dict) -> list[tuple[np.ndarray, np.ndarray]]:
                     shard = Shard(row, mean, k1, b)
-                    return [shard.top(t, w, k, f) for t, w, f in zip(terms, weights, floors)]
+                    at = shard.find(wanted.value)
+                    shard.weigh(at[at >= 0], weight[at >= 0])
+                    held = (at[own] for own in places)
+                    return list(shard.tops(((own[own >= 0], floor) for own, floor in zip(held, floors)), k))
 
                 for part in parts:
                     for at in range(part.num_rows):

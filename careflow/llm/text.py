@@ -10,6 +10,10 @@ import xxhash
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MEMO = 250_000
+#: Bytes that separate words.
+BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+#: The primes of XXH64.
+P1, P2, P3, P4, P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
 def raw(column: pa.Array) -> list[bytes | None]:
@@ -42,6 +46,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _turn(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def hash_words(texts: list[bytes], hashes: WordHash) -> tuple[np.ndarray, np.ndarray]:
+    """`hashes.of` the words of all texts, A-Z lower-cased, and how many words each text has: XXH64 of all words of a length together, `hashes` for those of 32 bytes and more."""
+    data = np.frombuffer(b" " + b" ".join(texts).lower() + b" " * 8, np.uint8)
+    blank = BLANK[data]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    starts, size = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    out = np.zeros(len(starts), np.uint64)
+    for n in range(1, 32):
+        mine = np.flatnonzero(size == n)
+        at, h = starts[mine], np.full(len(mine), int(P5) + n, np.uint64)
+        for _ in range(n // 8):
+            h = _turn(h ^ _turn(eight[at] * P2, 31) * P1, 27) * P1 + P4
+            at = at + 8
+        if n % 8 >= 4:
+            h = _turn(h ^ (eight[at] & np.uint64(0xFFFFFFFF)) * P1, 23) * P2 + P3
+            at = at + 4
+        for _ in range(n % 4):
+            h = _turn(h ^ data[at] * P5, 11) * P1
+            at = at + 1
+        h = (h ^ h >> np.uint64(33)) * P2
+        h = (h ^ h >> np.uint64(29)) * P3
+        out[mine] = h ^ h >> np.uint64(32)
+    long = np.flatnonzero(size >= 32)
+    out[long] = hashes.of([data[a : a + n].tobytes() for a, n in zip(starts[long].tolist(), size[long].tolist())])
+    return out, np.diff(np.searchsorted(starts, np.cumsum([1, *(len(t) + 1 for t in texts)])))
+
+
 def grams(words: np.ndarray, size: int, base: int = int(ODD)) -> np.ndarray:
     """Hash of every run of `size` consecutive word hashes, by doubling the run length."""
     n = len(words) - size + 1

@@ -286,6 +286,79 @@ def test_search_scores_few_documents(monkeypatch):
     assert scored()[0] == found and few < 100
 
 
+def test_search_sums_common_lists_for_many_queries_at_once(monkeypatch):
+    """Common and rare words, equal texts and nearly equal scores: the best are those of exact sums, and few postings are read by one query alone."""
+    from careflow.llm import search as module
+
+    monkeypatch.setattr(module, "TOGETHER", 7)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.choices(words, [1 / (i + 1) for i in range(3000)], k=rng.choice([3, 40, 120]))) for _ in range(1500)]
+    texts += [texts[0]] * 30 + [texts[1] + " w0"] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["id", "text"])
+    (row,) = [r for part in module._build(iter([batch])) for r in part.to_pylist()]
+    shard = module.Shard(row, row["n_words"] / row["n_docs"], 1.2, 0.75)
+    df = shard.sizes
+    weight = np.log(1 + (len(texts) - df + 0.5) / (df + 0.5))
+    shard.weigh(np.arange(len(df)), weight)
+    asked = [np.flatnonzero(np.isin(shard.terms, module.hash_words([t.encode()], module.WordHash())[0])) for t in texts[::40]]
+
+    alone, plain = [0], module._ranges
+
+    def ranges(starts, lengths):
+        alone[0] += 0 if len(starts) and np.isin(starts, shard.own_starts).all() else lengths.sum()
+        return plain(starts, lengths)
+
+    monkeypatch.setattr(module, "_ranges", ranges)
+    found = list(shard.tops(((at, 0.0) for at in asked), 10))
+    assert alone[0] < sum(df[at].sum() for at in asked) / 3
+    member, term = shard.member, np.repeat(np.arange(len(df)), df)
+    for at, (ids, scores) in zip(asked, found):
+        mine = np.isin(term, at)
+        whole = np.bincount(member[mine], shard.value[mine], len(texts))
+        best = np.lexsort((np.arange(len(texts)), -whole))[:10]
+        best = best[whole[best] > 0]
+        assert ids.tolist() == best.tolist() and np.allclose(scores, whole[best], rtol=1e-12)
+    floors = [scores[-1] for _, scores in found]
+    assert [(d.tolist(), s.tolist()) for d, s in shard.tops(zip(asked, floors), 10)] == [(d.tolist(), s.tolist()) for d, s in found]
+
+
+def test_word_hashes_of_many_texts():
+    from careflow.llm.text import WordHash, hash_words
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(["a", "B", "b", "\0", "\x0b", "\x1c", " ", "é", " ", "x" * 9, "y" * 1100, "\n", "\t"], k=rng.randrange(40))).encode() for _ in range(2000)]
+    words = [w for t in texts for w in t.lower().split()]
+    words += [("z" * n).encode() for n in range(1, 70)]
+    texts += words[-69:]
+    hashes, n = hash_words(texts, WordHash())
+    assert n.tolist() == [len(t.split()) for t in texts] and hashes.tolist() == WordHash().of(words).tolist()
+    assert [x.tolist() for x in hash_words([b"", b" "], WordHash())] == [[], [0, 0]] and len(hash_words([], WordHash())[0]) == 0
+
+
+def test_index_of_terms_that_agree_in_most_bits(monkeypatch):
+    from careflow.llm import search as module
+
+    rows = [(i, " ".join(random.Random(i).choices(WORDS, k=30))) for i in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows])], names=["id", "text"])
+
+    def lists():
+        (row,) = [r for part in module._build(iter([batch])) for r in part.to_pylist()]
+        terms, starts = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["starts"], np.int32)
+        assert (terms[1:] > terms[:-1]).all()
+        members, counts = np.frombuffer(row["members"], np.uint16), np.frombuffer(row["counts"], np.uint8)
+        return sorted((members[a:b].tolist(), counts[a:b].tolist()) for a, b in zip(starts, starts[1:]))
+
+    want, plain = lists(), module.hash_words
+
+    def near(texts, hashes):
+        words = [w for t in texts for w in t.split()]
+        return np.array([int(w[1:]) + (1 << 60) for w in words], np.uint64), plain(texts, hashes)[1]
+
+    monkeypatch.setattr(module, "hash_words", near)
+    assert lists() == want
+
+
 def pages_by_loop(pages, rounds=12, damping=0.85):
     import re
 
