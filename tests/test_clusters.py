@@ -70,3 +70,75 @@ def test_blocks_meet_few_centres_and_find_the_nearest():
     assert np.mean([len(clusters.in_reach(lo, hi, centres)) for _, lo, hi in boxes]) < 100
     centres[7, 2] = np.nan
     assert (clusters._nearest_in(boxes[:3], centres)[0] == clusters.nearest(np.concatenate(blocks[:3]), centres)[0]).all()
+
+
+def test_boxes_of_a_tree_settle_most_rows():
+    """Many rows for each centre: counts, sums, costs and states are those of a full scan, and most rows are never looked at."""
+    rng = np.random.default_rng(3)
+    x = rng.uniform(size=(40_000, 2)) * [3, 1] + 1000
+    x[:3000] = x[0]
+    tree = clusters.Tree(x[clusters.in_blocks(x, clusters.LEAF)])
+    live = np.stack([x[rng.choice(len(x), 12, replace=False)] for _ in range(5)])
+    live[3, 5] = live[3, 2]
+    live[4] -= 5000
+    boxes, rows = tree.settle(live)
+    assert sum(len(place) for _, place, _ in rows) < live.shape[0] * len(x) / 5
+    want = np.concatenate([clusters._add_rows(tree.rows, *clusters.nearest(tree.rows, c), 12) for c in live])
+    got = tree.totals(live)
+    assert (got[:, 0] == want[:, 0]).all() and np.allclose(got, want, rtol=1e-9, atol=1e-9)
+    for c in live:
+        for a, b in zip(tree.nearest(c), clusters.nearest(tree.rows, c)):
+            assert (a == b).all()
+    live[1, 7, 0] = np.nan
+    assert (tree.nearest(live[1])[0] == clusters.nearest(tree.rows, live[1])[0]).all()
+    assert (tree.totals(live)[12:24, 0] == np.bincount(clusters.nearest(tree.rows, live[1])[0], minlength=12)).all()
+
+
+@pytest.mark.parametrize("n", [1, 2, 15, 16, 17, 100, 1024, 1500])
+def test_trees_of_any_number_of_rows(n):
+    rng = np.random.default_rng(n)
+    x, centres = rng.normal(size=(n, 3)), rng.normal(size=(2, 70, 3))
+    order = clusters.in_blocks(x, clusters.LEAF)
+    assert sorted(order.tolist()) == list(range(n))
+    tree = clusters.Tree(x[order])
+    assert tree.levels[0][2].sum() == n and (np.diff(tree.ends) > 0).all()
+    want = np.concatenate([clusters._add_rows(tree.rows, *clusters.nearest(tree.rows, c), 70) for c in centres])
+    assert np.allclose(tree.totals(centres), want)
+    state, far = clusters._nearest_of(x, centres[0])
+    assert (state == clusters.nearest(x, centres[0])[0]).all() and np.allclose(far, clusters.nearest(x, centres[0])[1])
+
+
+def test_chunks_hold_near_rows(spark, monkeypatch):
+    """All rows are in chunks of bounded size, near ones together; rows of which a third are equal are dealt to several partitions."""
+    monkeypatch.setattr(clusters, "CHUNK", 512)
+    rng = np.random.default_rng(1)
+    x = rng.uniform(size=(9000, 2))
+    x[:3000] = x[0]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "x0 double, x1 double").repartition(3)
+    made = clusters._chunks(df, 2, [clusters._draw(2, 0, i) for i in range(2)])
+    chunks = [np.frombuffer(r["points"]).reshape(-1, 2) for r in made.collect()]
+    assert all(len(r["draws"]) == len(r["points"]) for r in made.collect()) and max(map(len, chunks)) <= 512
+    assert sorted(map(tuple, np.concatenate(chunks))) == sorted(map(tuple, x))
+    feature, cut, child = clusters._regions(x, 16)
+    node = clusters._region(x, feature, cut, child)
+    assert (feature[node] == -1).all() and len(set(node.tolist())) > 8
+    assert len(set(clusters._region(x[:3000], feature, cut, child).tolist())) == 1
+    sizes = [sum(1 for c in [np.frombuffer(r["points"]).reshape(-1, 2)] if (c == x[0]).all(axis=1).sum() > 50) for r in made.collect()]
+    assert sum(sizes) > 1
+
+
+def test_assignment_over_many_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    try:
+        rng = np.random.default_rng(7)
+        centres = rng.uniform(size=(90, 2))
+        x = rng.uniform(size=(5000, 2))
+        rows = [(i, float(a) if i % 50 else None, float(b)) for i, (a, b) in enumerate(x)]
+        model = clusters.Clusters(centres, 0.0, [], [])
+        got = {r.id: (r.state, r.d) for r in clusters.assign(spark.createDataFrame(rows, "id long, x double, y double").repartition(3), model, ["x", "y"], distance="d").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    state, far = clusters.nearest(x, centres)
+    assert len(got) == 5000
+    for i in range(5000):
+        assert got[i] == ((None, None) if i % 50 == 0 else (state[i], pytest.approx(far[i])))
